@@ -19,8 +19,8 @@ from ..schema import (
 )
 from .filters import has_content, is_trainable, is_valid
 
-# JSON texts that count as no value.
-EMPTY_JSON = ("null", '""', "0", "0.0", "-0.0", "false", "[]", "{}")
+# Texts of numbers, flags and collections that count as no value.
+EMPTY_TEXTS = ("0", "0.0", "-0.0", "false", "[]", "{}")
 # Languages whose own columns hold the solutions in the glob-routed profile.
 SOLUTION_COLUMNS = ("java", "python", "c++", "javascript")
 LIST_FIELDS = ("tags", "examples", "test_cases")
@@ -46,33 +46,46 @@ def field(record: Column, name: str) -> Column:
 
 def has_key(record: Column, name: str) -> Column:
     """The key is present, also with a null value."""
-    return F.to_json(field(record, name)).isNotNull()
+    return F.schema_of_variant(field(record, name)).isNotNull()
 
 
-def is_truthy(value: Column) -> Column:
-    """Neither absent nor null, empty, zero or false."""
-    text = F.to_json(value)
-    return text.isNotNull() & ~text.isin(*EMPTY_JSON)
+def as_text(value: Column) -> Column:
+    """Text of a scalar; JSON of an array or object; null for an absent or null value."""
+    return F.try_variant_get(value, "$", "string")
 
 
-def as_text(value: Column) -> Column:
-    """Text of a scalar; JSON of an array or object. A whole number has no fraction part."""
-    json = F.to_json(value)
-    return F.when(F.startswith(json, F.lit('"')), F.try_variant_get(value, "$", "string")) \
-        .when(json == "null", F.lit(None).cast("string")) \
-        .otherwise(F.regexp_replace(json, r"^(-?[0-9]+)\.0$", "$1"))
+def field_text(record: Column, name: str) -> Column:
+    return F.try_variant_get(record, _path(name), "string")
+
+
+def _is_string(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
 
 
 def _is_object(value: Column) -> Column:
-    return F.startswith(F.to_json(value), F.lit("{"))
+    return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
 
 
 def _is_array(value: Column) -> Column:
-    return F.startswith(F.to_json(value), F.lit("["))
+    return F.startswith(F.schema_of_variant(value), F.lit("ARRAY"))
 
 
-def _is_string(value: Column) -> Column:
-    return F.startswith(F.to_json(value), F.lit('"'))
+def truthy_text(record: Column, name: str) -> Column:
+    """Text of a field that is neither absent nor null, empty, zero or false; else null."""
+    text = field_text(record, name)
+    void = text.isin(*EMPTY_TEXTS) & ~_is_string(field(record, name))
+    return F.when((text != "") & ~void, text)
+
+
+def once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A later filter on a plain projection is pushed below it, which repeats the projection's
+    expressions inside the filter. ``inline`` keeps it above, so costly cleaning runs once.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select(*rest, F.inline(F.array(row)))
 
 
 def _key_order(raw: Column, name: str, members: Column) -> Column:
@@ -86,16 +99,14 @@ def solutions_by_language(value: Column, raw: Column, name: str, prefix: str = "
     codes = F.transform(
         _key_order(raw, name, members),
         lambda key: F.when(
-            _is_string(F.try_element_at(members, key)) & is_truthy(F.try_element_at(members, key)),
+            _is_string(F.try_element_at(members, key)) & (as_text(F.try_element_at(members, key)) != ""),
             F.concat(F.lit(prefix), key, F.lit("\n"), as_text(F.try_element_at(members, key)))))
     return F.array_join(F.array_compact(codes), "\n\n")
 
 
 def solutions_from_columns(record: Column, languages: Sequence[str] = SOLUTION_COLUMNS) -> Column:
     """The same from one field per language, in the given order."""
-    parts = [F.when(is_truthy(field(record, lang)),
-                    F.concat(F.lit(f"# {lang}\n"), as_text(field(record, lang))))
-             for lang in languages]
+    parts = [F.concat(F.lit(f"# {lang}\n"), truthy_text(record, lang)) for lang in languages]
     return F.concat_ws("\n\n", *parts)
 
 
@@ -105,7 +116,7 @@ def nested_solutions(record: Column, raw: Column, name: str = "solutions") -> Co
 
     def part(key: Column) -> Column:
         solution = F.try_variant_get(F.try_element_at(members, key), "$.solution", "variant")
-        return F.when(F.to_json(solution).isNotNull(), F.concat(
+        return F.when(F.schema_of_variant(solution).isNotNull(), F.concat(
             F.lit("# Language "), key, F.lit("\n"), F.coalesce(as_text(solution), F.lit("None"))))
 
     return F.array_join(F.array_compact(F.transform(_key_order(raw, name, members), part)), "\n\n")
@@ -124,35 +135,30 @@ def tag_list(value: Column) -> Column:
 
 def first_truthy(record: Column, candidates: Sequence[str]) -> Column:
     """Value of the first candidate field that is truthy, else null."""
-    result = None
-    for name in candidates:
-        value = field(record, name)
-        result = F.when(is_truthy(value), value) if result is None \
-            else result.when(is_truthy(value), value)
-    return result
+    return F.coalesce(*[F.when(truthy_text(record, name).isNotNull(), field(record, name))
+                        for name in candidates])
 
 
 def first_text(record: Column, candidates: Sequence[str]) -> Column:
-    return as_text(first_truthy(record, candidates))
+    """Text of the first truthy candidate field, else null."""
+    return F.coalesce(*[truthy_text(record, name) for name in candidates])
 
 
 def first_solution(record: Column, raw: Column, candidates: Sequence[str]) -> Column:
     """First truthy candidate; an object of solutions per language is joined."""
-    result = None
-    for name in candidates:
-        value = field(record, name)
-        text = F.when(_is_object(value), solutions_by_language(value, raw, name)) \
-            .otherwise(as_text(value))
-        result = F.when(is_truthy(value), text) if result is None \
-            else result.when(is_truthy(value), text)
-    return result
+    def solution(name: str) -> Column:
+        value, text = field(record, name), truthy_text(record, name)
+        joined = F.when(text.isNotNull(), solutions_by_language(value, raw, name))
+        return F.when(_is_object(value), joined).otherwise(text)
+
+    return F.coalesce(*[solution(name) for name in candidates])
 
 
 def first_present(record: Column, keys: Sequence[str], default: str | None = "") -> Column:
     """Text of the first key that is present, whatever its value; null counts as empty."""
     result = None
     for name in keys:
-        value = F.coalesce(as_text(field(record, name)), F.lit(""))
+        value = F.coalesce(field_text(record, name), F.lit(""))
         hit = has_key(record, name)
         result = F.when(hit, value) if result is None else result.when(hit, value)
     return result.otherwise(F.lit(default))
@@ -180,7 +186,7 @@ def _mapped(record: Column, raw: Column, source: Column, target: str,
             return F.when(_is_array(value), text_list(value)) \
                 .when(value.isNotNull(), F.array(as_text(value)))
         if target in NUMBER_FIELDS:
-            return as_text(first_truthy(record, candidates)).try_cast("int")
+            return first_text(record, candidates).try_cast("int")
         return first_text(record, candidates)
 
     # Sources with the same list share one expression.
@@ -204,7 +210,7 @@ def map_fields(df: DataFrame, record: str = "record", raw: str = "raw", path: st
     rec, raw_text, source = F.col(record), F.col(raw), F.col("source_site")
     sourced = df.withColumn("source_site", source_site(F.col(path)))
     targets = [f.name for f in UNIFIED if f.name != "source_site"]
-    mapped = sourced.withColumns({t: _mapped(rec, raw_text, source, t, tables) for t in targets})
+    mapped = once(sourced, {t: _mapped(rec, raw_text, source, t, tables) for t in targets})
     typed = mapped.withColumn("question_type", F.when(
         F.coalesce("question_type", F.lit("")) == "",
         question_type(F.coalesce("question_text", F.lit("")))).otherwise(F.col("question_type")))
@@ -253,7 +259,7 @@ def normalise(df: DataFrame, record: str = "record", raw: str = "raw", path: str
     """
     cleaned = TEXT_FIELDS if clean_code else TEXT_FIELDS[:2]
     mapped = map_fields(df, record, raw, path, tables)
-    texts = mapped.withColumns({name: clean_text(F.col(name)) for name in cleaned})
+    texts = once(mapped, {name: clean_text(F.col(name)) for name in cleaned})
     rule = valid if valid is not None else is_valid(
         F.col("question_text"), F.col("answer_text"), F.col("solution_code"))
     keep = [c for c in df.columns if c not in (record, raw)]
@@ -281,14 +287,15 @@ def normalise_by_dataset(df: DataFrame, record: str = "record", raw: str = "raw"
             choices["leetcode"] = F.lower(choices["leetcode"])
         return _by_source(name, choices, default)
 
-    mapped = df.withColumns({
+    mapped = once(df, {
         "_question": pick("question_text"), "solution_code": strip(pick("solution_code")),
         "problem_id": pick("problem_id"), "difficulty": pick("difficulty"),
         "language": pick("language"), "source_site": name,
     })
-    typed = mapped.withColumns({
+    typed = once(mapped, {
         "question_type": question_type_by_parts(F.col("_question")),
-        "question_text": strip(F.col("_question")), "answer_text": F.lit(""),
+        "question_text": strip(F.col("_question"))}).withColumns({
+        "answer_text": F.lit(""),
         "constraints": F.lit(""), "tags": F.array().cast("array<string>"),
         "examples": F.array().cast("array<string>"), "test_cases": F.array().cast("array<string>"),
         "time_limit": F.lit(None).cast("int"), "memory_limit": F.lit(None).cast("int"),

@@ -534,7 +534,7 @@ def k3_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 def _consolidated(spark: SparkSession, sf: str) -> DataFrame:
     """Clean, validate, deduplicate, filter and split the documents."""
-    records = b.docs(spark, sf).withColumns({
+    records = mapping.once(b.docs(spark, sf), {
         "question_type": classify.question_type(F.col("question_text")),
         "question_text": text.clean_text(F.col("question_text"))})
     valid = records.filter(filters.is_valid(

@@ -309,8 +309,9 @@ ORACLE: dict[str, str] = {
       FROM split_docs GROUP BY ALL""",
     "a4_input_profile": """SELECT coalesce(source, 'total') AS dataset, count(*) AS files, count(*) AS entries,
       round(CAST(sum(n_chars) AS DOUBLE) / 1048576, 6) AS size_mib FROM documents GROUP BY ROLLUP (source)""",
-    "a5_quality": f"""WITH {DOCS}, {TYPED}, {SPLIT_DOCS} SELECT 'split' AS metric, split AS key, count(*) AS n,
-      round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM docs) * 100, 6) AS pct FROM split_docs GROUP BY split
+    "a5_quality": f"""WITH {DOCS}, {TYPED}, {SPLIT_DOCS} SELECT 'split' AS metric, key, count(split) AS n,
+      round(CAST(count(split) AS DOUBLE) / (SELECT count(*) FROM docs) * 100, 6) AS pct
+      FROM (VALUES ('train'), ('validation'), ('test')) AS names(key) LEFT JOIN split_docs ON split = key GROUP BY key
       UNION ALL SELECT 'difficulty', difficulty, count(*), NULL FROM split_docs GROUP BY difficulty
       UNION ALL SELECT 'language', language, count(*), NULL FROM split_docs GROUP BY language
       UNION ALL SELECT 'unique_sources', '', count(DISTINCT source_site), NULL FROM split_docs""",

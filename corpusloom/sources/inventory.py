@@ -89,7 +89,7 @@ def _line_counts(spark: SparkSession, root: str, suffix: str, blank: bool) -> Da
 
 def _json_counts(spark: SparkSession, root: str, scalar: int, invalid: int) -> DataFrame:
     """Length of an array; 1 for an object; the given numbers for a scalar and for bad JSON."""
-    docs = _read(spark, root, "json", wholetext="true").text(root)
+    docs = _read(spark, root, "json").text(root, wholetext=True)
     parsed = F.try_parse_json("value")
     kind = F.to_json(parsed)
     n = F.when(parsed.isNull(), F.lit(invalid)) \

@@ -62,7 +62,7 @@ def read_jsonl(spark: SparkSession, root: str, suffix: str = "jsonl") -> DataFra
 
 def read_json(spark: SparkSession, root: str) -> DataFrame:
     """Elements of a top-level array, or the document itself."""
-    docs = _scan(spark, root, "json", wholetext="true").text(root) \
+    docs = _scan(spark, root, "json").text(root, wholetext=True) \
         .select(F.col("value"), *_origin())
     parsed = F.to_json(F.try_parse_json("value"))
     items = F.when(F.startswith(parsed, F.lit("[")), F.from_json("value", "array<string>")) \
@@ -74,7 +74,7 @@ def read_json(spark: SparkSession, root: str) -> DataFrame:
 
 def read_text(spark: SparkSession, root: str, suffix: str = "txt") -> DataFrame:
     """A whole file per record with field ``content``; bytes that are not UTF-8 are dropped."""
-    docs = _scan(spark, root, suffix, wholetext="true").text(root) \
+    docs = _scan(spark, root, suffix).text(root, wholetext=True) \
         .select(utf8_text(F.col("value")).alias("content"), *_origin())
     content = html_to_text(F.col("content")) if suffix == "html" else F.col("content")
     rows = docs.withColumn("raw", F.to_json(F.struct(
@@ -105,7 +105,7 @@ def _xml_records(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def read_xml(spark: SparkSession, root: str) -> DataFrame:
     """One record per file."""
-    docs = _scan(spark, root, "xml", wholetext="true").text(root) \
+    docs = _scan(spark, root, "xml").text(root, wholetext=True) \
         .select(F.col("value"), *_origin())
     return _finish(docs.withColumn("raw", _xml_records("value")), "xml", F.col("src_path"))
 
@@ -127,10 +127,9 @@ def _table_rows(spark: SparkSession, root: str, suffix: str, sep: str, encoding:
 
 def _header_width(spark: SparkSession, root: str, suffix: str, sep: str) -> int:
     """Most columns a first line of any file can have, from its separators."""
-    lines = _scan(spark, root, suffix).text(root)
-    heads = lines.filter(F.col("_metadata.file_block_start") == 0) \
-        .groupBy(F.col("_metadata.file_path")) \
-        .agg(F.min_by("value", F.monotonically_increasing_id()).alias("head"))
+    lines = _scan(spark, root, suffix).text(root).select("value", *_origin())
+    heads = lines.filter("src_block = 0").groupBy("src_path") \
+        .agg(F.min_by("value", "src_row").alias("head"))
     width = heads.agg(F.max(F.size(F.split("head", "\\t" if sep == "\t" else sep)))).first()[0]
     return width or 0
 
