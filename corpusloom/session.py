@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,22 @@ def build_session(master: str = "local[8]", app: str = "corpusloom", shuffle_par
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship_code(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application."""
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="corpusloom-code-"), "corpusloom"), "zip",
+            os.path.dirname(package), os.path.basename(package))
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(application)
     return spark
 
 
