@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import WORD
+from .text import WORD, let
 
 # Words per question type, in the order the types are tried.
 TYPE_WORDS: dict[str, tuple[str, ...]] = {
@@ -60,33 +60,35 @@ def question_type(text: Column) -> Column:
 
     A byte search for the words goes before each pattern, so that most rows run no pattern at all.
     """
-    lowered = F.lower(text)
-    choice = (contains_any(lowered, TYPE_WORDS["mcq"])
-              & F.rlike(lowered, F.lit(word_pattern(TYPE_WORDS["mcq"])))) \
-        | (contains_any(lowered, CHOICE_MARKS) & F.rlike(lowered, F.lit(CHOICE_PATTERN)))
-    result = F.when(choice, F.lit("mcq"))
-    for name in ("coding", "fill_blank", "debug", "optimize"):
-        parts = TYPE_WORDS[name] if name != "fill_blank" else ("fill", "blank", "__")
-        result = result.when(
-            contains_any(lowered, parts) & F.rlike(lowered, F.lit(word_pattern(TYPE_WORDS[name]))),
-            F.lit(name))
-    return result.when(contains_any(lowered, CODING_PARTS), F.lit("coding")) \
-        .otherwise(F.lit("unknown"))
+    def decide(lowered: Column) -> Column:
+        choice = (contains_any(lowered, TYPE_WORDS["mcq"])
+                  & F.rlike(lowered, F.lit(word_pattern(TYPE_WORDS["mcq"])))) \
+            | (contains_any(lowered, CHOICE_MARKS) & F.rlike(lowered, F.lit(CHOICE_PATTERN)))
+        result = F.when(choice, F.lit("mcq"))
+        for name in ("coding", "fill_blank", "debug", "optimize"):
+            parts = TYPE_WORDS[name] if name != "fill_blank" else ("fill", "blank", "__")
+            whole = F.rlike(lowered, F.lit(word_pattern(TYPE_WORDS[name])))
+            result = result.when(contains_any(lowered, parts) & whole, F.lit(name))
+        return result.when(contains_any(lowered, CODING_PARTS), F.lit("coding")) \
+            .otherwise(F.lit("unknown"))
+
+    return let(F.lower(text), decide)
 
 
 def question_type_by_parts(text: Column) -> Column:
     """First type with a matching part of a word; coding otherwise."""
-    lowered = F.lower(text)
-    result = None
-    for name, parts in TYPE_PARTS.items():
-        hit = contains_any(lowered, parts)
-        result = F.when(hit, F.lit(name)) if result is None else result.when(hit, F.lit(name))
-    return result.otherwise(F.lit("coding"))
+    def decide(lowered: Column) -> Column:
+        result = None
+        for name, parts in TYPE_PARTS.items():
+            hit = contains_any(lowered, parts)
+            result = F.when(hit, F.lit(name)) if result is None else result.when(hit, F.lit(name))
+        return result.otherwise(F.lit("coding"))
+
+    return let(F.lower(text), decide)
 
 
-def keyword_hits(text: Column, keywords: tuple[str, ...]) -> Column:
-    """How many of the keywords occur in the text."""
-    lowered = F.lower(text)
+def keyword_hits(lowered: Column, keywords: tuple[str, ...]) -> Column:
+    """How many of the keywords occur in the lower-case text."""
     total = F.lit(0)
     for keyword in keywords:
         total = total + F.contains(lowered, F.lit(keyword)).cast("int")
@@ -95,11 +97,12 @@ def keyword_hits(text: Column, keywords: tuple[str, ...]) -> Column:
 
 def detect_question(text: Column) -> Column:
     """Struct of the two hit counts, the confidence (0 to 100) and the decision."""
-    questions = keyword_hits(text, QUESTION_KEYWORDS)
-    codes = keyword_hits(text, CODE_KEYWORDS)
-    counted = F.struct(questions.alias("q"), codes.alias("c"))
     everything = len(QUESTION_KEYWORDS) + len(CODE_KEYWORDS)
 
+    def count(lowered: Column) -> Column:
+        return F.struct(keyword_hits(lowered, QUESTION_KEYWORDS).alias("q"),
+                        keyword_hits(lowered, CODE_KEYWORDS).alias("c"))
+
     def decide(hits: Column) -> Column:
         q, c = hits["q"], hits["c"]
         confidence = (q + c).cast("double") / F.lit(float(everything)) * F.lit(100.0)
@@ -108,4 +111,4 @@ def detect_question(text: Column) -> Column:
             q.cast("bigint").alias("question_hits"), c.cast("bigint").alias("code_hits"),
             confidence.alias("confidence"), is_question.alias("is_question"))
 
-    return F.transform(F.array(counted), decide)[0]
+    return let(let(F.lower(text), count), decide)

@@ -42,8 +42,7 @@ def primary_solution(code: Column, markers_only: bool = False) -> Column:
         .otherwise(strip(code))
 
 
-def time_complexity(code: Column) -> Column:
-    lowered = F.lower(code)
+def time_complexity(lowered: Column) -> Column:
     first = F.instr(lowered, "for")
     again = F.contains(F.substring(lowered, first + 3, F.length(lowered)), F.lit("for"))
     loops = F.contains(lowered, F.lit("for")) & F.contains(lowered, F.lit("range"))
@@ -55,8 +54,7 @@ def time_complexity(code: Column) -> Column:
     )
 
 
-def space_complexity(code: Column) -> Column:
-    lowered = F.lower(code)
+def space_complexity(lowered: Column) -> Column:
     has = lambda part: F.contains(lowered, F.lit(part))
     linear = has("append") | has("list") | has("recursion") | (has("def") & has("return"))
     return F.when(linear, F.lit("O(n)")).otherwise(F.lit("O(1)"))
@@ -64,6 +62,7 @@ def space_complexity(code: Column) -> Column:
 
 def complexity_note(code: Column) -> Column:
     """Two-line note on time and space; empty for empty code."""
-    note = F.concat(F.lit("Time Complexity: "), time_complexity(code),
-                    F.lit("\nSpace Complexity: "), space_complexity(code))
+    note = let(F.lower(code), lambda low: F.concat(
+        F.lit("Time Complexity: "), time_complexity(low),
+        F.lit("\nSpace Complexity: "), space_complexity(low)))
     return F.when(F.coalesce(code, F.lit("")) == "", F.lit("")).otherwise(note)

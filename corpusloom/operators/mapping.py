@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.classify import question_type, question_type_by_parts
 from ..functions.code import complexity_note
-from ..functions.text import clean_text, strip
+from ..functions.text import clean_text, let, strip
 from ..schema import (
     DATASET_KEYS, FIELD_CANDIDATES, SOURCE_SITES, TEXT_FIELDS, UNIFIED, UNKNOWN_SOURCE,
 )
@@ -70,6 +70,12 @@ def _is_array(value: Column) -> Column:
     return F.startswith(F.schema_of_variant(value), F.lit("ARRAY"))
 
 
+def is_truthy(value: Column) -> Column:
+    """Neither absent nor null, empty, zero or false."""
+    text = as_text(value)
+    return (text != "") & ~(text.isin(*EMPTY_TEXTS) & ~_is_string(value))
+
+
 def truthy_text(record: Column, name: str) -> Column:
     """Text of a field that is neither absent nor null, empty, zero or false; else null."""
     text = field_text(record, name)
@@ -88,12 +94,14 @@ def once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     return df.select(*rest, F.inline(F.array(row)))
 
 
-def _key_order(raw: Column, name: str, members: Column) -> Column:
+def _key_order(raw: Column, name: Column, members: Column) -> Column:
     """Keys of an object field in the order of the JSON text; a VARIANT sorts them."""
-    return F.coalesce(F.json_object_keys(F.get_json_object(raw, f"$['{name}']")), F.map_keys(members))
+    path = F.concat(F.lit("$['"), name, F.lit("']"))
+    text = F.call_function("get_json_object", raw, path)
+    return F.coalesce(F.json_object_keys(text), F.map_keys(members))
 
 
-def solutions_by_language(value: Column, raw: Column, name: str, prefix: str = "# ") -> Column:
+def solutions_by_language(value: Column, raw: Column, name: Column, prefix: str = "# ") -> Column:
     """``# lang`` and its code per non-empty string member, joined by a blank line."""
     members = F.try_variant_get(value, "$", "map<string,variant>")
     codes = F.transform(
@@ -119,7 +127,7 @@ def nested_solutions(record: Column, raw: Column, name: str = "solutions") -> Co
         return F.when(F.schema_of_variant(solution).isNotNull(), F.concat(
             F.lit("# Language "), key, F.lit("\n"), F.coalesce(as_text(solution), F.lit("None"))))
 
-    return F.array_join(F.array_compact(F.transform(_key_order(raw, name, members), part)), "\n\n")
+    return F.array_join(F.array_compact(F.transform(_key_order(raw, F.lit(name), members), part)), "\n\n")
 
 
 def text_list(value: Column) -> Column:
@@ -148,7 +156,7 @@ def first_solution(record: Column, raw: Column, candidates: Sequence[str]) -> Co
     """First truthy candidate; an object of solutions per language is joined."""
     def solution(name: str) -> Column:
         value, text = field(record, name), truthy_text(record, name)
-        joined = F.when(text.isNotNull(), solutions_by_language(value, raw, name))
+        joined = F.when(text.isNotNull(), solutions_by_language(value, raw, F.lit(name)))
         return F.when(_is_object(value), joined).otherwise(text)
 
     return F.coalesce(*[solution(name) for name in candidates])
@@ -174,31 +182,29 @@ def _by_source(source: Column, choices: Mapping[str, Column], default: Column |
     return result.otherwise(default) if default is not None else result
 
 
-def _mapped(record: Column, raw: Column, source: Column, target: str,
+def _shaped(target: str, name: Column, value: Column, raw: Column) -> Column:
+    """The value of a field as the target column wants it."""
+    if target == "solution_code":
+        return F.when(_is_object(value), solutions_by_language(value, raw, name)).otherwise(as_text(value))
+    if target == "tags":
+        return tag_list(value)
+    if target in LIST_FIELDS:
+        return F.when(_is_array(value), text_list(value)).when(value.isNotNull(), F.array(as_text(value)))
+    if target in NUMBER_FIELDS:
+        return as_text(value).try_cast("int")
+    return as_text(value)
+
+
+def _mapped(members: Column, raw: Column, source: Column, target: str,
             tables: Mapping[str, Mapping[str, Sequence[str]]]) -> Column:
-    def one(candidates: Sequence[str]) -> Column:
-        if target == "solution_code":
-            return first_solution(record, raw, candidates)
-        if target == "tags":
-            return tag_list(first_truthy(record, candidates))
-        if target in LIST_FIELDS:
-            value = first_truthy(record, candidates)
-            return F.when(_is_array(value), text_list(value)) \
-                .when(value.isNotNull(), F.array(as_text(value)))
-        if target in NUMBER_FIELDS:
-            return first_text(record, candidates).try_cast("int")
-        return first_text(record, candidates)
-
-    # Sources with the same list share one expression.
-    grouped: dict[tuple[str, ...], list[str]] = {}
-    for name, table in tables.items():
-        if target in table:
-            grouped.setdefault(tuple(table[target]), []).append(name)
-    result = None
-    for candidates, names in grouped.items():
-        hit = source.isin(*names)
-        result = F.when(hit, one(candidates)) if result is None else result.when(hit, one(candidates))
-    return result
+    """The first truthy candidate of the row's source. The candidates are data, not one CASE each."""
+    cells = [cell for name, table in tables.items() if target in table
+             for cell in (F.lit(name), F.array(*[F.lit(c) for c in table[target]]))]
+    candidates = F.try_element_at(F.create_map(*cells), source)
+    first = F.try_element_at(F.filter(
+        candidates, lambda n: F.coalesce(is_truthy(F.try_element_at(members, n)), F.lit(False))), F.lit(1))
+    found = let(first, lambda n: F.struct(n.alias("name"), F.try_element_at(members, n).alias("value")))
+    return let(found, lambda f: _shaped(target, f["name"], f["value"], raw))
 
 
 def map_fields(df: DataFrame, record: str = "record", raw: str = "raw", path: str = "src_path",
@@ -207,10 +213,11 @@ def map_fields(df: DataFrame, record: str = "record", raw: str = "raw", path: st
 
     The question type is inferred from the mapped question; the overrides come after it.
     """
-    rec, raw_text, source = F.col(record), F.col(raw), F.col("source_site")
-    sourced = df.withColumn("source_site", source_site(F.col(path)))
+    members, raw_text, source = F.col("_members"), F.col(raw), F.col("source_site")
+    opened = once(df, {"source_site": source_site(F.col(path)),
+                       "_members": F.try_variant_get(record, "$", "map<string,variant>")})
     targets = [f.name for f in UNIFIED if f.name != "source_site"]
-    mapped = once(sourced, {t: _mapped(rec, raw_text, source, t, tables) for t in targets})
+    mapped = once(opened, {t: _mapped(members, raw_text, source, t, tables) for t in targets})
     typed = mapped.withColumn("question_type", F.when(
         F.coalesce("question_type", F.lit("")) == "",
         question_type(F.coalesce("question_text", F.lit("")))).otherwise(F.col("question_type")))
@@ -219,12 +226,13 @@ def map_fields(df: DataFrame, record: str = "record", raw: str = "raw", path: st
         """Replace the target wherever the source's own key is present, even by nothing."""
         result = None
         for name, key in names.items():
-            hit = (source == name) & has_key(rec, key)
-            value = make(field(rec, key))
+            hit = (source == name) & F.map_contains_key(members, key)
+            value = make(F.try_element_at(members, F.lit(key)))
             result = F.when(hit, value) if result is None else result.when(hit, value)
         return result.otherwise(F.col(target))
 
-    has_solutions = (source == "code_contests") & _is_object(field(rec, "solutions"))
+    has_solutions = (source == "code_contests") \
+        & _is_object(F.try_element_at(members, F.lit("solutions")))
     return typed.withColumns({
         "question_text": override(
             {"leetcode": "content", "mbpp": "text", "code_contests": "description"}, "question_text"),
@@ -233,9 +241,9 @@ def map_fields(df: DataFrame, record: str = "record", raw: str = "raw", path: st
         "difficulty": override(
             {"leetcode": "difficulty"}, "difficulty", lambda v: F.lower(as_text(v))),
         "test_cases": override({"mbpp": "test_list"}, "test_cases", text_list),
-        "solution_code": F.when(has_solutions, nested_solutions(rec, raw_text))
+        "solution_code": F.when(has_solutions, nested_solutions(F.col(record), raw_text))
         .otherwise(override({"mbpp": "code"}, "solution_code")),
-    })
+    }).drop("_members")
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:

@@ -93,9 +93,9 @@ def w7_prefix(spark: SparkSession, sf: str) -> DataFrame:
 def _records(spark: SparkSession, sf: str, *fields: Column, path: str = b.SITE_PATH) -> DataFrame:
     """Raw records: JSON of the given fields, with their VARIANT and a path."""
     raw = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    return b.documents(spark, sf).select(
-        F.col("doc_id").alias("rec_id"), F.expr(path).alias("src_path"), raw.alias("raw")) \
-        .withColumn("record", F.try_parse_json("raw"))
+    located = b.documents(spark, sf).withColumns({"rec_id": F.col("doc_id"), "src_path": F.expr(path)})
+    texts = mapping.once(located, {"raw": raw}).select("rec_id", "src_path", "raw")
+    return mapping.once(texts, {"record": F.try_parse_json("raw")})
 
 
 def _unify_fields() -> list[Column]:

@@ -49,9 +49,11 @@ def _content_id(path: Column, content: Column) -> Column:
 
 
 def _finish(df: DataFrame, fmt: str, rec_id: Column | None = None) -> DataFrame:
+    """The common columns. ``inline`` keeps later filters from repeating the parsing."""
     rec_id = rec_id if rec_id is not None else _content_id(F.col("src_path"), F.col("raw"))
+    parsed = F.inline(F.array(F.struct(F.try_parse_json("raw").alias("record"))))
     return df.select("src_path", F.lit(fmt).alias("format"), "src_block", "src_row",
-                     rec_id.alias("rec_id"), "raw", F.try_parse_json("raw").alias("record"))
+                     rec_id.alias("rec_id"), "raw", parsed)
 
 
 def read_jsonl(spark: SparkSession, root: str, suffix: str = "jsonl") -> DataFrame:
@@ -213,12 +215,16 @@ def read_records(spark: SparkSession, root: str, formats: tuple[str, ...] = tupl
     return records
 
 
+def _is_good() -> Column:
+    is_object = F.rlike("raw", F.lit(r"^\s*\{"))
+    return F.coalesce(F.col("record").isNotNull() & is_object, F.lit(False))
+
+
 def good_records(records: DataFrame) -> DataFrame:
     """Records that are JSON objects."""
-    return records.filter(F.coalesce(F.startswith(F.to_json("record"), F.lit("{")), F.lit(False)))
+    return records.filter(_is_good())
 
 
 def rejected_records(records: DataFrame) -> DataFrame:
     """What was read but is no record: bad JSON, arrays and scalars."""
-    return records.filter(~F.coalesce(F.startswith(F.to_json("record"), F.lit("{")), F.lit(False))) \
-        .select("src_path", "format", "src_block", "src_row", "raw")
+    return records.filter(~_is_good()).select("src_path", "format", "src_block", "src_row", "raw")
