@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import percentage
 
@@ -65,11 +65,11 @@ def quality_report(df: DataFrame) -> DataFrame:
     all_splits = df.sparkSession.createDataFrame(
         [("train",), ("validation",), ("test",)], "split string")
     sizes = profile.filter("field = 'source_site'").groupBy("split").agg(F.sum("n").alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    shares = all_splits.join(sizes, "split", "left").crossJoin(total).select(
-        F.lit("split").alias("metric"), F.col("split").alias("key"),
-        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-        percentage(F.coalesce("n", F.lit(0)), F.col("total")).alias("pct"))
+    three_rows = Window.partitionBy(F.lit(0))
+    known = all_splits.join(sizes, "split", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    shares = known.select(
+        F.lit("split").alias("metric"), F.col("split").alias("key"), F.col("n").cast("bigint").alias("n"),
+        percentage(F.col("n"), F.sum("n").over(three_rows)).alias("pct"))
     merged = profile.groupBy("field", "value").agg(F.sum("n").alias("n"))
     values = merged.filter("field <> 'source_site'").select(
         F.col("field").alias("metric"), F.col("value").alias("key"),
@@ -151,9 +151,11 @@ def summary(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
         F.coalesce(F.sum("entries"), F.lit(0)).cast("bigint").alias("original_entries"),
         F.count(F.lit(1)).alias("datasets"),
         F.coalesce(F.sum("files"), F.lit(0)).cast("bigint").alias("files"))
-    score = quality_score(outputs)
+    # Two single rows side by side: each column has a value in one of them.
+    both = original.unionByName(quality_score(outputs), allowMissingColumns=True)
+    facts = both.agg(*[F.max(c).alias(c) for c in both.columns])
     pct = percentage(F.col("entries"), F.col("original_entries"))
-    return original.crossJoin(score).select(
+    return facts.select(
         "original_entries", F.col("entries").alias("consolidated_entries"),
         pct.alias("coverage_pct"), F.col("datasets").cast("bigint"), "files",
         (F.col("entries") > 0).alias("success"), F.col("score").alias("quality_score"),

@@ -372,7 +372,7 @@ ORACLE: dict[str, str] = {
     "s6_csv_scan": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source FROM documents",
     "s7_tsv_scan": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, n_name
       FROM customer JOIN nation ON n_nationkey = c_nationkey""",
-    "s9_jsonl_scan": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents WHERE n_chars % 11 <> 0",
+    "s9_jsonl_scan": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents WHERE lang <> 'es'",
     "s11_text_records": f"""SELECT doc_id AS rec_id, substr(text, 1, 2000) AS question_text, 'coding' AS question_type,
       source AS source_site, CAST(doc_id AS VARCHAR) AS problem_id FROM documents WHERE length({strip('text')}) >= 10""",
     "s14_parquet_scan": "SELECT CAST(doc_id AS VARCHAR) AS id, text, lang FROM documents",

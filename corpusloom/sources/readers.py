@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions.html import html_to_text
 from ..functions.text import SPACE, utf8_text
 from ..operators.dedup import union_all
-from ..schema import FIELD_CANDIDATES, DATASET_KEYS
+from ..schema import DATASET_KEYS, FIELD_CANDIDATES
+from ..session import stage
 from .archives import read_archives
 from .inventory import file_glob, parquet_folders, plain_path
 
@@ -112,11 +113,13 @@ def read_xml(spark: SparkSession, root: str) -> DataFrame:
     return _finish(docs.withColumn("raw", _xml_records("value")), "xml", F.col("src_path"))
 
 
-def _encodings(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """Per file: whether all its lines are UTF-8, and the most separators in a line."""
-    lines = _scan(spark, root, suffix).text(root)
-    return lines.groupBy(plain_path(F.col("_metadata.file_path")).alias("src_path")) \
-        .agg(F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"))
+def _table_files(spark: SparkSession, root: str, suffix: str, sep: str) -> DataFrame:
+    """Per file: whether all its lines are UTF-8, and the most columns its first line can have."""
+    lines = _scan(spark, root, suffix).text(root).select("value", *_origin())
+    place = F.struct("src_block", "src_row")
+    return lines.groupBy("src_path").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"),
+        F.size(F.split(F.min_by("value", place), "\t" if sep == "\t" else sep)).alias("width"))
 
 
 def _table_rows(spark: SparkSession, root: str, suffix: str, sep: str, encoding: str,
@@ -127,15 +130,6 @@ def _table_rows(spark: SparkSession, root: str, suffix: str, sep: str, encoding:
     return rows.select(F.array(*[F.col(f"`{i}`") for i in range(width)]).alias("cells"), *_origin())
 
 
-def _header_width(spark: SparkSession, root: str, suffix: str, sep: str) -> int:
-    """Most columns a first line of any file can have, from its separators."""
-    lines = _scan(spark, root, suffix).text(root).select("value", *_origin())
-    heads = lines.filter("src_block = 0").groupBy("src_path") \
-        .agg(F.min_by("value", "src_row").alias("head"))
-    width = heads.agg(F.max(F.size(F.split("head", "\\t" if sep == "\t" else sep)))).first()[0]
-    return width or 0
-
-
 def read_csv(spark: SparkSession, root: str, suffix: str = "csv", sep: str = ",") -> DataFrame:
     """Rows of tables with a header line, each file with its own columns and its own encoding.
 
@@ -143,17 +137,19 @@ def read_csv(spark: SparkSession, root: str, suffix: str = "csv", sep: str = ","
     of a file then names the cells of the others. A file with lines that are not UTF-8 is read as
     Latin-1, which accepts any byte. Empty cells are absent.
     """
-    width = _header_width(spark, root, suffix, sep)
-    if width == 0:
-        return spark.createDataFrame([], RAW_SCHEMA)
-    encodings = _encodings(spark, root, suffix)
+    files = stage(_table_files(spark, root, suffix, sep), "table-files")
+    groups = files.groupBy("is_utf8").agg(F.max("width").alias("width")).collect()  # two rows at most
     frames = []
-    for encoding, wanted in (("UTF-8", True), ("ISO-8859-1", False)):
-        rows = _table_rows(spark, root, suffix, sep, encoding, width)
-        files = encodings.filter(F.col("is_utf8") == wanted).select("src_path")
+    for group in groups:
+        encoding = "UTF-8" if group["is_utf8"] else "ISO-8859-1"
+        rows = _table_rows(spark, root, suffix, sep, encoding, group["width"])
         heads = rows.groupBy("src_path").agg(
             F.min("src_row").alias("_head_row"), F.min_by("cells", "src_row").alias("_head"))
-        frames.append(rows.join(heads.join(files, "src_path"), "src_path"))
+        wanted = files.filter(F.col("is_utf8") == group["is_utf8"]).select("src_path")
+        # Staged: the planner broadcasts the headers when they are small, and else shuffles.
+        frames.append(rows.join(stage(heads.join(wanted, "src_path"), "table-heads"), "src_path"))
+    if not frames:
+        return spark.createDataFrame([], RAW_SCHEMA)
     body = union_all(frames).filter(F.col("src_row") > F.col("_head_row"))
     head = F.transform("_head", lambda c: F.regexp_replace(c, "^\\x{feff}", ""))
     named = F.filter(F.arrays_zip(head.alias("k"), F.col("cells").alias("v")),
