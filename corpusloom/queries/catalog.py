@@ -10,7 +10,7 @@ from ..plans import consolidate as jobs, training, verify
 from ..schema import UNIFIED
 from ..session import scratch_path, stage
 from ..sinks import writers
-from ..sources import corpus, readers
+from ..sources import corpus, inventory, readers
 from ..streaming import events as streams
 from . import bindings as b
 
@@ -459,6 +459,16 @@ def _fields(records: DataFrame, *names: str) -> DataFrame:
         *[mapping.as_text(mapping.field(F.col("record"), n)).alias(n) for n in names])
 
 
+def s4_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as a CSV file tree by source; entries and rows counted per file, then per source."""
+    rows = b.documents(spark, sf).select("source", F.col("doc_id").cast("string"), "text")
+    path = scratch_path(spark, "entries")
+    rows.write.partitionBy("source").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    files = inventory.exact_entries(spark, path, inventory.list_files(spark, path))
+    folder = F.regexp_extract("relative_path", "source=([^/]+)/", 1)
+    return files.groupBy(folder.alias("source"), "format").agg(F.sum("entries").alias("entries"))
+
+
 def s6_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     rows = b.documents(spark, sf).select(F.col("doc_id").cast("string"), "text", "lang", "source")
     path = _written(rows, "csv", "csv", "csv", header="true", escape='"', quoteAll="true")
@@ -551,6 +561,15 @@ def z1_records(spark: SparkSession, sf: str) -> DataFrame:
     return _consolidated(spark, sf).select("rec_id", "question_text", "solution_code", "question_type", "split")
 
 
+def z1_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole job on files: documents written as Parquet, consolidated, written and read back."""
+    rows = b.documents(spark, sf).select(
+        F.col("doc_id").alias("id"), F.col("text").alias("question"), F.col("text").alias("code"))
+    path, output = _written(rows, "files", "parquet", "parquet"), scratch_path(spark, "consolidated")
+    jobs.consolidate(spark, path, output, ("parquet",), create_variants=False, shard_size=SHARD_SIZE)
+    return stats.split_sizes(corpus.read_splits(spark, f"{output}/jsonl"))
+
+
 def z2_by_dataset(spark: SparkSession, sf: str) -> DataFrame:
     records = _records(spark, sf, F.col("text").alias("question"), F.col("doc_id").alias("id")) \
         .withColumn("dataset", F.lit("generic"))

@@ -369,6 +369,7 @@ ORACLE: dict[str, str] = {
         ELSE 'Error: Could not generate response' END AS response,
       CASE WHEN n % 2 = 0 THEN 'print(' || n || ')' ELSE 'Error: Could not generate response' END AS code,
       n % 2 <> 0 AS failed FROM p""",
+    "s4_entries": "SELECT source, 'csv' AS format, count(*) AS entries FROM documents GROUP BY source",
     "s6_csv_scan": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source FROM documents",
     "s7_tsv_scan": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, n_name
       FROM customer JOIN nation ON n_nationkey = c_nationkey""",
@@ -421,3 +422,6 @@ _REFINED = f"""cleaned AS (SELECT * REPLACE ({clean('question_text')} AS questio
   s AS ({split_of('good', STRATA)})"""
 ORACLE["z1_consolidate"] = f"WITH {DOCS}, {_REFINED} {manifest_of('s')}"
 ORACLE["z1_records"] = f"WITH {DOCS}, {_REFINED} SELECT rec_id, question_text, solution_code, question_type, split FROM s"
+
+ORACLE["z1_from_files"] = f"""WITH {DOCS}, {_REFINED.replace(STRATA, "answer_text")}
+  SELECT split, count(*) AS n FROM s GROUP BY split UNION ALL SELECT 'total', count(*) FROM s"""
