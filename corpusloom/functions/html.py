@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import html.entities
+import json
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Blocks whose content is not text. They go first: a script may hold a tag inside a string.
 HIDDEN_BLOCKS = (
@@ -18,8 +19,9 @@ ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 def _named_entities() -> Column:
     table = dict(html.entities.name2codepoint)
     table["apos"] = 39
-    cells = [F.lit(x) for name, code in table.items() for x in (name, chr(code))]
-    return F.create_map(*cells)
+    # One literal that folds to a constant map, where a map constructor has two expressions per entry.
+    return F.from_json(F.lit(json.dumps({name: chr(code) for name, code in table.items()})),
+                       T.MapType(T.StringType(), T.StringType()))
 
 
 def _from_code_point(code: Column) -> Column:

@@ -624,7 +624,7 @@ def r4_stream_responses(spark: SparkSession, sf: str) -> DataFrame:
 def r5_stream_rates(spark: SparkSession, sf: str) -> DataFrame:
     counts = streams.rolling_counts(_stream(spark, sf), "ts", "1 minute", ["event_type"])
     table = streams.run_rolling_counts(counts, "rates", ["event_type"])
-    return table.select(F.unix_seconds("window_start").alias("window_start"), "event_type", "n")
+    return table.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n")
 
 
 def r7_event_ids(spark: SparkSession, sf: str) -> DataFrame:

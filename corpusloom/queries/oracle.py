@@ -8,7 +8,7 @@ from ..functions.html import HIDDEN_BLOCKS, TAGS
 from ..functions.text import SPACE, SPACE_CHARS, WORD
 from ..schema import SOURCE_SITES
 from . import bindings as b
-from .catalog import FUZZY_THRESHOLD, SHARD_SIZE, TOKEN_CONFIDENCE
+from .catalog import SHARD_SIZE, TOKEN_CONFIDENCE
 
 _BLANKS = "(" + " || ".join(f"chr({ord(c)})" for c in SPACE_CHARS) + ")"
 _NL = "chr(10)"
@@ -178,7 +178,6 @@ def summary_of(outputs: str) -> str:
 
 
 # Field values of the raw records built for the mapping queries.
-Q_ = "CASE WHEN n_chars % 3 = 0 THEN text ELSE text END"
 DESCRIPTION = "CASE WHEN n_chars % 2 = 0 THEN text END"
 CODE = "CASE WHEN n_chars % 4 = 0 THEN '' ELSE source END"
 MAPPED_CODE = "source"
@@ -407,7 +406,7 @@ ORACLE: dict[str, str] = {
         ELSE 'Error: Could not generate response' END AS response,
       CASE WHEN n % 2 = 0 THEN 'print(' || n || ')' ELSE 'Error: Could not generate response' END AS code,
       n % 2 <> 0 AS failed FROM p""",
-    "r5_stream_rates": """SELECT CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS window_start, event_type, count(*) AS n
+    "r5_stream_rates": """SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n
       FROM events GROUP BY ALL""",
     "r7_event_ids": "SELECT count(*) AS events, count(DISTINCT event_id) AS ids FROM events",
 }
