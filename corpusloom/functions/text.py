@@ -35,7 +35,8 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """White-space separated words; an empty array for a blank text."""
-    return F.filter(F.split(strip(text), f"[{SPACE}]+"), lambda w: w != "")
+    bare = strip(text)
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+"))
 
 
 def utf8_text(text: Column) -> Column:
