@@ -165,3 +165,16 @@ def test_bad_records_are_reported(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"text": "ok"}\nnope\n')
     records = readers.read_records(spark, str(tmp_path), ("jsonl",))
     assert [r.raw for r in readers.rejected_records(records).collect()] == ["nope"]
+
+
+def test_command_line(spark, four_records, tmp_path):
+    from corpusloom.__main__ import main
+    out = str(tmp_path / "out")
+    assert main(["consolidate", "--root", four_records, "--output", out, "--no-variants"]) == 0
+    assert main(["verify", "--root", four_records, "--corpus", f"{out}/jsonl", "--output", str(tmp_path / "r")]) == 0
+    assert main(["training", "--corpus", f"{out}/jsonl", "--output", str(tmp_path / "t")]) == 0
+    assert main(["inventory", "--root", four_records, "--output", str(tmp_path / "i")]) == 0
+    empty = tmp_path / "none"
+    (empty / "split=train").mkdir(parents=True)
+    (empty / "split=train" / "a.json").write_text("not a record\n")
+    assert main(["verify", "--root", four_records, "--corpus", str(empty), "--output", str(tmp_path / "r2")]) == 1
