@@ -10,6 +10,8 @@ import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import scratch_path
+
 # Bytes of text handled at once inside a batch; temporary arrays are a small multiple of this.
 CHUNK_BYTES = 4 << 20
 
@@ -119,3 +121,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def per_row(firsts: np.ndarray) -> np.ndarray:
     """The row of each word, from the number of the first word of each row."""
     return np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+
+
+def stage_compact(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder with Zstandard and read it back; see ``session.stage``."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, crossparse, decontam
+from . import bpe, crossparse, decontam, substring
 from .common import read
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = substring.without_repeats(read(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path(RANK_FILE))
     coded = bpe.round_trip(read(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
@@ -33,6 +38,6 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_round_trip, op5_cross_parsing, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_bpe_round_trip, op5_cross_parsing, op9_decontamination)}
 
 ORACLE: dict[str, str] = {}
