@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, crossparse, decontam, substring
+from . import bpe, crossparse, decontam, substring, supervision, urlfilter
 from .common import read
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -30,6 +30,12 @@ def op5_cross_parsing(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", crossparse.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_weak_supervision(spark: SparkSession, sf: str) -> DataFrame:
+    judged = supervision.judge_quality(read(spark, sf, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "quality")
+
+
 def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontam.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
     return found.select(
@@ -38,6 +44,12 @@ def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_bpe_round_trip, op5_cross_parsing, op9_decontamination)}
+def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return urlfilter.judge_urls(read(spark, sf, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_substring_dedup, op3_bpe_round_trip, op5_cross_parsing, op6_weak_supervision, op9_decontamination,
+    op10_url_filter)}
 
 ORACLE: dict[str, str] = {}
