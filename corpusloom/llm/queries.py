@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, crossparse, decontam, substring, supervision, urlfilter
+from . import bpe, crossparse, decontam, propagation, substring, supervision, urlfilter, warczstd
 from .common import read
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,19 @@ def op6_weak_supervision(spark: SparkSession, sf: str) -> DataFrame:
                          "base_failed", "kept", "quality")
 
 
+def op7_label_propagation(spark: SparkSession, sf: str) -> DataFrame:
+    placed = propagation.assign_shards(read(spark, sf, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_warc_zstd(spark: SparkSession, sf: str) -> DataFrame:
+    folder = warczstd.new_folder(spark)
+    manifest = warczstd.write_archives(read(spark, sf, "pages"), folder)
+    return warczstd.read_archives(manifest, folder, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = decontam.contamination(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
     return found.select(
@@ -49,7 +62,7 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op3_bpe_round_trip, op5_cross_parsing, op6_weak_supervision, op9_decontamination,
-    op10_url_filter)}
+    op1_substring_dedup, op3_bpe_round_trip, op5_cross_parsing, op6_weak_supervision,
+    op7_label_propagation, op8_warc_zstd, op9_decontamination, op10_url_filter)}
 
 ORACLE: dict[str, str] = {}
