@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, crossparse, decontam, propagation, substring, supervision, urlfilter, warczstd
+from . import bpe, crossparse, decontam, forest, propagation, substring, supervision, urlfilter, warczstd
 from .common import read
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -23,6 +23,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_lsh_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return forest.component_table(read(spark, sf, "documents"), shingle=2)
+
+
 def op5_cross_parsing(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
     labelled = crossparse.learn(docs, ~crossparse.held_out())
@@ -62,7 +66,7 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op3_bpe_round_trip, op5_cross_parsing, op6_weak_supervision,
-    op7_label_propagation, op8_warc_zstd, op9_decontamination, op10_url_filter)}
+    op1_substring_dedup, op3_bpe_round_trip, op4_lsh_forest, op5_cross_parsing,
+    op6_weak_supervision, op7_label_propagation, op8_warc_zstd, op9_decontamination, op10_url_filter)}
 
 ORACLE: dict[str, str] = {}
