@@ -60,8 +60,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[np
             found = np.sort(joined[first:last - size + 1])
             yield found[np.concatenate([[True], found[1:] != found[:-1]])]
         elif last > first:
-            short = sum((word[first + k] * factor[k] for k in range(last - first)), np.uint64(last - first))
-            yield mix(np.array([short], np.uint64))
+            yield mix((word[first:last] * np.array(factor[:last - first])).sum(keepdims=True) + np.uint64(last - first))
         else:
             yield joined[:0]
 

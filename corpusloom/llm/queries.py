@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, crossparse, decontam, forest, propagation, substring, supervision, urlfilter, warczstd
+from . import bpe, crossparse, decontam, forest, lattice, propagation, substring, supervision, urlfilter, warczstd
 from .common import read
 
+PIECE_FILE = "piece_bpe_32k.model"
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -16,6 +17,11 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_subword_lattice(spark: SparkSession, sf: str) -> DataFrame:
+    weights = lattice.vocabulary(public_tokenizers.path(PIECE_FILE))
+    return lattice.score_documents(read(spark, sf, "documents"), weights)
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path(RANK_FILE))
     coded = bpe.round_trip(read(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
@@ -66,7 +72,7 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op3_bpe_round_trip, op4_lsh_forest, op5_cross_parsing,
+    op1_substring_dedup, op2_subword_lattice, op3_bpe_round_trip, op4_lsh_forest, op5_cross_parsing,
     op6_weak_supervision, op7_label_propagation, op8_warc_zstd, op9_decontamination, op10_url_filter)}
 
 ORACLE: dict[str, str] = {}
