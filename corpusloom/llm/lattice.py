@@ -3,7 +3,10 @@
 The pieces are those of an existing vocabulary, and its scores are the first weights. A word with a mark
 in front is a lattice with an arc for every substring that is a piece and for every single byte; no piece
 crosses into the next word, so a text's probability is the product of its words' and of the end.
-Expectation-maximisation over the counted words of the training documents re-estimates the weights.
+Expectation-maximisation over the distinct words of the training documents re-estimates the weights.
+A word of the training documents has one more arc, the word as a whole: its count less a discount, over
+all tokens. What the discounts leave is the weight of the arcs of pieces, which are learned from distinct
+words, as it is new and rare words that need them.
 
 Word counts are exact. The most frequent words, a bounded table, are broadcast with their counts; each
 document's other words meet their counts in a join.
@@ -27,6 +30,7 @@ from .common import LOWER, remainder, row_key, stage_compact, text_chunks, words
 MARK = b" "
 FREQUENT = 1 << 17      # bound of the broadcast table of frequent words
 EM_ROUNDS = 2
+DISCOUNT = 0.75         # taken from the count of every training word
 SMOOTH = 0.1            # added to the expected count of every piece
 ACROSS = 40             # words of up to this many bytes are handled side by side, longer ones singly
 HELD_WORDS = 1 << 20    # distinct words that a counting task holds before it passes them on
@@ -231,7 +235,7 @@ def count_words(training: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def learn_pieces(counts: DataFrame, n_ends: int, weights: dict[bytes, float], rounds: int = EM_ROUNDS) -> Pieces:
-    """Re-estimate the pieces on counted words. Only one number per piece comes to the driver."""
+    """Re-estimate the pieces on words with weights ``n``. Only one number per piece comes to the driver."""
     scale = sum(weights.values())
     pieces = make_pieces(weights, scale / 1000)
     for _ in range(rounds):
@@ -268,9 +272,10 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> pa.Table:
 
 
 def _scorer(shared) -> Callable:
-    """Kind 0: a document with what its frequent words give. Kind 1: one of its other words with its count."""
+    """Kind 0: a document with what its frequent words give. Kind 1: another word with its
+    count there and, as ``score``, the natural log of its arcs of pieces."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, names, logs, base, end_base, end_known = shared.value
+        pieces, names, logs, base, end_log, end_base, end_known = shared.value
         for batch in batches:
             for first, data, bounds in text_chunks(batch.column(2)):
                 found, codes, firsts = _distinct(data, bounds)
@@ -279,7 +284,8 @@ def _scorer(shared) -> Callable:
                 rare = place < 0
                 log = np.zeros(len(found))
                 log[~rare] = logs[place[~rare]]
-                log[rare] = word_logs(found.filter(pa.array(rare)), pieces)
+                arc = np.zeros(len(found))
+                arc[rare] = word_logs(found.filter(pa.array(rare)), pieces)
                 term = np.zeros(len(found))
                 term[~rare] = base[place[~rare]]
                 row = np.repeat(np.arange(rows), np.diff(firsts))
@@ -289,7 +295,7 @@ def _scorer(shared) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ones * 0, pa.int32()), key, pa.nulls(rows, pa.binary()), pa.array(np.diff(firsts) + 1), held,
                      pa.array(sums[2].astype(np.int64) + end_known), pa.array(sums[1] + end_base),
-                     pa.array((sums[0] + pieces.end) / np.log(10)), batch.column(3).slice(first, rows)],
+                     pa.array(sums[0] + end_log), batch.column(3).slice(first, rows)],
                     names=_NAMES)
                 open_ = rare[codes]
                 pair, n = np.unique(row[open_] * len(found) + codes[open_], return_counts=True)
@@ -298,7 +304,7 @@ def _scorer(shared) -> Callable:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.ones(size), pa.int32()), key.take(pa.array(owner)), found.take(pa.array(word)),
                      pa.array(n.astype(np.int64)), pa.nulls(size, pa.bool_()), pa.nulls(size, pa.int64()),
-                     pa.nulls(size, pa.float64()), pa.nulls(size, pa.float64()), pa.nulls(size, batch.column(3).type)],
+                     pa.nulls(size, pa.float64()), pa.array(arc[word]), pa.nulls(size, batch.column(3).type)],
                     names=_NAMES)
     return run
 
@@ -323,20 +329,30 @@ def score_documents(docs: DataFrame, weights: dict[bytes, float], id_col: str =
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total = n_words + n_ends
     denominator = float(total + distinct + int(n_ends > 0) + 1)
-    pieces = learn_pieces(counts, n_ends, weights, rounds)
+    distinct += int(n_ends > 0)
+    pieces = learn_pieces(counts.select("word", F.lit(1).cast("bigint").alias("n")), 1, weights, rounds)
+    left = DISCOUNT * distinct / total if total else 1.0
+
+    def log_probability(count: np.ndarray, arcs: np.ndarray) -> np.ndarray:
+        return np.log10(np.maximum(count - DISCOUNT, 0) / max(1, total) + left * np.exp(arcs))
+
     table = frequent_words(counts, frequent)
-    names = table.column("word").combine_chunks()
-    base = np.log10((table.column("n").to_numpy() + 1) / denominator)
+    names, n = table.column("word").combine_chunks(), table.column("n").to_numpy().astype(float)
     shared = docs.sparkSession.sparkContext.broadcast((
-        pieces, names, word_logs(names, pieces), base, np.log10((n_ends + 1) / denominator), int(n_ends > 0)))
+        pieces, names, log_probability(n, word_logs(names, pieces)), np.log10((n + 1) / denominator),
+        float(log_probability(np.array(float(n_ends)), np.array(pieces.end))),
+        float(np.log10((n_ends + 1) / denominator)), int(n_ends > 0)))
     id_type = keyed.schema["id"].dataType.simpleString()
     parts = stage_compact(keyed.select("key", "held", "text", "id").mapInArrow(_scorer(shared), SCORED.format(id_type)),
                           "word-scores")
     term = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(denominator))
     known = F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)
-    sums = parts.filter("kind = 1").select("key", "word", "n") \
+    arcs = F.col("score") * F.lit(float(np.log10(np.e)))
+    log = F.when(F.col("c").isNull(), F.lit(float(np.log10(left))) + arcs).otherwise(F.log10(
+        (F.col("c") - DISCOUNT) / F.lit(float(max(1, total))) + F.lit(left) * F.exp("score")))
+    sums = parts.filter("kind = 1").select("key", "word", "n", "score") \
         .join(counts.select("word", F.col("n").alias("c")), "word", "left") \
-        .groupBy("key").agg(F.sum(term).alias("more"), F.sum(known).alias("more_known"))
+        .groupBy("key").agg(F.sum(term).alias("more"), F.sum(known).alias("more_known"), F.sum(F.col("n") * log).alias("more_score"))
     rows = parts.filter("kind = 0").drop("kind", "word")
     copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     once = F.coalesce("copies", F.lit(1))
@@ -344,4 +360,5 @@ def score_documents(docs: DataFrame, weights: dict[bytes, float], id_col: str =
         F.col("id").alias(id_col), "held_out", F.col("n").alias("n_tokens"),
         (F.col("n_known") + F.coalesce(F.col("more_known") / once, F.lit(0))).cast("bigint").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce(F.col("more") / once, F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce(F.col("more") / once, F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce(F.col("more_score") / once, F.lit(0.0))).alias("score"))

@@ -25,7 +25,7 @@ def text_counts(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
     ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` (words inside
     three-word windows that the text holds twice or more), ``n_lines`` (with a word), ``n_letters``,
-    ``n_digits``, ``n_ends`` (lines that end in a mark). Repeats are found by sorting a text's windows.
+    ``n_upper``, ``n_digits``, ``n_calls`` (exclamation marks). Repeats are found by sorting a text's windows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = docs.select(text.alias("__text"), *[docs[c].alias(f"__{i}") for i, c in enumerate(keep)])
@@ -42,7 +42,8 @@ def text_counts(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.regexp_count("__text", F.lit(r"\p{L}")).cast("bigint").alias("n_letters"),
         F.regexp_count("__text", F.lit("[0-9]")).cast("bigint").alias("n_digits"),
-        F.size(F.filter("lines", lambda line: line.rlike(r"[.!?:;,][\x20\x09-\x0D]*$"))).cast("bigint").alias("n_ends"))
+        F.regexp_count("__text", F.lit(r"\p{Lu}")).cast("bigint").alias("n_upper"),
+        F.regexp_count("__text", F.lit("!")).cast("bigint").alias("n_calls"))
     rest = [c for c in counted.columns if c != "words"]
     windows = once(counted, {"windows": F.when(
         F.col("n_words") >= 3,
@@ -82,17 +83,18 @@ def default_rules() -> list[Rule]:
     lines = F.greatest(F.col("n_lines"), F.lit(1))
     length = F.col("word_chars") / words
     symbols, digits = F.col("n_symbols") / words, F.col("n_digits") / chars
-    letters, ends = F.col("n_letters") / chars, F.col("n_ends") / lines
+    letters, calls = F.col("n_letters") / chars, F.col("n_calls") / words
+    upper = F.col("n_upper") / F.greatest(F.col("n_letters"), F.lit(1))
     copies, repeats = F.col("n_dup_lines") / lines, F.col("n_repeat_words") / words
     return [
-        Rule("enough_words", F.col("n_words") >= MIN_WORDS, F.col("n_words") < 20),
         Rule("word_length", (length >= 3) & (length <= 9), (length < 2) | (length > 14)),
         Rule("few_symbols", symbols <= 0.02, symbols > 0.1),
         Rule("few_digits", digits <= 0.05, digits > 0.25),
-        Rule("letters", letters >= 0.85, letters < 0.6),
-        Rule("whole_lines", ends >= 0.5, (ends < 0.1) & (F.col("n_lines") >= 3)),
-        Rule("new_lines", copies <= 0.05, copies > 0.3),
-        Rule("new_words", repeats <= 0.15, repeats > 0.4),
+        Rule("letters", letters >= 0.9, letters < 0.88),
+        Rule("small_letters", upper <= 0.15, upper > 0.3),
+        Rule("calm", calls <= 0.02, calls > 0.2),
+        Rule("new_lines", copies <= 0.05, copies > 0.2),
+        Rule("new_words", repeats <= 0.1, repeats > 0.3),
     ]
 
 
@@ -109,17 +111,18 @@ class Trust:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 50, start: float = 0.8,
-             belief: float = 0.05) -> Trust:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 50, good_share: float = 0.85,
+             good_on_good: float = 0.97, good_on_bad: float = 0.6, belief: float = 0.01) -> Trust:
     """EM over counted vote patterns.
 
-    Each rule has the chance to vote good on a good and on a bad document, given that it votes. Both
-    start from ``start`` and are held to it by pseudo-votes worth ``belief`` of all documents (and at
-    least ten), which keeps the two classes from changing places; so is the share of good documents.
+    Each rule has the chance to vote good on a good and on a bad document, given that it votes. A rule
+    looks for one kind of fault, so most votes on a bad document are good too: that is where EM starts.
+    Pseudo-votes worth ``belief`` of all documents (and at least ten) hold the chances and the share of
+    good documents near the start, which keeps the two classes from changing places.
     """
     total = sum(n for _, n in patterns)
     pseudo = max(10.0, belief * total)
-    share, on_good, on_bad = start, [start] * n_rules, [1 - start] * n_rules
+    share, on_good, on_bad = good_share, [good_on_good] * n_rules, [good_on_bad] * n_rules
 
     def weights() -> tuple[float, list[tuple[float, float]]]:
         return math.log(share / (1 - share)), [
@@ -139,9 +142,9 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds:
                     seen[j][1] += n * p
                     seen[j][2] += n * (1 - p) * (v == 2)
                     seen[j][3] += n * (1 - p)
-        share = (good + pseudo * start) / (good + bad + pseudo)
-        on_good = [(s[0] + pseudo * start) / (s[1] + pseudo) for s in seen]
-        on_bad = [(s[2] + pseudo * (1 - start)) / (s[3] + pseudo) for s in seen]
+        share = (good + pseudo * good_share) / (good + bad + pseudo)
+        on_good = [(s[0] + pseudo * good_on_good) / (s[1] + pseudo) for s in seen]
+        on_bad = [(s[2] + pseudo * good_on_bad) / (s[3] + pseudo) for s in seen]
     prior, add = weights()
     return Trust(prior, add)
 
