@@ -83,14 +83,15 @@ def default_rules() -> list[Rule]:
     lines = F.greatest(F.col("n_lines"), F.lit(1))
     length = F.col("word_chars") / words
     symbols, digits = F.col("n_symbols") / words, F.col("n_digits") / chars
-    letters, calls = F.col("n_letters") / chars, F.col("n_calls") / words
+    marks = (F.col("word_chars") - F.col("n_letters") - F.col("n_digits")) / chars
+    calls = F.col("n_calls") / words
     upper = F.col("n_upper") / F.greatest(F.col("n_letters"), F.lit(1))
     copies, repeats = F.col("n_dup_lines") / lines, F.col("n_repeat_words") / words
     return [
         Rule("word_length", (length >= 3) & (length <= 9), (length < 2) | (length > 14)),
         Rule("few_symbols", symbols <= 0.02, symbols > 0.1),
-        Rule("few_digits", digits <= 0.05, digits > 0.25),
-        Rule("letters", letters >= 0.9, letters < 0.88),
+        Rule("few_digits", digits <= 0.05, digits > 0.5),
+        Rule("few_marks", marks <= 0.08, marks > 0.12),
         Rule("small_letters", upper <= 0.15, upper > 0.3),
         Rule("calm", calls <= 0.02, calls > 0.2),
         Rule("new_lines", copies <= 0.05, copies > 0.2),
