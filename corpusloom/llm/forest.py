@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stage
 from .common import LOWER, mix, row_key, span_hashes, stage_compact, text_chunks, words
@@ -229,6 +229,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return both.mapInArrow(_confirm(size, percent), "a bigint, b bigint")
 
 
+def node_id(id_col: str, text_col: str) -> Column:
+    """The id, or for a row without one a number above all ids that its text gives."""
+    without = F.lit(_NULL_ID) + F.shiftrightunsigned(F.xxhash64(F.lit("no id"), F.col(text_col)), 2)
+    return F.coalesce(F.col(id_col).cast("bigint"), without)
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """The component of every document: ``oid``, ``key``, ``n_shingles``, ``component``.
@@ -239,9 +245,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     linked with nothing.
     """
     threshold = percent / 100
-    own = F.coalesce(F.col(id_col).cast("bigint"),
-                     F.lit(_NULL_ID) + F.shiftrightunsigned(F.xxhash64(F.lit("no id"), F.col(text_col)), 2))
-    keyed = docs.select(own.alias("oid"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    keyed = docs.select(node_id(id_col, text_col).alias("oid"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     sets = stage_compact(keyed.mapInArrow(_make_sets(shingle), SETS), "shingle-sets")
     nodes = stage_compact(sets.filter("n > 0").groupBy("digest").agg(
         F.min("oid").alias("node"), F.first("values").alias("values"), F.count(F.lit(1)).alias("rows")), "forest-nodes")
