@@ -74,7 +74,8 @@ def tables(labelled: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, list[tu
     """The symbol numbers, and per language its flat transition table and the cost of a phrase.
 
     A move that does not exist ends the phrase and starts the next with the same symbol; it is stored
-    as the complement of the state after that symbol. Number 0 is padding, 1 a symbol no language has.
+    as the complement of the state after that symbol. The last state is the one before any phrase, and
+    after a symbol that the language lacks. Number 0 is padding, 1 a symbol no language has.
     """
     seen = sorted(set().union(*[set(text) for _, text in labelled]))
     number = np.ones(256, np.uint8)
@@ -83,11 +84,11 @@ def tables(labelled: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, list[tu
     width, found = len(seen) + 2, []
     for language, text in labelled:
         moves = suffix_automaton(text)
-        start = np.zeros(width, np.int32)
+        start = np.full(width, len(moves), np.int32)
         for symbol, state in moves[0].items():
             start[number[symbol]] = state
-        table = np.tile(~start, (len(moves), 1))
-        table[:, 0] = np.arange(len(moves))
+        table = np.tile(~start, (len(moves) + 1, 1))
+        table[:, 0] = np.arange(len(moves) + 1)
         for state, out in enumerate(moves):
             for symbol, target in out.items():
                 table[state, number[symbol]] = target
@@ -107,8 +108,8 @@ def phrases(symbols: np.ndarray, bounds: np.ndarray, table: np.ndarray, width: i
     order = np.argsort(-left, kind="stable")
     begin, left = begin[order], left[order]
     alive = np.searchsorted(-left, -np.arange(STRETCH), side="left")  # lanes longer than each step
-    state = np.zeros(len(row), np.int32)
-    count = np.ones(len(row), np.int32)
+    state = np.full(len(row), len(table) // width - 1, np.int32)
+    count = np.zeros(len(row), np.int32)
     for step in range(STRETCH):
         n = alive[step]
         if not n:

@@ -1,7 +1,7 @@
 """Sharding by balanced label propagation: linked documents gather in one shard, sizes stay even.
 
 Documents with equal texts are linked. Linked documents start in shards drawn by hash; each round, the
-members of a group move towards the shard that holds most of it and has room. Documents without links
+members of a group move towards the shard that holds most of it, as far as quotas allow. Documents without links
 are indifferent, so they take the room that is left. Groups are handled as counts per shard, at most one
 row for each shard, so a group of any size costs no more than that; its members get their shards from
 their rank in the group.
@@ -30,41 +30,59 @@ def _pick(values: list[int], index: Column) -> Column:
     return F.get(F.array(*[F.lit(int(v)).cast("bigint") for v in values]), index)
 
 
+def move_quotas(wishes: dict[tuple[int, int], int], free: list[int]) -> list[list[int]]:
+    """How many may move from each shard to each other: wishes against each other change places, the
+    rest share the room that is free, the largest wishes first."""
+    shards = len(free)
+    quota = [[min(wishes.get((i, j), 0), wishes.get((j, i), 0)) for j in range(shards)] for i in range(shards)]
+    left = list(free)
+    for (i, j), n in sorted(wishes.items(), key=lambda w: (-w[1], w[0])):
+        more = min(n - quota[i][j], left[j])
+        quota[i][j] += more
+        left[j] -= more
+    return quota
+
+
 def propagate(counts: DataFrame, room: list[int], rounds: int = ROUNDS) -> DataFrame:
     """Move ``n`` members of each ``grp`` between shards, never beyond ``room`` rows in a shard.
 
-    ``counts`` has ``grp``, ``shard``, ``n``. A group's members in a shard move to the shard with room
-    that holds most of the group, if that holds more than their own (ties to the smaller number).
-    Where more want to move than there is room for, hash order decides, and the last group moves in part.
-    Only the shards' totals, one number each, come to the driver.
+    ``counts`` has ``grp``, ``shard``, ``n``. A group's members move to the shard that holds most of the
+    group, ties by hash; every other round to the one of those with room, so that what a full shard cannot
+    take gathers elsewhere. Where more want to move than quotas allow, hash order decides, and the last
+    group moves in part. Only totals per shard or pair of shards come to the driver. Ends after two
+    rounds without a move.
     """
-    shards = len(room)
-    for _ in range(rounds):
+    shards, still = len(room), 0
+    for turn in range(rounds):
         used = {r["shard"]: r["n"] for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         free = [room[k] - used.get(k, 0) for k in range(shards)]
-        open_ = [k for k in range(shards) if free[k] > 0]
-        if not open_:
-            break
-        best = counts.filter(F.col("shard").isin(open_)).groupBy("grp").agg(
-            F.max(F.struct("n", (-F.col("shard")).alias("back"))).alias("best")) \
-            .select("grp", F.col("best.n").alias("most"), (-F.col("best.back")).alias("target"))
-        placed = counts.join(best, "grp", "left")
-        ahead = (F.col("most") > F.col("n")) | ((F.col("most") == F.col("n")) & (F.col("target") < F.col("shard")))
-        moves = F.coalesce((F.col("target") != F.col("shard")) & ahead, F.lit(False))
+        goals = counts.filter(F.col("shard").isin([k for k in range(shards) if free[k] > 0])) if turn % 2 else counts
+        order = F.struct("n", F.xxhash64("grp", "shard").alias("tie"), "shard")
+        best = goals.groupBy("grp").agg(F.max(order).alias("best"))
+        placed = counts.withColumn("own", order).join(best, "grp", "left")
+        moves = F.coalesce(F.col("best") > F.col("own"), F.lit(False))
         placed = stage(placed.select(
-            "grp", "shard", "n", F.when(moves, F.col("target")).alias("target"),
+            "grp", "shard", "n", F.when(moves, F.col("best.shard")).alias("target"),
             F.pmod(F.xxhash64("grp"), F.lit(_BUCKETS)).alias("bucket")), "propagation-wishes")
         wishes = placed.filter("target IS NOT NULL")
-        if wishes.isEmpty():
-            break
-        by_bucket = Window.partitionBy("target").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        earlier = wishes.groupBy("target", "bucket").agg(F.sum("n").alias("wanted")) \
-            .select("target", "bucket", F.coalesce(F.sum("wanted").over(by_bucket), F.lit(0)).alias("before"))
-        inside = Window.partitionBy("target", "bucket").orderBy("grp", "shard").rowsBetween(Window.unboundedPreceding, -1)
+        wanted = {(r["shard"], r["target"]): r["n"]
+                  for r in wishes.groupBy("shard", "target").agg(F.sum("n").alias("n")).collect()}
+        quota = move_quotas(wanted, free)
+        if not any(map(any, quota)):
+            still += 1
+            if still == 2:
+                break
+            continue
+        still = 0
+        way = ["shard", "target"]
+        by_bucket = Window.partitionBy(*way).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = wishes.groupBy(*way, "bucket").agg(F.sum("n").alias("wanted")) \
+            .select(*way, "bucket", F.coalesce(F.sum("wanted").over(by_bucket), F.lit(0)).alias("before"))
+        inside = Window.partitionBy(*way, "bucket").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
         queued = wishes.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0))) \
-            .join(earlier, ["target", "bucket"])
-        moved = F.least(F.col("n"), F.greatest(
-            F.lit(0), _pick(free, F.col("target").cast("int")) - F.col("before") - F.col("within")))
+            .join(earlier, [*way, "bucket"])
+        limit = _pick([n for row in quota for n in row], (F.col("shard") * shards + F.col("target")).cast("int"))
+        moved = F.least(F.col("n"), F.greatest(F.lit(0), limit - F.col("before") - F.col("within")))
         settled = queued.withColumn("moved", moved).select("grp", F.explode(F.array(
             F.struct(F.col("target").alias("shard"), F.col("moved").alias("n")),
             F.struct(F.col("shard"), (F.col("n") - F.col("moved")).alias("n")))).alias("part")) \
