@@ -45,7 +45,7 @@ def drop_consecutive(df: DataFrame, key: str, text_col: str, time_col: str, id_c
     marked = filled.withColumn("_lag", F.lag(text_col).over(within)) \
         .withColumn("_first", F.row_number().over(within) == 1)
     joined = marked.join(
-        starts, marked[key].eqNullSafe(starts["_k"]) & (marked["_span"] == starts["_s"]), "inner")
+        starts, marked[key].eqNullSafe(starts["_k"]) & marked["_span"].eqNullSafe(starts["_s"]), "inner")
     before = F.when(F.col("_first"), F.col("_before_span")).otherwise(F.col("_lag"))
     return joined.filter(~F.col(text_col).eqNullSafe(before)).select(*[marked[c] for c in df.columns])
 

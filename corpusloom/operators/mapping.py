@@ -200,6 +200,8 @@ def _mapped(members: Column, raw: Column, source: Column, target: str,
     """The first truthy candidate of the row's source. The candidates are data, not one CASE each."""
     cells = [cell for name, table in tables.items() if target in table
              for cell in (F.lit(name), F.array(*[F.lit(c) for c in table[target]]))]
+    if not cells:  # no table has this target
+        return _shaped(target, F.lit(""), F.lit(None).cast("variant"), raw)
     candidates = F.try_element_at(F.create_map(*cells), source)
     first = F.try_element_at(F.filter(
         candidates, lambda n: F.coalesce(is_truthy(F.try_element_at(members, n)), F.lit(False))), F.lit(1))

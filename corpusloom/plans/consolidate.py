@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import path_stem
+from ..functions.text import path_stem, relative_path
 from ..operators import dedup, filters, fuzzy, mapping, splits, variants
 from ..schema import ENGINE, FIELD_CANDIDATES, UNIFIED
 from ..session import stage
@@ -20,7 +20,11 @@ def refine(records: DataFrame, order: Sequence[str] = ("rec_id",), fuzzy_thresho
            create_variants: bool = True, rewrite: bool = True) -> DataFrame:
     """Exact (or near) duplicates out, quality filter, language variants."""
     if fuzzy_threshold < 1.0:
-        unique = fuzzy.fuzzy_dedup(records, fuzzy_threshold)
+        # Zero-padded, so that the text order of the key is the order of the records.
+        kinds = dict(records.dtypes)
+        parts = [F.lpad(F.col(c).cast("string"), 19, "0") if kinds[c] in ("bigint", "int") else F.col(c) for c in order]
+        placed = records.withColumn("_order", F.concat_ws("\0", *parts))
+        unique = fuzzy.fuzzy_dedup(placed, fuzzy_threshold, id_col="_order").drop("_order")
     else:
         unique = dedup.exact_dedup(records, order=list(order))
     good = filters.quality_filter(unique)
@@ -31,7 +35,8 @@ def read_normalised(spark: SparkSession, root: str, formats: tuple[str, ...] = t
                     exclude: str | None = None, clean_code: bool = False, valid: Column | None = None,
                     tables: Mapping[str, Mapping[str, Sequence[str]]] = FIELD_CANDIDATES) -> DataFrame:
     """Unified, cleaned and valid records of all files below ``root``."""
-    records = readers.good_records(readers.read_records(spark, root, formats, exclude))
+    records = readers.good_records(
+        readers.read_records(spark, root, formats, exclude, readers.candidate_columns(tables)))
     unified = mapping.normalise(records, clean_code=clean_code, valid=valid, tables=tables)
     return unified.select(*[f.name for f in ENGINE], *[f.name for f in UNIFIED])
 
@@ -60,7 +65,7 @@ def consolidate_by_dataset(spark: SparkSession, root: str, output: str | None =
     formats = ("csv", "json", "jsonl", "txt", "parquet")
     records = readers.read_records(spark, root, formats, exclude=output)
     located = records.withColumn(
-        "relative_path", F.substring(F.col("src_path"), len(root.rstrip("/")) + 2, 1 << 30))
+        "relative_path", relative_path(F.col("src_path"), inventory.absolute(spark, root)))
     routed = inventory.route_to_datasets(located).drop("relative_path")
     is_text = F.col("format") == "txt"
     names = [f.name for f in ENGINE] + [f.name for f in UNIFIED]

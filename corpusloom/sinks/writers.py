@@ -14,8 +14,8 @@ OUTPUT_FORMATS = ("jsonl", "parquet")
 
 
 def write_splits(df: DataFrame, path: str) -> None:
-    """One folder of JSON lines per split: ``split=train`` and so on."""
-    nested_as_json(df).write.mode("overwrite").options(**JSON_OPTIONS).partitionBy("split").json(path)
+    """One folder of JSON lines per split: ``split=train`` and so on. Lists are JSON arrays."""
+    df.write.mode("overwrite").options(**JSON_OPTIONS).partitionBy("split").json(path)
 
 
 def in_shuffled_order(df: DataFrame, id_col: str, seed: str) -> DataFrame:

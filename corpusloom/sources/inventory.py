@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import mimetypes
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import SPACE, path_suffix, relative_path
 from ..schema import DATASET_GLOBS, SUPPORTED_FORMATS
+from .jsonstream import json_items
 
+# JSON documents above this are read as a stream, element by element.
+JSON_BYTES = 64 << 20
 LINE_FORMATS = ("csv", "jsonl")
 
 
@@ -31,6 +35,12 @@ def _guessed_formats() -> dict[str, str]:
     return guesses
 
 
+def format_glob(fmt: str) -> str:
+    """Glob for a format's own suffix and for those that are guessed to be it."""
+    suffixes = [fmt, *sorted(name for name, guess in _guessed_formats().items() if guess == fmt)]
+    return "{" + ",".join(file_glob(s) for s in suffixes) + "}"
+
+
 def detect_format(path: Column) -> Column:
     """Known suffix, else a guess from the media type, else ``unknown``."""
     suffix = path_suffix(path)
@@ -46,6 +56,24 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^file:/+", "/")
 
 
+def scanned_path() -> Column:
+    """The file a row was read from. ``_metadata`` holds its path percent-encoded, other columns do not."""
+    encoded = F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")
+    return plain_path(F.coalesce(F.try_url_decode(encoded), F.col("_metadata.file_path")))
+
+
+def absolute(spark: SparkSession, path: str) -> str:
+    """The path as the file system it is on names it, so that it compares with the paths of files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub(r"^file:/+", "/", system.makeQualified(place).toString())
+
+
+def outside(path: Column, folder: str) -> Column:
+    """Whether a file is not below ``folder``, an absolute path."""
+    return ~F.startswith(path, F.lit(folder.rstrip("/") + "/"))
+
+
 def list_files(spark: SparkSession, root: str, exclude: str | None = None) -> DataFrame:
     """Every file below ``root``: path, format, bytes, relative path. File contents are not read."""
     files = (
@@ -53,10 +81,10 @@ def list_files(spark: SparkSession, root: str, exclude: str | None = None) -> Da
         .select(plain_path(F.col("path")).alias("path"), "length", "modificationTime")
     )
     if exclude:
-        files = files.filter(~F.startswith("path", F.lit(exclude.rstrip("/") + "/")))
+        files = files.filter(outside(F.col("path"), absolute(spark, exclude)))
     return files.select(
         "path", detect_format(F.col("path")).alias("format"), "length", "modificationTime",
-        relative_path(F.col("path"), root).alias("relative_path"))
+        relative_path(F.col("path"), absolute(spark, root)).alias("relative_path"))
 
 
 def supported_files(files: DataFrame) -> DataFrame:
@@ -77,8 +105,7 @@ def _read(spark: SparkSession, root: str, suffix: str, **options: str):
 
 
 def _by_file(df: DataFrame, count: Column) -> DataFrame:
-    path = plain_path(F.col("_metadata.file_path"))
-    return df.groupBy(path.alias("path")).agg(count.cast("bigint").alias("n"))
+    return df.groupBy(scanned_path().alias("path")).agg(count.cast("bigint").alias("n"))
 
 
 def _line_counts(spark: SparkSession, root: str, suffix: str, blank: bool) -> DataFrame:
@@ -89,13 +116,28 @@ def _line_counts(spark: SparkSession, root: str, suffix: str, blank: bool) -> Da
 
 def _json_counts(spark: SparkSession, root: str, scalar: int, invalid: int) -> DataFrame:
     """Length of an array; 1 for an object; the given numbers for a scalar and for bad JSON."""
-    docs = _read(spark, root, "json").text(root, wholetext=True)
-    parsed = F.try_parse_json("value")
-    kind = F.to_json(parsed)
-    n = F.when(parsed.isNull(), F.lit(invalid)) \
-        .when(F.startswith(kind, F.lit("[")), F.coalesce(F.json_array_length("value"), F.lit(0))) \
-        .when(F.startswith(kind, F.lit("{")), F.lit(1)).otherwise(F.lit(scalar))
-    return _by_file(docs, F.sum(n))
+    docs = whole_files(spark, root, file_glob("json"), JSON_BYTES)
+    start = F.substring(F.ltrim("value"), 1, 1)
+    n = F.when(F.json_array_length("value").isNotNull(), F.json_array_length("value")) \
+        .when(~F.is_variant_null(F.try_parse_json("value")) & (start == "{"), F.lit(1)) \
+        .when(F.try_parse_json("value").isNull(), F.lit(invalid)).otherwise(F.lit(scalar))
+    small = docs.filter("NOT too_long").select(F.col("src_path").alias("path"), n.cast("bigint").alias("n"))
+    items = json_items(docs.filter("too_long").select("src_path")) \
+        .groupBy(F.col("src_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    return small.unionAll(items)
+
+
+def whole_files(spark: SparkSession, root: str, glob: str, limit: int) -> DataFrame:
+    """``src_path``, ``value`` and ``too_long`` of each file; the text of a file above ``limit`` bytes is
+    not read but null, so one such file cannot fail the scan of the others."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
+        .option("pathGlobFilter", glob).load(root)
+    path = plain_path(F.col("path")).alias("src_path")
+    short = files.filter(F.col("length") <= limit).select(path, F.col("content").cast("string").alias("value"),
+                                                          F.lit(False).alias("too_long"))
+    long = files.filter(F.col("length") > limit).select(path, F.lit(None).cast("string").alias("value"),
+                                                        F.lit(True).alias("too_long"))
+    return short.unionAll(long)
 
 
 def parquet_folders(spark: SparkSession, root: str) -> list[str]:
@@ -108,11 +150,16 @@ def parquet_folders(spark: SparkSession, root: str) -> list[str]:
     return sorted(r[0] for r in paths.select(folder).distinct().collect())
 
 
+def parquet_files(folder: str) -> str:
+    """A glob for the Parquet files right in a folder, whatever characters its name has."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", folder) + "/" + file_glob("parquet")
+
+
 def _parquet_counts(spark: SparkSession, root: str) -> DataFrame:
     counts = None
     for folder in parquet_folders(spark, root):
-        rows = spark.read.option("pathGlobFilter", file_glob("parquet")) \
-            .option("ignoreCorruptFiles", "true").schema("`_none` string").parquet(folder)
+        rows = spark.read.option("recursiveFileLookup", "true") \
+            .option("ignoreCorruptFiles", "true").schema("`_none` string").parquet(parquet_files(folder))
         one = _by_file(rows, F.count(F.lit(1)))
         counts = one if counts is None else counts.unionByName(one)
     return counts if counts is not None else spark.createDataFrame([], "path string, n bigint")
@@ -159,7 +206,7 @@ def exact_entries(spark: SparkSession, root: str, files: DataFrame) -> DataFrame
 def _other_line_counts(spark: SparkSession, root: str) -> DataFrame:
     """Non-blank lines of every file that is read as text; 0 for one that is not UTF-8."""
     lines = spark.read.option("recursiveFileLookup", "true").text(root)
-    path = plain_path(F.col("_metadata.file_path"))
+    path = scanned_path()
     plain = lines.filter(~path_suffix(path).isin("json", "jsonl", "csv", "parquet"))
     filled = F.count_if(F.rlike("value", F.lit(f"[^{SPACE}]")))
     return _by_file(plain, F.when(F.bool_and(F.is_valid_utf8("value")), filled).otherwise(F.lit(0)))

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import json
 import xml.etree.ElementTree as ElementTree
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.html import html_to_text
 from ..functions.text import SPACE, utf8_text
@@ -21,13 +21,21 @@ from ..operators.dedup import union_all
 from ..schema import DATASET_KEYS, FIELD_CANDIDATES
 from ..session import stage
 from .archives import read_archives
-from .inventory import file_glob, parquet_folders, plain_path
+from .inventory import (
+    JSON_BYTES, absolute, file_glob, format_glob, outside, parquet_files, parquet_folders, scanned_path, whole_files)
+from .jsonstream import json_items
 
 RAW_SCHEMA = ("src_path string, format string, src_block bigint, src_row bigint, rec_id string, "
               "raw string, record variant")
 _ROW_BITS = (1 << 33) - 1
 
 
+# Files read as one value: the longest that are, well below the 2 GB of a Spark value.
+WHOLE_BYTES = 1 << 30
+# A VARIANT parser built on the defaults refuses longer strings.
+LONG_STRING = 20_000_000
+
+
 def _scan(spark: SparkSession, root: str, suffix: str, **options: str):
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_glob(suffix))
     for key, value in options.items():
@@ -38,50 +46,81 @@ def _scan(spark: SparkSession, root: str, suffix: str, **options: str):
 def _origin() -> list[Column]:
     """Where a record stands: file, start of its split, and a row number rising within the split."""
     return [
-        plain_path(F.col("_metadata.file_path")).alias("src_path"),
+        scanned_path().alias("src_path"),
         F.col("_metadata.file_block_start").alias("src_block"),
         F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS)).alias("src_row"),
     ]
 
 
-def _content_id(path: Column, content: Column) -> Column:
-    """Id from path and content, the same however the scan is cut into tasks."""
-    return F.concat_ws("#", path, F.md5(content))
+def _whole(spark: SparkSession, root: str, fmt: str) -> DataFrame:
+    """Files of a format as one value each; a file above ``WHOLE_BYTES`` has none and is rejected."""
+    return whole_files(spark, root, format_glob(fmt), WHOLE_BYTES).select(
+        "value", "src_path", F.lit(0).cast("bigint").alias("src_block"), F.lit(0).cast("bigint").alias("src_row"))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``src_row`` as the line's number in its file, ``src_block`` 0: the same however the scan is cut.
+
+    The starts of the splits, a row each, are counted first and staged.
+    """
+    blocks = lines.groupBy("src_path", "src_block").agg(
+        F.min("src_row").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = Window.partitionBy("src_path").orderBy("src_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stage(blocks.select("src_path", "src_block", (
+        F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")).alias("_shift")), "split-starts")
+    placed = lines.join(starts, ["src_path", "src_block"])
+    return placed.withColumns({"src_row": F.col("src_row") + F.col("_shift"),
+                               "src_block": F.lit(0).cast("bigint")}).drop("_shift")
+
+
+def _variant(raw: Column) -> Column:
+    """JSON text as VARIANT, null for bad JSON; of equal keys the last counts, strings may be long."""
+    long = F.from_json(raw, "variant", {"maxStringLen": str((1 << 31) - 1)})
+    return F.coalesce(F.try_parse_json(raw), F.when(F.length(raw) > LONG_STRING, long))
 
 
 def _finish(df: DataFrame, fmt: str, rec_id: Column | None = None) -> DataFrame:
-    """The common columns. ``inline`` keeps later filters from repeating the parsing."""
-    rec_id = rec_id if rec_id is not None else _content_id(F.col("src_path"), F.col("raw"))
-    parsed = F.inline(F.array(F.struct(F.try_parse_json("raw").alias("record"))))
+    """The common columns. ``inline`` keeps later filters from repeating the parsing.
+
+    The id is the path and the place in the file, so equal records have different ids; a caller that
+    wants to know equal content compares ``raw``.
+    """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    rec_id = rec_id if rec_id is not None else F.concat_ws("#", "src_path", F.col("src_row").cast("string"))
+    parsed = F.inline(F.array(F.struct(_variant(F.col("raw")).alias("record"))))
     return df.select("src_path", F.lit(fmt).alias("format"), "src_block", "src_row",
                      rec_id.alias("rec_id"), "raw", parsed)
 
 
 def read_jsonl(spark: SparkSession, root: str, suffix: str = "jsonl") -> DataFrame:
     """One record per non-blank line; a bad line has a null record."""
-    lines = _scan(spark, root, suffix).text(root).select(F.col("value").alias("raw"), *_origin())
+    lines = _numbered(_scan(spark, root, suffix).text(root).select(F.col("value").alias("raw"), *_origin()))
     return _finish(lines.filter(F.rlike("raw", F.lit(f"[^{SPACE}]"))), "jsonl")
 
 
-def read_json(spark: SparkSession, root: str) -> DataFrame:
-    """Elements of a top-level array, or the document itself."""
-    docs = _scan(spark, root, "json").text(root, wholetext=True) \
-        .select(F.col("value"), *_origin())
-    parsed = F.to_json(F.try_parse_json("value"))
-    items = F.when(F.startswith(parsed, F.lit("[")), F.from_json("value", "array<string>")) \
-        .otherwise(F.array("value"))
-    rows = docs.select("src_path", "src_block", F.posexplode(items).alias("_pos", "raw"))
-    return _finish(rows.withColumn("src_row", F.col("_pos").cast("bigint")), "json",
-                   F.concat_ws("#", "src_path", F.col("_pos").cast("string")))
+def read_json(spark: SparkSession, root: str, json_bytes: int = JSON_BYTES) -> DataFrame:
+    """Elements of a top-level array, or the document itself.
+
+    A document above ``json_bytes`` is read as a stream, so its elements may be any number.
+    """
+    docs = whole_files(spark, root, format_glob("json"), json_bytes)
+    is_array = F.startswith(F.ltrim("value", F.lit(" \t\n\r\ufeff")), F.lit("["))
+    text = F.regexp_replace("value", "^\\x{feff}", "")
+    items = F.when(is_array, F.from_json(text, "array<string>", {"maxStringLen": str((1 << 31) - 1)}))
+    short = docs.filter("NOT too_long").select(
+        "src_path", F.posexplode(F.coalesce(items, F.array(text))).alias("pos", "raw"))
+    long = json_items(docs.filter("too_long"))
+    rows = short.unionByName(long).select(
+        "src_path", F.lit(0).cast("bigint").alias("src_block"), F.col("pos").cast("bigint").alias("src_row"), "raw")
+    return _finish(rows, "json")
 
 
 def read_text(spark: SparkSession, root: str, suffix: str = "txt") -> DataFrame:
     """A whole file per record with field ``content``; bytes that are not UTF-8 are dropped."""
-    docs = _scan(spark, root, suffix).text(root, wholetext=True) \
-        .select(utf8_text(F.col("value")).alias("content"), *_origin())
+    docs = _whole(spark, root, suffix).withColumn("content", utf8_text(F.col("value")))
     content = html_to_text(F.col("content")) if suffix == "html" else F.col("content")
-    rows = docs.withColumn("raw", F.to_json(F.struct(
-        content.alias("content"), F.col("src_path").alias("file_path"))))
+    rows = docs.withColumn("raw", F.when(F.col("value").isNotNull(), F.to_json(F.struct(
+        content.alias("content"), F.col("src_path").alias("file_path")))))
     return _finish(rows, suffix, F.col("src_path"))
 
 
@@ -108,18 +147,34 @@ def _xml_records(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def read_xml(spark: SparkSession, root: str) -> DataFrame:
     """One record per file."""
-    docs = _scan(spark, root, "xml").text(root, wholetext=True) \
-        .select(F.col("value"), *_origin())
+    docs = _whole(spark, root, "xml")
     return _finish(docs.withColumn("raw", _xml_records("value")), "xml", F.col("src_path"))
 
 
 def _table_files(spark: SparkSession, root: str, suffix: str, sep: str) -> DataFrame:
-    """Per file: whether all its lines are UTF-8, and the most columns its first line can have."""
+    """Per file: whether all its lines are UTF-8, and the most separators in one of them."""
     lines = _scan(spark, root, suffix).text(root).select("value", *_origin())
-    place = F.struct("src_block", "src_row")
+    cells = F.size(F.split("value", "\t" if sep == "\t" else sep))
     return lines.groupBy("src_path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"),
-        F.size(F.split(F.min_by("value", place), "\t" if sep == "\t" else sep)).alias("width"))
+        F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"), F.max(cells).alias("width"))
+
+
+def _table_heads(spark: SparkSession, root: str, suffix: str, sep: str, encoding: str,
+                 width: int) -> tuple[DataFrame, DataFrame, int]:
+    """The rows of all tables, the first record of each, and the width that holds every first record.
+
+    A record may span lines, so its width is known only once it is parsed: the width is doubled until
+    the upper half of it holds no name.
+    """
+    width = 2 * width + 2
+    while True:
+        rows = _table_rows(spark, root, suffix, sep, encoding, width)
+        heads = stage(rows.groupBy("src_path").agg(
+            F.min("src_row").alias("_head_row"), F.min_by("cells", "src_row").alias("_head")), "table-heads")
+        names = F.size(F.array_compact(F.slice("_head", width // 2 + 1, width)))
+        if heads.filter(names > 0).isEmpty():
+            return rows, heads, width
+        width *= 2
 
 
 def _table_rows(spark: SparkSession, root: str, suffix: str, sep: str, encoding: str,
@@ -142,9 +197,7 @@ def read_csv(spark: SparkSession, root: str, suffix: str = "csv", sep: str = ","
     frames = []
     for group in groups:
         encoding = "UTF-8" if group["is_utf8"] else "ISO-8859-1"
-        rows = _table_rows(spark, root, suffix, sep, encoding, group["width"])
-        heads = rows.groupBy("src_path").agg(
-            F.min("src_row").alias("_head_row"), F.min_by("cells", "src_row").alias("_head"))
+        rows, heads, width = _table_heads(spark, root, suffix, sep, encoding, group["width"])
         wanted = files.filter(F.col("is_utf8") == group["is_utf8"]).select("src_path")
         # Staged: the planner broadcasts the headers when they are small, and else shuffles.
         frames.append(rows.join(stage(heads.join(wanted, "src_path"), "table-heads"), "src_path"))
@@ -167,32 +220,34 @@ def read_tsv(spark: SparkSession, root: str) -> DataFrame:
     return read_csv(spark, root, "tsv", "\t")
 
 
-def candidate_columns() -> set[str]:
+def candidate_columns(tables: Mapping[str, Mapping[str, Sequence[str]]] = FIELD_CANDIDATES) -> set[str]:
     """Every field name any mapping looks at; other Parquet columns are not read."""
     names = {"solutions"}
-    for table in (*FIELD_CANDIDATES.values(), *DATASET_KEYS.values()):
+    for table in (*tables.values(), *DATASET_KEYS.values()):
         for candidates in table.values():
             names.update(candidates)
     return names | {"java", "python", "c++", "javascript", "title", "name", "test_list"}
 
 
 def read_parquet(spark: SparkSession, root: str, columns: set[str] | None = None) -> DataFrame:
-    """Rows of Parquet files, only the columns a mapping can use. One scan per folder."""
+    """Rows of Parquet files, only the columns a mapping can use. One scan per folder.
+
+    A folder's files are read by themselves: folders named ``key=value`` are folders like others.
+    """
     wanted = columns or candidate_columns()
     frames = []
     for folder in parquet_folders(spark, root):
         try:
-            table = spark.read.option("pathGlobFilter", file_glob("parquet")) \
-                .option("mergeSchema", "true").option("ignoreCorruptFiles", "true").parquet(folder)
+            table = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true") \
+                .option("ignoreCorruptFiles", "true").parquet(parquet_files(folder))
         except AnalysisException:  # nothing readable in this folder
             continue
         used = [F.col(f"`{c}`") for c in table.columns if c in wanted]
         row = F.to_json(F.struct(*used), {"ignoreNullFields": "false"}) if used else F.lit("{}")
         frames.append(_finish(
-            table.select(row.alias("raw"), plain_path(F.col("_metadata.file_path")).alias("src_path"),
+            table.select(row.alias("raw"), scanned_path().alias("src_path"),
                          F.lit(0).cast("bigint").alias("src_block"),
-                         F.col("_metadata.row_index").alias("src_row")),
-            "parquet", F.concat_ws("#", "src_path", F.col("src_row").cast("string"))))
+                         F.col("_metadata.row_index").alias("src_row")), "parquet"))
     return union_all(frames) if frames else spark.createDataFrame([], RAW_SCHEMA)
 
 
@@ -203,12 +258,14 @@ READERS = {
 
 
 def read_records(spark: SparkSession, root: str, formats: tuple[str, ...] = tuple(READERS),
-                 exclude: str | None = None) -> DataFrame:
-    """Raw records of all files below ``root`` in the given formats, good and bad."""
-    records = union_all([READERS[f](spark, root) for f in formats])
-    if exclude:
-        records = records.filter(~F.startswith("src_path", F.lit(exclude.rstrip("/") + "/")))
-    return records
+                 exclude: str | None = None, columns: set[str] | None = None) -> DataFrame:
+    """Raw records of all files below ``root`` in the given formats, good and bad.
+
+    ``columns`` are the Parquet columns to read, by default those of the built-in mappings.
+    """
+    frames = [read_parquet(spark, root, columns) if f == "parquet" else READERS[f](spark, root) for f in formats]
+    records = union_all(frames)
+    return records.filter(outside(F.col("src_path"), absolute(spark, exclude))) if exclude else records
 
 
 def _is_good() -> Column:
