@@ -604,10 +604,45 @@ def r1_stream_questions(spark: SparkSession, sf: str) -> DataFrame:
     return streams.run_to_table(emitted, "questions")
 
 
+def _event_files(spark: SparkSession, sf: str, parts: int = 3) -> str:
+    """The events as files in the order of time, one written after the other, so that state is carried."""
+    events = b.table(spark, sf, "events")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    path, edges = scratch_path(spark, "event-files"), [low + (high - low) * k / parts for k in range(1, parts)]
+    for k in range(parts):
+        inside = F.lit(True)
+        if k:
+            inside = inside & (F.col("ts") >= F.lit(edges[k - 1]))
+        if k < parts - 1:
+            inside = inside & (F.col("ts") < F.lit(edges[k]))
+        events.filter(inside).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _consecutive(spark: SparkSession, sf: str) -> tuple[DataFrame, str, DataFrame]:
+    path = _event_files(spark, sf)
+    events = streams.read_events(spark, path, b.table(spark, sf, "events").schema, max_files=1) \
+        .select("event_id", "user_id", "ts", "event_type")
+    table, state = streams.run_consecutive(events, "user_id", "ts", "event_id", "event_type", "consecutive")
+    return table, state, events
+
+
 def r2_stream_consecutive(spark: SparkSession, sf: str) -> DataFrame:
-    events = _stream(spark, sf).select("event_id", "user_id", "ts", "event_type")
-    kept = streams.drop_consecutive_stream(events, "user_id", "ts", "event_id", "event_type")
-    return streams.run_to_table(kept, "consecutive").select("event_id", "user_id", "event_type", "history_size")
+    table, _, _ = _consecutive(spark, sf)
+    return table.select("event_id", "user_id", "event_type", "history_size")
+
+
+def r2_stream_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The last ten kept events of each user, as the stream leaves them."""
+    _, state, events = _consecutive(spark, sf)
+    schema = events.select("user_id", "event_id", "ts", "event_type").schema
+    return streams.read_history(spark, state, schema).select("event_id", "user_id", "event_type")
+
+
+def r6_stream_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """A polling stream that is stopped after a while; the wait is ample for the table."""
+    gated = _stream(spark, sf).select("event_id", "event_type")
+    return streams.run_to_table(gated, "bounded", {"processingTime": "1 second"}, wait=20.0)
 
 
 def r3_stream_gate(spark: SparkSession, sf: str) -> DataFrame:

@@ -398,6 +398,11 @@ ORACLE: dict[str, str] = {
       ORDER BY ts, event_id) AS before FROM events) WHERE event_type IS DISTINCT FROM before)
       SELECT event_id, user_id, event_type, least(10, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS history_size
       FROM kept""",
+    "r2_stream_history": """WITH kept AS (SELECT * FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id
+      ORDER BY ts, event_id) AS before FROM events) WHERE event_type IS DISTINCT FROM before)
+      SELECT event_id, user_id, event_type FROM kept
+      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10""",
+    "r6_stream_bounded": "SELECT event_id, event_type FROM events",
     "r3_stream_gate": f"""WITH {EVENTS} SELECT event_id, text, confidence FROM captured
       WHERE confidence >= 70 AND {is_question('text')} AND length(text) BETWEEN 20 AND 2000""",
     "r4_stream_responses": f"""WITH {EVENTS}, p AS (SELECT event_id, length(text) + 21 AS n FROM captured

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import dedup
+from corpusloom.operators import dedup, splits
 from corpusloom.queries.catalog import length_scorer
 from corpusloom.streaming import events as streams
 
@@ -30,15 +30,44 @@ def source(spark, tmp_path_factory):
     return path, df.schema
 
 
-def test_consecutive_equals_batch(spark, source):
+@pytest.mark.parametrize("max_files", [1, 64])
+def test_consecutive_equals_batch(spark, source, max_files):
     path, schema = source
-    stream = streams.read_events(spark, path, schema, max_files=1)
-    table = streams.run_to_table(
-        streams.drop_consecutive_stream(stream, "user_id", "ts", "event_id", "text"), "t-consecutive")
+    stream = streams.read_events(spark, path, schema, max_files=max_files)
+    table, state = streams.run_consecutive(stream, "user_id", "ts", "event_id", "text", "t-consecutive")
     batch = dedup.drop_consecutive(spark.read.parquet(path), "user_id", "text", "ts", "event_id")
     assert table.select("event_id").exceptAll(batch.select("event_id")).isEmpty()
     assert table.count() == batch.count()
-    assert table.agg(F.max("history_size")).first()[0] == 10
+    sizes = {}
+    for r in table.orderBy("ts", "event_id").collect():
+        sizes.setdefault(r.user_id, []).append(r.history_size)
+    assert all(s == [min(10, k + 1) for k in range(len(s))] for s in sizes.values())
+    kept = table.drop("history_size")
+    last = streams.read_history(spark, state, kept.schema)
+    assert last.exceptAll(splits.last_n_per_key(kept, "user_id", ["ts", "event_id"])).isEmpty()
+    assert last.count() == splits.last_n_per_key(kept, "user_id", ["ts", "event_id"]).count() > 0
+    streams.clear_history(spark, state, kept.schema)
+    assert streams.read_history(spark, state, kept.schema).isEmpty()
+
+
+def test_empty_streams(spark, tmp_path):
+    schema = "event_id bigint, user_id int, ts timestamp, text string"
+    rows = spark.createDataFrame([], schema)
+    stream = lambda: streams.read_events(spark, str(tmp_path), rows.schema)
+    assert streams.run_consecutive(stream(), "user_id", "ts", "event_id", "text", "t-empty")[0].count() == 0
+    assert streams.run_rolling_counts(streams.rolling_counts(stream(), "ts"), "t-empty").count() == 0
+    good, failed = streams.run_responses(stream(), length_scorer, "t-empty")
+    assert good.count() == failed.count() == 0
+    assert streams.run_to_table(stream(), "t-empty").count() == 0
+
+
+def test_polling_ends(spark, source):
+    path, schema = source
+    stream = streams.read_events(spark, path, schema).select("event_id")
+    with pytest.raises(ValueError):
+        streams.run_to_table(stream, "t-poll", {"processingTime": "1 second"})
+    assert streams.run_to_table(stream, "t-poll", {"processingTime": "1 second"}, wait=15).count() == \
+        spark.read.parquet(path).count()
 
 
 def test_classify_and_gate_equal_batch(spark, source):
