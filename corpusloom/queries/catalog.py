@@ -483,6 +483,128 @@ def s7_tsv_scan(spark: SparkSession, sf: str) -> DataFrame:
     return _fields(readers.read_tsv(spark, path), "c_custkey", "c_name", "n_name")
 
 
+def _lines(df: DataFrame, path: str, extension: str, *folders: str) -> str:
+    """Write the texts of column ``value``, which have no line breaks, as files with any suffix."""
+    writer = df.write.mode("append").partitionBy(*folders) if folders else df.write.mode("append")
+    writer.option("extension", extension).option("quote", "").option("sep", "\u0001") \
+        .option("escapeQuotes", False).option("emptyValue", "").csv(path)
+    return path
+
+
+def s8_json_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as JSON arrays of up to 500; both those read as one value and those read as streams."""
+    row = F.struct("doc_id", "text", "lang")
+    arrays = b.documents(spark, sf).groupBy(F.floor(F.col("doc_id") / 500).alias("part")) \
+        .agg(F.to_json(F.collect_list(row)).alias("value")).select("part", "value")
+    path = _lines(arrays, scratch_path(spark, "json files"), "json", "part")
+    records = readers.read_json(spark, path, json_bytes=1_000_000)
+    return _fields(records, "doc_id", "text", "lang")
+
+
+def _flat(column: str) -> Column:
+    return F.translate(F.col(column), "\r\n", "  ")
+
+
+def s10_text_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A file per page, its URL as text."""
+    rows = b.table(spark, sf, "pages").select("page_id", _flat("url").alias("value"))
+    path = _lines(rows.repartition(8, "page_id"), scratch_path(spark, "text files"), "TXT", "page_id")
+    records = readers.good_records(readers.read_text(spark, path))
+    return records.select(
+        F.regexp_extract("src_path", "page_id=([0-9]+)/", 1).cast("bigint").alias("page_id"),
+        F.rtrim(mapping.as_text(mapping.field(F.col("record"), "content")), F.lit("\n")).alias("content"))
+
+
+def s12_html_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A file per page; the texts must be those of the function on the table's column."""
+    rows = b.table(spark, sf, "pages").select("page_id", _flat("html").alias("value"))
+    path = _lines(rows.repartition(8, "page_id"), scratch_path(spark, "html files"), "html", "page_id")
+    records = readers.good_records(readers.read_html(spark, path))
+    return records.select(
+        F.regexp_extract("src_path", "page_id=([0-9]+)/", 1).cast("bigint").alias("page_id"),
+        F.rtrim(mapping.as_text(mapping.field(F.col("record"), "content")), F.lit("\n")).alias("text"))
+
+
+def s13_xml_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A file per supplier, with a nested element and a repeated one, of which the last counts."""
+    value = F.format_string("<r><k>%d</k><name>old</name><name>%s</name><at><nation>%d</nation></at></r>",
+                            "s_suppkey", "s_name", "s_nationkey")
+    rows = b.table(spark, sf, "supplier").select("s_suppkey", value.alias("value"))
+    path = _lines(rows.repartition(8, "s_suppkey"), scratch_path(spark, "xml files"), "xml", "s_suppkey")
+    record = F.col("record")
+    return readers.good_records(readers.read_xml(spark, path)).select(
+        F.try_variant_get(record, "$.k", "string").alias("k"), F.try_variant_get(record, "$.name", "string").alias("name"),
+        F.try_variant_get(record, "$.at.nation", "string").alias("nation"))
+
+
+def _tree(spark: SparkSession, sf: str) -> str:
+    """Suppliers as a tree of files in several formats, one file per nation and format.
+
+    A third of the lines is broken; names hold blanks and upper-case suffixes; one suffix is guessed.
+    """
+    root = scratch_path(spark, "tree of files")
+    rows = b.table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey") \
+        .repartition(1)
+    nation = F.col("s_nationkey").alias("n")
+    line = F.to_json(F.struct("s_suppkey", "s_name"))
+    broken = F.when(F.col("s_suppkey") % 3 == 0, F.left(line, F.length(line) - 1)).otherwise(line)
+    _lines(rows.select(nation, broken.alias("value")), f"{root}/description2code_current/codechef", "JSONL", "n")
+    _lines(rows.groupBy(nation).agg(F.to_json(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("value"))
+           .repartition(1), f"{root}/description2code_current/codeforces", "json", "n")
+    _lines(rows.select(nation, F.col("s_name").alias("value")), f"{root}/description2code_current/hackerearth", "txt", "n")
+    _lines(rows.select(nation, F.col("s_name").alias("value")), f"{root}/notes of all", "md", "n")
+    rows.select(nation, "s_suppkey", "s_name").write.partitionBy("n").option("header", True) \
+        .option("extension", "CSV").csv(f"{root}/tables")
+    rows.select(nation, F.col("s_suppkey").alias("id"), F.col("s_name").alias("text")).write.partitionBy("n") \
+        .parquet(f"{root}/columns")
+    return root
+
+
+def _top_folder() -> Column:
+    return F.regexp_extract("relative_path", "^(?:description2code_current/)?([^/]+)/", 1).alias("folder")
+
+
+def s1_inventory(spark: SparkSession, sf: str) -> DataFrame:
+    files = inventory.list_files(spark, _tree(spark, sf))
+    return files.groupBy(_top_folder(), "format").agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(F.col("length") > 0).alias("filled"))
+
+
+def f7_supported(spark: SparkSession, sf: str) -> DataFrame:
+    files = inventory.list_files(spark, _tree(spark, sf))
+    suffix = text.path_suffix(F.col("path"))
+    return inventory.supported_files(files).groupBy(suffix.alias("suffix"), "format") \
+        .agg(F.count(F.lit(1)).alias("files"))
+
+
+def s3_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    root = _tree(spark, sf)
+    files = inventory.estimated_rows(spark, root, inventory.list_files(spark, root))
+    return files.groupBy(_top_folder(), "format").agg(F.sum("estimated_rows").alias("estimated_rows"))
+
+
+def s4_tree_entries(spark: SparkSession, sf: str) -> DataFrame:
+    root = _tree(spark, sf)
+    files = inventory.exact_entries(spark, root, inventory.list_files(spark, root))
+    return files.groupBy(_top_folder(), "format").agg(F.sum("entries").alias("entries"))
+
+
+def s5_routing(spark: SparkSession, sf: str) -> DataFrame:
+    """Files by dataset; a file that fits several patterns of a dataset counts once."""
+    routed = inventory.route_to_datasets(inventory.list_files(spark, _tree(spark, sf)))
+    return routed.groupBy("dataset", "format").agg(
+        F.count(F.lit(1)).alias("files"), F.countDistinct("path").alias("paths"))
+
+
+def s16_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Records read and rejected by format, over a tree of all formats."""
+    records = stage(readers.read_records(spark, _tree(spark, sf)).select("src_path", "format", "src_block", "src_row", "raw", "rec_id",
+                                                                      readers.is_good().alias("good")), "tree-records")
+    return records.groupBy("format").agg(
+        F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("rejected"),
+        F.countDistinct("rec_id").alias("ids"))
+
+
 def s9_jsonl_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as lines of JSON; those of one language are cut short and must be rejected."""
     line = F.to_json(F.struct("doc_id", "text", "lang"))

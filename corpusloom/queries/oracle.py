@@ -195,6 +195,13 @@ SITE_CODE = (f"CASE {SITE} WHEN 'leetcode' THEN source WHEN 'mbpp' THEN {CODE} "
              f"WHEN 'code_contests' THEN NULL ELSE {MAPPED_CODE} END")
 SITE_TESTS = f"CASE WHEN {SITE} IN ('mbpp', 'unknown') THEN lang || '|' || source END"
 
+# The tree of files that the inventory queries write: files and rows of each folder.
+TREE = """WITH tree AS (SELECT folder, format, suffix, n_files, n_rows FROM (VALUES ('codechef', 'jsonl', 'jsonl'),
+  ('codeforces', 'json', 'json'), ('hackerearth', 'txt', 'txt'), ('notes of all', 'txt', 'md'), ('tables', 'csv', 'csv'),
+  ('columns', 'parquet', 'parquet')) AS v(folder, format, suffix),
+  (SELECT count(*) AS n_rows, count(DISTINCT s_nationkey) AS n_files FROM supplier))"""
+S12_HTML = "translate(html, chr(13) || chr(10), '  ')"
+
 ORACLE: dict[str, str] = {
     "c1_clean_text": f"WITH {SNIPPETS} SELECT rec_id, {clean('snippet')} AS clean FROM snippets",
     "c2_html_text": f"SELECT page_id, {html('html')} AS text FROM pages",
@@ -372,6 +379,22 @@ ORACLE: dict[str, str] = {
     "s6_csv_scan": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, source FROM documents",
     "s7_tsv_scan": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, n_name
       FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+    "s8_json_scan": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents",
+    "s10_text_scan": """SELECT page_id, rtrim(translate(url, chr(13) || chr(10), '  '), chr(10)) AS content FROM pages""",
+    "s12_html_scan": f"SELECT page_id, rtrim({html(S12_HTML)}, chr(10)) AS text FROM pages",
+    "s13_xml_scan": """SELECT CAST(s_suppkey AS VARCHAR) AS k, s_name AS name, CAST(s_nationkey AS VARCHAR) AS nation
+      FROM supplier""",
+    "s1_inventory": f"{TREE} SELECT folder, format, n_files AS files, n_files AS filled FROM tree",
+    "f7_supported": f"{TREE} SELECT suffix, format, n_files AS files FROM tree",
+    "s3_estimates": f"""{TREE} SELECT folder, format, CASE WHEN format = 'txt' THEN n_files
+      WHEN format = 'csv' THEN n_files + n_rows ELSE n_rows END AS estimated_rows FROM tree""",
+    "s4_tree_entries": f"{TREE} SELECT folder, format, n_rows AS entries FROM tree",
+    "s5_routing": f"""{TREE} SELECT folder AS dataset, format, n_files AS files, n_files AS paths FROM tree
+      WHERE folder IN ('codeforces', 'hackerearth')""",
+    "s16_rejects": f"""{TREE}, bad AS (SELECT count(*) FILTER (WHERE s_suppkey % 3 = 0) AS n FROM supplier), r AS (
+      SELECT format, sum(CASE WHEN format = 'txt' THEN n_files ELSE n_rows END) AS n FROM tree GROUP BY format)
+      SELECT format, CAST(r.n AS BIGINT) - CASE WHEN format = 'jsonl' THEN bad.n ELSE 0 END AS good,
+      CASE WHEN format = 'jsonl' THEN bad.n ELSE 0 END AS rejected, CAST(r.n AS BIGINT) AS ids FROM r, bad""",
     "s9_jsonl_scan": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents WHERE lang <> 'es'",
     "s11_text_records": f"""SELECT doc_id AS rec_id, substr(text, 1, 2000) AS question_text, 'coding' AS question_type,
       source AS source_site, CAST(doc_id AS VARCHAR) AS problem_id FROM documents WHERE length({strip('text')}) >= 10""",

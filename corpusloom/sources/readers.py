@@ -268,16 +268,17 @@ def read_records(spark: SparkSession, root: str, formats: tuple[str, ...] = tupl
     return records.filter(outside(F.col("src_path"), absolute(spark, exclude))) if exclude else records
 
 
-def _is_good() -> Column:
+def is_good() -> Column:
+    """Whether a record is a JSON object."""
     is_object = F.rlike("raw", F.lit(r"^\s*\{"))
     return F.coalesce(F.col("record").isNotNull() & is_object, F.lit(False))
 
 
 def good_records(records: DataFrame) -> DataFrame:
     """Records that are JSON objects."""
-    return records.filter(_is_good())
+    return records.filter(is_good())
 
 
 def rejected_records(records: DataFrame) -> DataFrame:
     """What was read but is no record: bad JSON, arrays and scalars."""
-    return records.filter(~_is_good()).select("src_path", "format", "src_block", "src_row", "raw")
+    return records.filter(~is_good()).select("src_path", "format", "src_block", "src_row", "raw")
