@@ -51,14 +51,21 @@ def consolidate(spark: SparkSession, root: str, output: str | None = None,
     then read only the columns they need instead of repeating the parsing and cleaning.
     """
     unified = read_normalised(spark, root, formats, exclude=output, clean_code=clean_code)
+    # Staged before the output is replaced, which may be among the files that were listed.
+    rejected = stage(read_rejected(spark, root, formats, output), "rejected") if output else None
     refined = stage(refine(unified, RECORD_ORDER, fuzzy_threshold, create_variants), "refined")
     split = splits.stratified_split(refined, seed=seed)
     if output:
         writers.write_shards(split, output, shard_size, output_formats)
-        writers.write_manifest(split, output, shard_size)
+        writers.write_manifest(split, output, shard_size, output_formats, writers.write_rejected(rejected, output))
     return split
 
 
+def read_rejected(spark: SparkSession, root: str, formats: tuple[str, ...], exclude: str | None) -> DataFrame:
+    """What is read below ``root`` but is no record, with the reason."""
+    return readers.rejected_records(readers.read_records(spark, root, formats, exclude))
+
+
 def consolidate_by_dataset(spark: SparkSession, root: str, output: str | None = None,
                            seed: str = "42") -> DataFrame:
     """The glob-routed profile: per-dataset keys, no cleaning, no duplicates removed, global split."""
@@ -77,6 +84,7 @@ def consolidate_by_dataset(spark: SparkSession, root: str, output: str | None =
     corpus = stage(dedup.union_all([objects.select(*names), texts.select(*names)]), "by-dataset")
     split = splits.global_split(corpus, seed=seed)
     if output:
+        rejected = stage(readers.rejected_records(records), "rejected")
         writers.write_splits(split, f"{output}/jsonl")
-        writers.write_manifest(split, output)
+        writers.write_manifest(split, output, rejected=writers.write_rejected(rejected, output))
     return split

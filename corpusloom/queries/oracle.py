@@ -407,7 +407,11 @@ ORACLE: dict[str, str] = {
       length(question_text) AS n_chars FROM s""",
     "k3_manifest": f"""WITH {DOCS}, coded AS (SELECT *, 'coding' AS question_type FROM docs), s AS ({split_of('coded', STRATA)})
       {manifest_of('s')} UNION ALL SELECT 'shards', split,
-      CASE WHEN count(*) > {SHARD_SIZE} THEN CAST(ceil(count(*) / CAST({SHARD_SIZE} AS DOUBLE)) AS BIGINT) ELSE 1 END FROM s GROUP BY split""",
+      CASE WHEN count(*) > {SHARD_SIZE} THEN CAST(ceil(count(*) / CAST({SHARD_SIZE} AS DOUBLE)) AS BIGINT) ELSE 1 END FROM s GROUP BY split
+      UNION ALL SELECT 'output_format', 'jsonl', 1
+      UNION ALL SELECT 'shard', split || '/' || CASE WHEN n <= {SHARD_SIZE} THEN 'all' ELSE lpad(CAST(i AS VARCHAR), 3, '0') END,
+      least({SHARD_SIZE}, n - i * {SHARD_SIZE}) FROM (SELECT split, n, unnest(range(CAST(ceil(n / {SHARD_SIZE}.0) AS BIGINT))) AS i
+      FROM (SELECT split, count(*) AS n FROM s GROUP BY split))""",
     "z2_by_dataset": f"""WITH {PATHS}, u AS (SELECT doc_id AS rec_id, {strip('text')} AS question_text,
       CAST(doc_id AS VARCHAR) AS problem_id, {question_type_by_parts('text')} AS question_type FROM paths
       WHERE {strip('text')} <> '') SELECT rec_id, question_text, problem_id, question_type, split FROM ({split_of('u', '')})""",

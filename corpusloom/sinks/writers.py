@@ -64,17 +64,40 @@ def write_shards(df: DataFrame, path: str, shard_size: int = 0, formats: tuple[s
 
 
 def shard_counts(df: DataFrame, shard_size: int) -> DataFrame:
-    """Manifest rows (metric ``shards``, key = split, number of shards)."""
-    sizes = df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
-    count = F.when(F.lit(shard_size > 0) & (F.col("rows") > shard_size),
-                   F.ceil(F.col("rows") / F.lit(max(shard_size, 1)))).otherwise(F.lit(1))
-    return sizes.select(F.lit("shards").alias("metric"), F.col("split").alias("key"),
-                        count.cast("bigint").alias("n"))
-
-
-def write_manifest(df: DataFrame, path: str, shard_size: int = 0) -> DataFrame:
-    """Write the manifest as a few JSON lines and return it."""
+    """Manifest rows: ``shards`` (number per split) and ``shard`` (rows of ``split/shard``)."""
+    sizes = df.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("rows"))
+    whole = F.lit(shard_size <= 0) | (F.col("rows") <= shard_size)
+    size = F.lit(max(shard_size, 1))
+    numbered = sizes.withColumn("count", F.when(whole, F.lit(1)).otherwise(F.ceil(F.col("rows") / size)).cast("bigint"))
+    counts = numbered.select(F.lit("shards").alias("metric"), F.col("split").alias("key"), F.col("count").alias("n"))
+    each = numbered.select("split", "rows", whole.alias("whole"), F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("i"))
+    digits = F.greatest(F.lit(3), F.length(F.col("i").cast("string")))
+    name = F.when(F.col("whole"), F.lit("all")).otherwise(F.lpad(F.col("i").cast("string"), digits, F.lit("0")))
+    rows = F.when(F.col("whole"), F.col("rows")).otherwise(F.least(size, F.col("rows") - F.col("i") * size))
+    return counts.unionAll(each.select(F.lit("shard"), F.concat_ws("/", "split", name), rows.cast("bigint")))
+
+
+def write_rejected(rejected: DataFrame, path: str) -> DataFrame:
+    """Write what was rejected, with reasons, under ``<path>/rejected``; counts by format and reason."""
+    target = f"{path}/rejected"
+    rejected.write.mode("overwrite").parquet(target)
+    return rejected.sparkSession.read.schema(rejected.schema).parquet(target) \
+        .groupBy("format", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_manifest(df: DataFrame, path: str, shard_size: int = 0, formats: tuple[str, ...] = ("jsonl",),
+                   rejected: DataFrame | None = None) -> DataFrame:
+    """Write the manifest as a few JSON lines and return it.
+
+    Besides the counts of ``stats.manifest``: shards and their rows, output formats, and rejected
+    records by ``format/reason``. Datasets are the keys of ``source_site``.
+    """
     rows = stats.manifest(df).unionByName(shard_counts(df, shard_size))
+    spark = df.sparkSession
+    rows = rows.unionByName(spark.createDataFrame([("output_format", f, 1) for f in formats], "metric string, key string, n bigint"))
+    if rejected is not None:
+        rows = rows.unionByName(rejected.select(
+            F.lit("rejected").alias("metric"), F.concat_ws("/", "format", "reason").alias("key"), "n"))
     return write_report(rows, f"{path}/manifest")
 
 

@@ -280,5 +280,7 @@ def good_records(records: DataFrame) -> DataFrame:
 
 
 def rejected_records(records: DataFrame) -> DataFrame:
-    """What was read but is no record: bad JSON, arrays and scalars."""
-    return records.filter(~is_good()).select("src_path", "format", "src_block", "src_row", "raw")
+    """What was read but is no record: a file that is unreadable or too long, bad JSON, arrays and scalars."""
+    reason = F.when(F.col("raw").isNull(), "unreadable").when(F.col("record").isNull(), "bad JSON") \
+        .otherwise("no object")
+    return records.filter(~is_good()).select("src_path", "format", "src_block", "src_row", reason.alias("reason"), "raw")

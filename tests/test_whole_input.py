@@ -9,7 +9,7 @@ import pytest
 from corpusloom.operators import dedup, mapping
 from corpusloom.plans import consolidate
 from corpusloom.sinks import writers
-from corpusloom.sources import inventory, jsonstream, readers
+from corpusloom.sources import corpus, inventory, jsonstream, readers
 
 
 def put(folder, name, content):
@@ -180,3 +180,15 @@ def test_a_target_in_no_table(spark, tmp_path):
     records = readers.good_records(readers.read_jsonl(spark, str(tmp_path)))
     got = mapping.normalise(records, tables={"unknown": {"question_text": ["q"]}}, valid=readers.F.lit(True)).collect()
     assert [r.question_text for r in got] == ["Some question text here"]
+
+
+def test_rejects_are_written_and_counted(spark, tmp_path):
+    put(tmp_path / "in", "a.jsonl", '{"text":"What is a red-black tree good for?"}\n{bad\n[1]\n')
+    put(tmp_path / "in", "b.json", '{"text": ')
+    out = str(tmp_path / "out")
+    consolidate.consolidate(spark, str(tmp_path / "in"), out, ("jsonl", "json"), create_variants=False, shard_size=1)
+    got = {(os.path.basename(r.src_path), r.reason) for r in spark.read.parquet(f"{out}/rejected").collect()}
+    assert got == {("a.jsonl", "bad JSON"), ("a.jsonl", "no object"), ("b.json", "bad JSON")}
+    manifest = {(r.metric, r.key): r.n for r in corpus.read_manifest(spark, out).collect()}
+    assert manifest["rejected", "jsonl/bad JSON"] == manifest["rejected", "jsonl/no object"] == 1
+    assert manifest["output_format", "jsonl"] == 1
