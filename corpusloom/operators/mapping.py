@@ -141,27 +141,6 @@ def tag_list(value: Column) -> Column:
     return F.when(_is_array(value), text_list(value)).when(_is_string(value), parts)
 
 
-def first_truthy(record: Column, candidates: Sequence[str]) -> Column:
-    """Value of the first candidate field that is truthy, else null."""
-    return F.coalesce(*[F.when(truthy_text(record, name).isNotNull(), field(record, name))
-                        for name in candidates])
-
-
-def first_text(record: Column, candidates: Sequence[str]) -> Column:
-    """Text of the first truthy candidate field, else null."""
-    return F.coalesce(*[truthy_text(record, name) for name in candidates])
-
-
-def first_solution(record: Column, raw: Column, candidates: Sequence[str]) -> Column:
-    """First truthy candidate; an object of solutions per language is joined."""
-    def solution(name: str) -> Column:
-        value, text = field(record, name), truthy_text(record, name)
-        joined = F.when(text.isNotNull(), solutions_by_language(value, raw, F.lit(name)))
-        return F.when(_is_object(value), joined).otherwise(text)
-
-    return F.coalesce(*[solution(name) for name in candidates])
-
-
 def first_present(record: Column, keys: Sequence[str], default: str | None = "") -> Column:
     """Text of the first key that is present, whatever its value; null counts as empty."""
     result = None

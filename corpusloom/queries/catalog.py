@@ -120,24 +120,24 @@ def m1_source_site(spark: SparkSession, sf: str) -> DataFrame:
     return b.table(spark, sf, "pages").select("page_id", mapping.source_site(path).alias("source_site"))
 
 
+def _own_mapping(records: DataFrame, **candidates: list[str]) -> DataFrame:
+    """The mapping job with a table of one's own for records of no known source."""
+    return mapping.map_fields(records.withColumn("src_path", F.lit("/data/misc")), tables={"unknown": candidates})
+
+
 def m2_coalesce_fields(spark: SparkSession, sf: str) -> DataFrame:
-    records = _records(spark, sf, *_unify_fields())
-    rec = F.col("record")
-    return records.select(
-        "rec_id",
-        mapping.first_text(rec, ["missing", "question", "text"]).alias("question_text"),
-        mapping.first_text(rec, ["answer", "explanation"]).alias("answer_text"),
-        mapping.first_text(rec, ["code", "solution"]).alias("solution_code"),
-        mapping.first_text(rec, ["difficulty", "level"]).alias("difficulty"))
+    mapped = _own_mapping(
+        _records(spark, sf, *_unify_fields()), question_text=["missing", "question", "text"],
+        answer_text=["answer", "explanation"], solution_code=["code", "solution"], difficulty=["difficulty", "level"])
+    return mapped.select("rec_id", "question_text", "answer_text", "solution_code", "difficulty")
 
 
 def m3_multilang(spark: SparkSession, sf: str) -> DataFrame:
     solution = F.struct(
         F.col("text").alias("python"), F.expr("CASE WHEN n_chars % 2 = 0 THEN '' ELSE lang END").alias("java"),
         F.col("doc_id").alias("c"), F.col("source").alias("c++"))
-    records = _records(spark, sf, solution.alias("solution"))
-    return records.select("rec_id", mapping.first_solution(
-        F.col("record"), F.col("raw"), ["code", "solution"]).alias("solution_code"))
+    return _own_mapping(_records(spark, sf, solution.alias("solution")), solution_code=["code", "solution"]) \
+        .select("rec_id", "solution_code")
 
 
 def m4_solution_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,9 +159,9 @@ def m6_tags(spark: SparkSession, sf: str) -> DataFrame:
     tags = F.expr("""CASE n_chars % 3 WHEN 0 THEN to_json(array(lang, source))
         WHEN 1 THEN '" ' || lang || ',  ' || source || ',,x "' ELSE CAST(doc_id AS STRING) END""")
     raw = F.concat(F.lit('{"tags": '), tags, F.lit("}"))
-    records = b.documents(spark, sf).select(F.col("doc_id").alias("rec_id"), F.try_parse_json(raw).alias("record"))
-    return records.select("rec_id", F.array_join(
-        mapping.tag_list(mapping.first_truthy(F.col("record"), ["tags", "topics"])), "|").alias("tags"))
+    records = b.documents(spark, sf).select(
+        F.col("doc_id").alias("rec_id"), raw.alias("raw"), F.try_parse_json(raw).alias("record"))
+    return _own_mapping(records, tags=["tags", "topics"]).select("rec_id", _joined("tags"))
 
 
 def m7_source_overrides(spark: SparkSession, sf: str) -> DataFrame:
@@ -362,7 +362,7 @@ def a10_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def a11_totals(spark: SparkSession, sf: str) -> DataFrame:
     rows = b.table(spark, sf, "pages").select(F.octet_length("html").alias("length"))
-    return rows.agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    return inventory.totals(rows)
 
 
 def a12_rate(spark: SparkSession, sf: str) -> DataFrame:
@@ -700,7 +700,8 @@ def z2_by_dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def z3_verification(spark: SparkSession, sf: str) -> DataFrame:
-    outputs = splits.stratified_split(_corpus(spark, sf).select("rec_id", "source_site", "difficulty", "language"))
+    corpus_rows = stage(_corpus(spark, sf).select("rec_id", "source_site", "difficulty", "language"), "corpus")
+    outputs = splits.stratified_split(corpus_rows)
     per_dataset = _inputs(spark, sf).groupBy("dataset").agg(
         F.lit(1).alias("files"), F.sum("entries").alias("entries"))
     return stats.summary(per_dataset, outputs) \

@@ -118,10 +118,10 @@ def test_first_copy_is_kept_and_dedup_is_idempotent(spark):
 def test_truthiness_of_candidates(spark):
     cases = {"null": "next", '""': "next", "0": "next", "false": "next", "[]": "next", "{}": "next", '"0"': "0",
              '" "': " ", "1.0": "1", "true": "true", "[1]": "[1]"}
-    for value, expected in cases.items():
-        raw = '{"a": %s, "b": "next"}' % value
-        df = spark.createDataFrame([(raw,)], "raw string").select(F.try_parse_json("raw").alias("record"))
-        assert df.select(mapping.first_text(F.col("record"), ["missing", "a", "b"])).first()[0] == expected
+    rows = [(i, '{"a": %s, "b": "next"}' % value, "/data/misc") for i, value in enumerate(cases)]
+    df = spark.createDataFrame(rows, "i int, raw string, src_path string").withColumn("record", F.try_parse_json("raw"))
+    mapped = mapping.map_fields(df, tables={"unknown": {"question_text": ["missing", "a", "b"]}})
+    assert [r.question_text for r in mapped.orderBy("i").collect()] == list(cases.values())
 
 
 def test_variants_and_rewriting(spark, rows):
