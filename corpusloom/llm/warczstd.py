@@ -173,7 +173,7 @@ def _writer(folder: str, dictionary: bytes, limit: int) -> Callable:
                 if stream is None:
                     # Every attempt has names of its own; the manifest holds those of the one that counts.
                     path, records, size = f"{base}/{uuid.uuid4().hex}.warc.zst", 0, 0
-                    stream = store.open_output_stream(path)
+                    stream = store.open_output_stream(path, compression=None)  # the suffix would add one
                     packer = open_archive(stream, dictionary)
                 raw = record(page.as_py(), url.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass"),
                              first.as_py())
@@ -206,6 +206,18 @@ def with_first_page(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id
         F.when(~F.col("first").eqNullSafe(F.col("page")), F.col("first")).alias("refers_to"))
 
 
+def _sample(pages: DataFrame, id_col: str, html_col: str) -> list:
+    """Id and start of the payload of a few pages, by hash of the id.
+
+    The ids are chosen first, so no task sends more than as many ids to the driver.
+    """
+    some = pages.filter(pages[id_col].isNotNull() & pages[html_col].isNotNull()).select(pages[id_col].alias("i"))
+    ids = [r["i"] for r in some.orderBy(F.xxhash64("i"), "i").limit(SAMPLE_PAGES).collect()]
+    chosen = pages.filter(pages[id_col].isin(ids)).select(
+        pages[id_col].alias("i"), F.substring(pages[html_col], 1, SAMPLE_CHARS).alias("h"))
+    return sorted(chosen.filter("h IS NOT NULL").limit(2 * SAMPLE_PAGES).collect()) if ids else []
+
+
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id",
                    url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write one WARC record per page to archives in ``folder`` and return their manifest.
@@ -217,9 +229,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     must be a URI that all executors reach.
     """
     rows = with_first_page(pages, min_bytes, id_col, url_col, html_col)
-    sample = pages.filter(pages[html_col].isNotNull()) \
-        .select(pages[id_col].alias("i"), F.substring(pages[html_col], 1, SAMPLE_CHARS).alias("h")) \
-        .orderBy(F.xxhash64("i"), "h").limit(SAMPLE_PAGES).collect()
+    sample = _sample(pages, id_col, html_col)
     dictionary = train_dictionary([record(r["i"], "http://", r["h"].encode("utf-8", "surrogatepass"), None)
                                    for r in sample])
     return stage_compact(rows.mapInArrow(_writer(folder, dictionary, archive_bytes), MANIFEST), "warc-manifest")
@@ -237,7 +247,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                             ("refers_to", pa.int64()), ("payload", pa.binary()), ("problem", pa.string())])
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     raw = stream.read()
                 held, size = [], 0
                 for found in read_archive(raw):
