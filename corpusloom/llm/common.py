@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import scratch_path
 
 # Bytes of text handled at once inside a batch; temporary arrays are a small multiple of this.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -110,7 +110,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hash of each span of bytes, the same for the same bytes anywhere."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = 1 << max(16, int(len(data) + 1).bit_length())
+    size = 1 << max(16, (len(data) - 1).bit_length())
     power, inverse = _powers(size)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
@@ -123,6 +123,20 @@ def per_row(firsts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
 
 
+def carried(docs: DataFrame, text_col: str, keep: list[str], *extra: Column) -> tuple[DataFrame, int]:
+    """The columns ``keep`` under private names, the ``extra`` ones, and the text, which is not sent twice
+    if it is kept; and the place of the text. Kept columns come first."""
+    columns = [docs[c].alias(f"__{i}") for i, c in enumerate(keep)]
+    if text_col in keep:
+        return docs.select(*columns, *extra), keep.index(text_col)
+    return docs.select(*columns, *extra, docs[text_col].alias("__text")), len(keep) + len(extra)
+
+
+def restored(out: DataFrame, keep: list[str]) -> DataFrame:
+    """Undo the private names."""
+    return out.withColumnsRenamed({f"__{i}": c for i, c in enumerate(keep)})
+
+
 def stage_compact(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder with Zstandard and read it back; see ``session.stage``."""
     path = scratch_path(df.sparkSession, label)

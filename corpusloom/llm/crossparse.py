@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import remainder, text_chunks
+from .common import carried, remainder, restored, text_chunks
 
 # Bounds of the labelled sample: rows per label value, and characters taken of each.
 SAMPLE_ROWS = 96
@@ -69,7 +69,7 @@ def suffix_automaton(symbols: bytes) -> list[dict[int, int]]:
     return moves
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def tables(labelled: tuple[tuple[str, bytes], ...]) -> tuple[np.ndarray, list[tuple[str, np.ndarray, float]]]:
     """The symbol numbers, and per language its flat transition table and the cost of a phrase.
 
@@ -176,27 +176,26 @@ def identify(docs: DataFrame, labelled: tuple[tuple[str, bytes], ...], id_col: s
     """
     shared = docs.sparkSession.sparkContext.broadcast(labelled)
     columns = keep or [id_col]
-    text = F.when(has_letter(F.col(text_col)), F.col(text_col))
-    narrow = docs.select(text.alias("__text"), *[docs[c].alias(f"__{i}") for i, c in enumerate(columns)])
-    schema = narrow.drop("__text").schema.add("lang_pred", "string").add("score", "double")
-    return narrow.mapInArrow(_judge_batches(shared), schema) \
-        .withColumnsRenamed({f"__{i}": c for i, c in enumerate(columns)})
+    narrow, place = carried(docs, text_col, columns, has_letter(docs[text_col]).alias("__letter"))
+    names = [f"__{i}" for i in range(len(columns))]
+    schema = narrow.select(names).schema.add("lang_pred", "string").add("score", "double")
+    return restored(narrow.mapInArrow(_judge_batches(shared, len(names), place), schema), columns)
 
 
-def _judge_batches(shared) -> Callable:
+def _judge_batches(shared, kept: int, place: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labelled = shared.value
         for batch in batches:
-            known = np.array(batch.column(0).is_valid()) & bool(labelled)
+            known = np.array(batch.column(kept)) & bool(labelled)
             if labelled and batch.num_rows:
-                best, score = judge(batch.column(0), labelled)
+                best, score = judge(batch.column(place), labelled)
                 best = [b if k else "und" for b, k in zip(best, known, strict=True)]
                 score = np.where(known, np.clip(score, 0, 1), 0.0)
             else:
                 best, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(best, pa.string()), pa.array(score, pa.float64())],
-                names=[*batch.schema.names[1:], "lang_pred", "score"])
+                [*batch.columns[:kept], pa.array(best, pa.string()), pa.array(score, pa.float64())],
+                names=[*batch.schema.names[:kept], "lang_pred", "score"])
     return run
 
 

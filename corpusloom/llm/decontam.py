@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import byte_table, words
+from .common import byte_table, carried, restored, words
 
 WINDOW = 10
 
@@ -132,26 +132,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     blocks = [spark.sparkContext.broadcast(b)
               for b in item_blocks(benchmark, item_id_col, item_text_col, block_bytes)]
     columns = keep or [id_col]
-    narrow = docs.select(F.col(text_col).alias("__text"), *[docs[c].alias(f"__{i}") for i, c in enumerate(columns)])
-    fields = narrow.select([f"__{i}" for i in range(len(columns))]).schema
+    narrow, place = carried(docs, text_col, columns)
+    names = [f"__{i}" for i in range(len(columns))]
+    fields = narrow.select(names).schema
     span = T.StructType().add("start", "long").add("stop", "long")
     schema = fields.add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())) \
         .add("spans", T.ArrayType(span))
-    out = narrow.mapInArrow(_scanner(blocks, window), schema)
-    return out.withColumnsRenamed({f"__{i}": c for i, c in enumerate(columns)})
+    return restored(narrow.mapInArrow(_scanner(blocks, window, len(names), place), schema), columns)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _ROWS = 512
 
 
-def _scanner(blocks: list, window: int) -> Callable:
+def _scanner(blocks: list, window: int, kept: int, place: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = [block.value for block in blocks]
         for batch in batches:
             for first in range(0, batch.num_rows, _ROWS if len(items) == 1 else batch.num_rows):
                 part = batch.slice(first, _ROWS if len(items) == 1 else batch.num_rows)
-                texts = part.column(0).to_pylist()
+                texts = part.column(place).to_pylist()
                 n_words, n_hit, ids, spans = [], [], [], []
                 for text, (n, hit, found) in zip(texts, scan(texts, items, window), strict=True):
                     n_words.append(n)
@@ -159,8 +159,8 @@ def _scanner(blocks: list, window: int) -> Callable:
                     ids.append(sorted(found))
                     spans.append(original_spans(text, hit) if found else [])
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
+                    [*part.columns[:kept], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
                      pa.array(ids, pa.list_(pa.string())), pa.array(spans, SPANS)],
-                    names=[*part.schema.names[1:], "n_words", "n_hit", "items", "spans"])
+                    names=[*part.schema.names[:kept], "n_words", "n_hit", "items", "spans"])
     return run
 

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, crossparse, decontam, forest, lattice, propagation, substring, supervision, urlfilter, warczstd
 from .common import read
+from .oracle import ORACLE  # noqa: F401
 
 PIECE_FILE = "piece_bpe_32k.model"
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    kept = substring.without_repeats(read(spark, sf, "documents"))
+    kept = substring.without_repeats(read(spark, sf, "documents"), outputs=("kept_words",))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -74,5 +75,3 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_subword_lattice, op3_bpe_round_trip, op4_lsh_forest, op5_cross_parsing,
     op6_weak_supervision, op7_label_propagation, op8_warc_zstd, op9_decontamination, op10_url_filter)}
-
-ORACLE: dict[str, str] = {}

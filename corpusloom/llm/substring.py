@@ -27,7 +27,7 @@ import xxhash
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD_BYTES, mix, per_row, row_key, span_hashes, stage_compact, text_chunks, words
+from .common import WORD_BYTES, carried, mix, per_row, restored, row_key, span_hashes, stage_compact, text_chunks, words
 from .fmindex import FMIndex
 
 WINDOW = 20
@@ -323,65 +323,69 @@ def _order_id(id_col: str):
     return F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("oid")
 
 
-def _apply_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ranges = batch.column(1)
-        for first, data, bounds in text_chunks(batch.column(0)):
-            starts, ends, firsts = words(data, bounds)
-            rows = len(bounds) - 1
-            part = ranges.slice(first, rows)
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(part), 0)).astype(np.int64)
-            flat = pa.compute.list_flatten(part)
-            base = np.repeat(firsts[:-1], sizes)
-            change = np.zeros(len(starts) + 1, np.int64)
-            np.add.at(change, base + np.asarray(flat.field("lo")), 1)
-            np.add.at(change, base + np.asarray(flat.field("hi")), -1)
-            gone = np.cumsum(change[:-1]) > 0
-            removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[firsts])
-            # Kept words joined by one space.
-            stay = ~gone
-            depth = np.zeros(len(data) + 1, np.int64)
-            np.add.at(depth, starts[stay], 1)
-            np.add.at(depth, ends[stay], -1)
-            inside = np.cumsum(depth[:-1]) > 0
-            word_row = per_row(firsts)[stay]
-            length = (ends - starts)[stay]
-            joined = np.full(int(length.sum()) + len(length), 32, np.uint8)
-            slot = np.cumsum(length + 1) - length - 1
-            mask = np.ones(len(joined), bool)
-            mask[slot + length] = False
-            joined[mask] = data[inside]
-            kept_words = np.bincount(word_row, minlength=rows)
-            kept_bytes = np.bincount(word_row, weights=length + 1, minlength=rows).astype(np.int64)
-            edge = np.concatenate([[0], np.cumsum(kept_bytes)])
-            text = joined.tobytes()
-            kept = [text[edge[i]:max(edge[i], edge[i + 1] - 1)].decode("utf-8", "replace") for i in range(rows)]
-            # The original text without the removed words and the white space after each.
-            follow = np.append(starts[1:], len(data)) if len(starts) else starts
-            row_of = per_row(firsts)
-            last = np.append(row_of[1:] != row_of[:-1], True) if len(starts) else np.zeros(0, bool)
-            follow = np.where(last, bounds[1:][row_of], follow) if len(starts) else follow
-            cut = np.zeros(len(data) + 1, np.int64)
-            np.add.at(cut, starts[gone], 1)
-            np.add.at(cut, follow[gone], -1)
-            left = np.cumsum(cut[:-1]) == 0
-            place = np.concatenate([[0], np.cumsum(left)])[bounds]
-            rest = data[left].tobytes()
-            cut_text = [rest[place[i]:place[i + 1]].decode("utf-8", "replace") for i in range(rows)]
-            others = [c.slice(first, rows) for c in batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(
-                [*others, pa.array(np.diff(firsts)), pa.array(removed),
-                 pa.array(kept, pa.string()), pa.array(cut_text, pa.string())],
-                names=[*batch.schema.names[2:], "n_words", "n_removed", "kept_words", "kept_text"])
+def _apply_ranges(outputs: tuple[str, ...], kept: int, place: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, bounds in text_chunks(batch.column(place)):
+                rows = len(bounds) - 1
+                found = _cut(data, bounds, batch.column(kept).slice(first, rows), outputs)
+                others = [c.slice(first, rows) for c in batch.columns[:kept]]
+                yield pa.RecordBatch.from_arrays([*others, *found.values()],
+                                                 names=[*batch.schema.names[:kept], *found])
+    return run
+
+
+def _cut(data: np.ndarray, bounds: np.ndarray, ranges: pa.Array, outputs: tuple[str, ...]) -> dict[str, pa.Array]:
+    """Counts and kept texts of a run of rows, from the word ranges to remove."""
+    starts, ends, firsts = words(data, bounds)
+    rows = len(bounds) - 1
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(ranges), 0)).astype(np.int64)
+    flat = pa.compute.list_flatten(ranges)
+    base = np.repeat(firsts[:-1], sizes)
+    change = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(change, base + np.asarray(flat.field("lo")), 1)
+    np.add.at(change, base + np.asarray(flat.field("hi")), -1)
+    gone = np.cumsum(change[:-1]) > 0
+    removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[firsts])
+    out = {"n_words": pa.array(np.diff(firsts)), "n_removed": pa.array(removed)}
+    if "kept_words" in outputs:
+        stay = ~gone
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts[stay]] = 1
+        inside[ends[stay]] -= 1
+        length = (ends - starts)[stay]
+        joined = np.full(int(length.sum()) + len(length), 32, np.uint8)
+        letters = np.ones(len(joined), bool)
+        letters[np.cumsum(length + 1) - 1] = False
+        joined[letters] = data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+        sums = np.bincount(per_row(firsts)[stay], weights=length + 1, minlength=rows).astype(np.int64)
+        edge, text = np.concatenate([[0], np.cumsum(sums)]), joined.tobytes()
+        out["kept_words"] = pa.array([text[edge[i]:max(edge[i], edge[i + 1] - 1)].decode("utf-8", "replace")
+                                      for i in range(rows)], pa.string())
+    if "kept_text" in outputs:
+        # The text without the removed words and the white space after each.
+        row = per_row(firsts)
+        last = np.append(row[1:] != row[:-1], True) if len(starts) else np.zeros(0, bool)
+        follow = np.where(last, bounds[1:][row], np.append(starts[1:], len(data))) if len(starts) else starts
+        cut = np.zeros(len(data) + 1, np.int32)
+        np.add.at(cut, starts[gone], 1)
+        np.add.at(cut, follow[gone], -1)
+        left = np.cumsum(cut[:-1]) == 0
+        place, rest = np.concatenate([[0], np.cumsum(left)])[bounds], data[left].tobytes()
+        out["kept_text"] = pa.array([rest[place[i]:place[i + 1]].decode("utf-8", "replace")
+                                     for i in range(rows)], pa.string())
+    return out
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
-                    keep: list[str] | None = None, **sizes: int) -> DataFrame:
+                    keep: list[str] | None = None, outputs: tuple[str, ...] = ("kept_words", "kept_text"),
+                    **sizes: int) -> DataFrame:
     """Each document without the words that repeated windows cover.
 
     Columns: the id (or the columns in ``keep``), ``n_words``, ``n_removed``, ``kept_words`` (kept words
     joined by one space), ``kept_text`` (the text less each removed word and the white space after it;
-    unchanged where nothing is removed). One row per input row.
+    unchanged where nothing is removed); ``outputs`` names those of the last two to make. One row per
+    input row.
 
     Windows are compared in the order of the id (an integer), then of the row key for different texts
     under one id, then of the place in the text; null ids come last. Rows that agree in id and text are
@@ -391,12 +395,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     columns = keep or [id_col]
     ranges = repeated_ranges(docs, window, id_col, text_col, **sizes) \
         .groupBy("oid", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    keyed = docs.select(F.col(text_col).alias("__text"), _order_id(id_col),
-                        row_key(id_col, text_col).alias("key"),
-                        *[docs[c].alias(f"__{i}") for i, c in enumerate(columns)])
+    narrow, place = carried(docs, text_col, columns, _order_id(id_col), row_key(id_col, text_col).alias("key"))
     names = [f"__{i}" for i in range(len(columns))]
-    joined = keyed.join(ranges, ["oid", "key"], "left").select("__text", "ranges", *names)
-    schema = keyed.select(names).schema.add("n_words", "long").add("n_removed", "long") \
-        .add("kept_words", "string").add("kept_text", "string")
-    return joined.mapInArrow(_apply_ranges, schema) \
-        .withColumnsRenamed({name: c for name, c in zip(names, columns, strict=True)})
+    extra = [] if text_col in columns else ["__text"]
+    joined = narrow.join(ranges, ["oid", "key"], "left").select(*names, "ranges", *extra)
+    schema = narrow.select(names).schema.add("n_words", "long").add("n_removed", "long")
+    for name in outputs:
+        schema = schema.add(name, "string")
+    place = place if text_col in columns else len(names) + 1
+    return restored(joined.mapInArrow(_apply_ranges(outputs, len(names), place), schema), columns)
