@@ -33,7 +33,8 @@ BESIDE = 4              # rows looked at on each side
 SAMPLE = 32             # other values compared on the spot
 SLACK, FINE_SLACK = 0.22, 0.13  # an estimate may fall this far below the threshold (3 standard errors)
 DENSE = 16              # rows from which a region has a hub
-BEST = 3                # candidates of a node confirmed first
+FILTER_WORDS = 1 << 17  # 64-bit words of the bit map of ids whose texts are needed: 1 MB
+BEST = 2                # candidates of a node confirmed first
 
 _NULL_ID = 1 << 62      # nodes of rows without an id are numbered from here
 _RNG = np.random.default_rng(99)
@@ -185,22 +186,37 @@ def _estimate(threshold: float) -> Callable:
 
 
 def _confirm(size: int, percent: int) -> Callable:
-    """The pairs whose full sets are linked."""
+    """The pairs whose full sets are linked. Rows come sorted by pair, side and text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+        pair, sides = None, {}
+
+        def linked() -> bool:
+            one, two = (sides.get(node) for node in pair)
+            if one is None or two is None:
+                return False
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            return both > 0 and 100 * both >= percent * (len(one) + len(two) - both)
+
         for batch in batches:
-            a, b, kept = batch.column(0), batch.column(1), []
-            for i in range(batch.num_rows):
-                if a[i].as_py() != last:
-                    last, held = a[i].as_py(), _set_of(batch.column(2)[i].as_py(), size)
-                other = _set_of(batch.column(3)[i].as_py(), size)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                kept.append(100 * both >= percent * (len(held) + len(other) - both) and both > 0)
-            keep = pa.array(kept, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+            found = []
+            for a, b, node, text in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if (a, b) != pair:
+                    if pair and linked():
+                        found.append(pair)
+                    pair, sides = (a, b), {}
+                if node not in sides:  # of several texts under one id the first counts
+                    sides[node] = _set_of(text, size)
+            yield _pair_rows(found)
+        if pair and linked():
+            yield _pair_rows([pair])
     return run
 
 
+def _pair_rows(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _set_of(text: str, size: int) -> np.ndarray:
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     return next(shingle_sets(data, np.array([0, len(data)]), size))
@@ -223,10 +239,34 @@ def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(_estimate(threshold), "a bigint, b bigint, agree int")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    both = pairs.select("a", "b").join(texts.toDF("b", "two"), "b").join(texts.toDF("a", "one"), "a") \
-        .select("a", "b", "one", "two")
-    return both.mapInArrow(_confirm(size, percent), "a bigint, b bigint")
+def _confirmed(pairs: DataFrame, keyed: DataFrame, size: int, percent: int) -> DataFrame:
+    """The linked pairs. Each needed text is shuffled to its pairs once, and from there to each pair."""
+    sides = pairs.select(F.col("a").alias("oid"), "a", "b").unionAll(pairs.select(F.col("b").alias("oid"), "a", "b"))
+    likely = _hit(keyed, sides.select("oid").distinct()).filter("hit")
+    rows = likely.join(sides, "oid").select("a", "b", "oid", "text")
+    return rows.filter("text IS NOT NULL").repartition("a", "b").sortWithinPartitions("a", "b", "oid", "text") \
+        .mapInArrow(_confirm(size, percent), "a bigint, b bigint")
+
+
+def _hit(keyed: DataFrame, ends: DataFrame) -> DataFrame:
+    """``keyed`` with ``hit``: whether a row may have its ``oid`` in ``ends``; false only if it has not.
+
+    A bit map of hashed ids, at most FILTER_WORDS rows whatever the input, so that most other rows need no
+    join, and their texts no shuffle.
+    """
+    place = F.pmod(F.xxhash64("oid"), F.lit(64 * FILTER_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftright(place, 6).alias("word")
+    bits = ends.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    marked = keyed.withColumn("word", word).join(F.broadcast(bits), "word", "left")
+    return marked.select(*keyed.columns, (F.coalesce("bits", F.lit(0)).bitwiseAND(bit) != 0).alias("hit"))
+
+
+def without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose (``oid``, ``key``) is not in ``dropped``; only likely ones are joined."""
+    marked = _hit(keyed, dropped.select("oid").distinct())
+    likely = marked.filter("hit").join(dropped, ["oid", "key"], "left_anti")
+    return marked.filter("NOT hit").select(*keyed.columns).unionByName(likely.select(*keyed.columns))
 
 
 def node_id(id_col: str, text_col: str) -> Column:
@@ -250,27 +290,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     nodes = stage_compact(sets.filter("n > 0").groupBy("digest").agg(
         F.min("oid").alias("node"), F.first("values").alias("values"), F.count(F.lit(1)).alias("rows")), "forest-nodes")
     pairs = stage(candidates(nodes, threshold), "forest-pairs")
-    ends = pairs.select(F.col("a").alias("oid")).unionAll(pairs.select(F.col("b").alias("oid"))).distinct()
-    texts = stage_compact(keyed.join(ends, "oid", "left_semi").groupBy("oid").agg(F.min("text").alias("text")),
-                          "forest-texts")
     sides = pairs.select(F.col("a").alias("node"), "a", "b", "agree") \
         .unionAll(pairs.select(F.col("b").alias("node"), "a", "b", "agree"))
     best = Window.partitionBy("node").orderBy(F.col("agree").desc(), "a", "b")
-    chosen = sides.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= BEST) \
-        .select("a", "b").distinct()
+    chosen = stage(sides.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= BEST)
+                   .select("a", "b").distinct(), "forest-chosen")
     # Copies under other ids hang on their node already; rows of one id with several sets join here.
     several = sets.filter("n > 0").groupBy("oid").agg(F.min("digest").alias("low"), F.max("digest").alias("high")) \
         .filter("low != high").select("oid")
     owned = sets.join(several, "oid", "left_semi").join(nodes.select("digest", "node"), "digest") \
         .select(F.col("oid").alias("a"), F.col("node").alias("b"))
-    links = stage(_confirmed(chosen, texts, shingle, percent).unionAll(owned), "forest-links")
+    links = stage(_confirmed(chosen, keyed, shingle, percent).unionAll(owned), "forest-links")
     found = stage(components(links), "forest-components")
     rest = pairs.join(chosen, ["a", "b"], "left_anti")
     one, two = found.toDF("a", "ca"), found.toDF("b", "cb")
-    apart = rest.join(one, "a", "left").join(two, "b", "left") \
-        .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = stage(_confirmed(apart, texts, shingle, percent), "forest-links")
-    if not more.isEmpty():
+    apart = stage(rest.join(one, "a", "left").join(two, "b", "left") \
+        .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "forest-apart")
+    more = None if apart.isEmpty() else stage(_confirmed(apart, keyed, shingle, percent), "forest-links")
+    if more is not None and not more.isEmpty():
         found = stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)),
                       "forest-components")
     copied = nodes.filter("rows > 1").select("digest", "node")
