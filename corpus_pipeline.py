@@ -20,19 +20,31 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 ORACLE_SQL = None  # no stage but the fourth can be said in SQL; tests hold them against plain versions
 
 
-def _packed(docs: DataFrame, *used: str) -> DataFrame:
-    """The columns a stage uses, and the whole row as one column, so that no name can clash."""
-    return docs.select(*[docs[c] for c in used], F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+class _Named:
+    """Documents under column names by position, so that no name can clash, and the way back."""
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.columns = [f"c{i}" for i in range(len(self.names))]
+        self.docs = docs.toDF(*self.columns)
+        self.id, self.text = self["doc_id"], self["text"]
+
+    def __getitem__(self, name: str) -> str:
+        return self.columns[self.names.index(name)]
+
+    def back(self, docs: DataFrame) -> DataFrame:
+        return docs.select(*self.columns).toDF(*self.names)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are no language: a null text or one without a letter (``und``)."""
     ship_code(spark)
-    packed = _packed(docs, "doc_id", "text", "lang")
-    labelled = crossparse.learn(packed, ~crossparse.held_out())
-    found = crossparse.identify(packed, labelled, keep=["row"])
-    return (found.filter("lang_pred != 'und'") if labelled else packed.filter(crossparse.has_letter(F.col("text")))) \
-        .select("row.*")
+    named = _Named(docs)
+    labelled = crossparse.learn(named.docs, ~crossparse.held_out(named.id), named.id, named.text, named["lang"])
+    if not labelled:  # nothing to tell languages by
+        return named.back(named.docs.filter(crossparse.has_letter(F.col(named.text))))
+    found = crossparse.identify(named.docs, labelled, named.id, named.text, keep=named.columns)
+    return named.back(found.filter("lang_pred != 'und'"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +53,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words are linked with nothing and stay, as do all rows that agree in id and text.
     """
     ship_code(spark)
-    packed = _packed(docs, "doc_id", "text").withColumns(
-        {"oid": forest.node_id("doc_id", "text"), "key": row_key("doc_id", "text")})
-    dropped = forest.near_duplicates(docs.select("doc_id", "text")).filter("oid != component").select("oid", "key")
-    return packed.join(stage_compact(dropped, "near-duplicates"), ["oid", "key"], "left_anti").select("row.*")
+    named = _Named(docs)
+    keyed = named.docs.withColumns(
+        {"oid": forest.node_id(named.id, named.text), "key": row_key(named.id, named.text)})
+    dropped = forest.near_duplicates(named.docs, id_col=named.id, text_col=named.text) \
+        .filter("oid != component").select("oid", "key")
+    return named.back(forest.without(keyed, stage_compact(dropped, "near-duplicates")))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,21 +67,24 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document of which nothing is left goes. Texts without repeats stay as they are, null texts too.
     """
     ship_code(spark)
-    kept = substring.without_repeats(_packed(docs, "doc_id", "text"), keep=["row"]) \
-        .filter("n_words = 0 OR n_removed < n_words")
+    named = _Named(docs)
+    kept = substring.without_repeats(named.docs, id_col=named.id, text_col=named.text, keep=named.columns,
+                                     outputs=("kept_text",)).filter("n_words = 0 OR n_removed < n_words")
     changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("row.text"))}
+    new = {named.text: F.when(changed, F.col("kept_text")).otherwise(F.col(named.text))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)) \
-            .otherwise(F.col("row.n_chars"))
-    return kept.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+        length = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+        new[named["n_chars"]] = F.when(changed, length).otherwise(F.col(named["n_chars"]))
+    return named.back(kept.withColumns(new))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     ship_code(spark)
-    found = decontam.contamination(_packed(docs, "doc_id", "text"), read(spark, sf_dir, "benchmark"), keep=["row"])
-    return found.filter("n_hit = 0").select("row.*")
+    named = _Named(docs)
+    found = decontam.contamination(named.docs, read(spark, sf_dir, "benchmark"), id_col=named.id,
+                                   text_col=named.text, keep=named.columns)
+    return named.back(found.filter("n_hit = 0"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
