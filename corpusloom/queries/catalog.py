@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import classify, code, html, text
 from ..operators import dedup, filters, fuzzy, mapping, scoring, splits, stats, variants
-from ..plans import consolidate as jobs, training, verify
+from ..plans import consolidate as jobs, training
 from ..schema import UNIFIED
 from ..session import scratch_path, stage
 from ..sinks import writers
