@@ -64,6 +64,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         last = min(max(last, first + 1), len(column))
         yield first, data[offsets[first]:offsets[last]], offsets[first:last + 1] - offsets[first]
         first = last
+    pa.default_memory_pool().release_unused()  # workers live on; what a batch needed goes back
 
 
 def words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray = WORD_BYTES) \

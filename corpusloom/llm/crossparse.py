@@ -19,7 +19,7 @@ from .common import carried, remainder, restored, text_chunks
 
 # Bounds of the labelled sample: rows per label value, and characters taken of each.
 SAMPLE_ROWS = 96
-SAMPLE_CHARS = 512
+SAMPLE_CHARS = 256
 
 # Texts are parsed in stretches of this many symbols, side by side; every stretch starts a phrase.
 STRETCH = 256
