@@ -9,6 +9,9 @@
    that is on the region's densest path in most trees. All rows of the region are candidates with it.
 4. Candidates are confirmed on the full sets: first the best few of each node; then those that would
    still join two components. A link inside a component changes nothing and is not fetched.
+5. Regions that a window does not cover whole, or that a partition border cuts, and that still hold
+   several components are compared pair by pair on the full sets, in blocks, so that every pair that
+   shares LEAST_DEPTH values in some tree is decided exactly. Regions that overlap are compared as one.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ SLACK, FINE_SLACK = 0.22, 0.13  # an estimate may fall this far below the thresh
 DENSE = 16              # rows from which a region has a hub
 FILTER_WORDS = 1 << 17  # 64-bit words of the bit map of ids whose texts are needed: 1 MB
 BEST = 2                # candidates of a node confirmed first
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19  # sizes of a block of an open region, on average
+COLUMNS = 2048          # shingles of two blocks multiplied at once
 
 _NULL_ID = 1 << 62      # nodes of rows without an id are numbered from here
 _RNG = np.random.default_rng(99)
@@ -114,10 +119,10 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _neighbours(threshold: float) -> Callable:
-    """Candidates of one sorted partition (kind 0), and its dense regions (kind 1).
+    """Candidates of one sorted partition (kind 0), its dense regions (1), and those seen in part (2).
 
     Kind 0: ``a`` < ``b`` and how many sampled values agree. Kind 1: ``a`` a member, ``b`` the region,
-    ``weight`` 1 on the densest path.
+    ``weight`` 1 on the densest path. Kind 2: ``a`` a member, ``b`` the region by its prefix.
     """
     least = int(np.ceil(max(0.0, threshold - SLACK) * SAMPLE))
 
@@ -158,6 +163,13 @@ def _neighbours(threshold: float) -> Callable:
         name = mix(node[first].astype(np.uint64) * np.uint64(64) + tree[first].astype(np.uint64)).view(np.int64)
         path = (leaf_sizes[leaf] == largest[region]) & (leaf_sizes[leaf] > 1)
         yield _found(1, node[dense], name[region[dense]], path[dense].astype(np.int64))
+        part = sizes > BESIDE + 1
+        part[[0, -1]] = True  # may go on in another partition
+        part = np.flatnonzero(part[region])
+        whole = tree[part].astype(np.uint64)
+        for k in range(LEAST_DEPTH):
+            whole = mix(whole * np.uint64(1 << 16) + prefix[part, k].astype(np.uint64))
+        yield _found(2, node[part], whole.view(np.int64), np.zeros(len(part), np.int64))
     return run
 
 
@@ -222,8 +234,129 @@ def _set_of(text: str, size: int) -> np.ndarray:
     return next(shingle_sets(data, np.array([0, len(data)]), size))
 
 
-def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs ``a`` < ``b`` with the number of agreeing values. ``nodes``: ``node``, ``values``."""
+def _links_of_blocks(size: int, percent: int) -> Callable:
+    """Links between components from pairs of blocks, as many as join them. Rows come sorted by pair of
+    blocks, node and text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, rows = None, {}
+        for batch in batches:
+            found = []
+            for region, one, two, side, node, component, text in \
+                    zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
+                if (region, one, two) != pair:
+                    found += _linked_rows(rows, percent)
+                    pair, rows = (region, one, two), {}
+                if node not in rows:  # of several texts under one id the first counts
+                    rows[node] = (side, component, _set_of(text, size))
+            yield _pair_rows(found)
+        yield _pair_rows(_linked_rows(rows, percent))
+    return run
+
+
+def _linked_rows(rows: dict[int, tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links that join components, among the rows of one block or between those of two (side 0 and 1)."""
+    sides = [[(node, component, hashes) for node, (side, component, hashes) in rows.items() if side == k] for k in (0, 1)]
+    inside = not sides[1]
+    left, right = sides[0], sides[0] if inside else sides[1]
+    if not left or not right:
+        return []
+    both = _overlaps([r[2] for r in left], [r[2] for r in right])
+    total = np.array([len(r[2]) for r in left])[:, None] + np.array([len(r[2]) for r in right])
+    apart = np.unique([r[1] for r in left + right], return_inverse=True)[1]
+    apart = apart[:len(left), None] != apart[len(left):]
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere((both > 0) & (100 * both >= percent * (total - both)) & apart).tolist():
+        one, two = top(left[i][1]), top(right[j][1])
+        if one != two:
+            root[max(one, two)] = min(one, two)
+            out.append((min(left[i][0], right[j][0]), max(left[i][0], right[j][0])))
+    return out
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set on the left shares with each on the right."""
+    def flat(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], row[order]
+
+    (one, row_one), (two, row_two) = flat(left), flat(right)
+    shared = np.intersect1d(one, two)
+    out = np.zeros((len(left), len(right)), np.int64)
+    for first in range(0, len(shared), COLUMNS):
+        part, dense = shared[first:first + COLUMNS], []
+        for hashes, row, n in ((one, row_one, len(left)), (two, row_two, len(right))):
+            at = slice(np.searchsorted(hashes, part[0]), np.searchsorted(hashes, part[-1], side="right"))
+            column = np.searchsorted(part, hashes[at])
+            known = part[column] == hashes[at]
+            matrix = np.zeros((n, len(part)), np.float32)
+            matrix[row[at][known], column[known]] = 1
+            dense.append(matrix)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def _open_regions(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``region``, ``node``, ``component`` of the regions that hold several components.
+
+    ``members``: ``node``, ``region``. Regions of which one has half its rows in the other become one, as
+    the trees cut a family of copies in much the same way; the rest of their pairs is compared once.
+    """
+    placed = members.join(found, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component"))
+    several = placed.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                           F.count(F.lit(1)).alias("size")).filter("low < high")
+    rows = stage(placed.join(several.select("region", "size"), "region"), "forest-open")
+    one, two = (rows.select("node", F.col("region").alias(c), F.col("size").alias(f"size_{c}")) for c in ("a", "b"))
+    overlaps = one.join(two, "node").filter("a < b") \
+        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first(F.least("size_a", "size_b")).alias("least")) \
+        .filter("2 * n >= least").select("a", "b")
+    merged = components(overlaps).toDF("region", "whole")
+    return rows.join(merged, "region", "left") \
+        .select(F.coalesce("whole", "region").alias("region"), "node", "component").distinct()
+
+
+def _compared(rows: DataFrame, keyed: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that join components of an open region, from all pairs of its rows.
+
+    A large component has blocks of its own, which are not compared with each other; the small ones of a
+    region share blocks. Each text goes to its block once for each other block, never to single pairs.
+    """
+    sized = rows.join(nodes.select("node", "n"), "node")
+    large = sized.groupBy("region", "component").agg(F.count(F.lit(1)).alias("rows")) \
+        .filter(F.col("rows") >= BLOCK_ROWS // 2).select("region", "component", F.lit(True).alias("large"))
+    split = stage(sized.join(large, ["region", "component"], "left")
+                  .withColumn("part", F.when(F.col("large"), F.col("component"))).drop("large"), "forest-split")
+    blocks = split.groupBy("region", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).select(
+        "region", "part", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("n") / BLOCK_SHINGLES)).alias("blocks"))
+    names = blocks.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))) \
+        .select("region", "part", F.struct("part", "nth").alias("block"))
+    one, two = names.toDF("region", "part_one", "one"), names.toDF("region", "part_two", "two")
+    pairs = stage(one.join(two, "region").filter("one <= two AND (part_one IS NULL OR part_two IS NULL OR part_one != part_two)")
+                  .select("region", F.xxhash64("one").alias("one"), F.xxhash64("two").alias("two")), "forest-blocks")
+    sides = pairs.select("region", F.col("one").alias("block"), "one", "two", F.lit(0).alias("side")).unionAll(
+        pairs.filter("one != two").select("region", F.col("two").alias("block"), "one", "two", F.lit(1).alias("side")))
+    nth = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    counted = blocks.toDF("in_region", "in_part", "blocks")
+    dealt = split.join(counted, (F.col("region") == F.col("in_region")) & F.col("part").eqNullSafe(F.col("in_part"))) \
+        .select("region", "node", "component", F.xxhash64(F.struct("part", nth.alias("nth"))).alias("block"))
+    needed = dealt.join(sides, ["region", "block"]).select("region", "one", "two", "side", F.col("node").alias("oid"), "component")
+    likely = _hit(keyed, dealt.select(F.col("node").alias("oid")).distinct()).filter("hit AND text IS NOT NULL")
+    columns = ["region", "one", "two", "side", "oid", "component", "text"]
+    return likely.join(needed, "oid").select(*columns).repartition("region", "one", "two") \
+        .sortWithinPartitions("region", "one", "two", "oid", "text") \
+        .mapInArrow(_links_of_blocks(size, percent), "a bigint, b bigint")
+
+
+def candidates(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs ``a`` < ``b`` with the number of agreeing values, and the rows (``node``, ``region``)
+    of regions in which not all pairs were looked at. ``nodes``: ``node``, ``values``."""
     rows = stage_compact(nodes.select("node", "values").mapInArrow(_tree_rows, TREE_ROWS), "forest")
     found = stage(rows.repartitionByRange("tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
                   .mapInArrow(_neighbours(threshold), FOUND), "forest-found")
@@ -236,7 +369,8 @@ def candidates(nodes: DataFrame, threshold: float) -> DataFrame:
     pairs = found.filter("kind = 0").select("a", "b").unionAll(spokes).distinct()
     values = nodes.select("node", "values")
     both = pairs.join(values.toDF("a", "one"), "a").join(values.toDF("b", "two"), "b").select("a", "b", "one", "two")
-    return both.mapInArrow(_estimate(threshold), "a bigint, b bigint, agree int")
+    members = found.filter("kind = 2").select(F.col("a").alias("node"), F.col("b").alias("region"))
+    return both.mapInArrow(_estimate(threshold), "a bigint, b bigint, agree int"), members
 
 
 def _confirmed(pairs: DataFrame, keyed: DataFrame, size: int, percent: int) -> DataFrame:
@@ -288,8 +422,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     keyed = docs.select(node_id(id_col, text_col).alias("oid"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     sets = stage_compact(keyed.mapInArrow(_make_sets(shingle), SETS), "shingle-sets")
     nodes = stage_compact(sets.filter("n > 0").groupBy("digest").agg(
-        F.min("oid").alias("node"), F.first("values").alias("values"), F.count(F.lit(1)).alias("rows")), "forest-nodes")
-    pairs = stage(candidates(nodes, threshold), "forest-pairs")
+        F.min("oid").alias("node"), F.first("values").alias("values"), F.count(F.lit(1)).alias("rows"),
+        F.first("n").alias("n")), "forest-nodes")
+    pairs, members = candidates(nodes, threshold)
+    pairs = stage(pairs, "forest-pairs")
     sides = pairs.select(F.col("a").alias("node"), "a", "b", "agree") \
         .unionAll(pairs.select(F.col("b").alias("node"), "a", "b", "agree"))
     best = Window.partitionBy("node").orderBy(F.col("agree").desc(), "a", "b")
@@ -307,6 +443,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     apart = stage(rest.join(one, "a", "left").join(two, "b", "left") \
         .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "forest-apart")
     more = None if apart.isEmpty() else stage(_confirmed(apart, keyed, shingle, percent), "forest-links")
+    if more is not None and not more.isEmpty():
+        found = stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)),
+                      "forest-components")
+    held = stage(_open_regions(members, found), "forest-open")
+    more = None if held.isEmpty() else stage(_compared(held, keyed, nodes, shingle, percent), "forest-links")
     if more is not None and not more.isEmpty():
         found = stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)),
                       "forest-components")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import components, forest
@@ -85,6 +86,27 @@ def test_star_of_copies_that_do_not_link_with_each_other(docs):
     assert {r.component_id for r in got} == {0}
 
 
+def test_large_family_near_the_threshold(docs):
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(401)], []
+    for i in range(2000):
+        copy = list(base)
+        for place in rng.sample(range(401), rng.choice([13, 14, 15, 16])):
+            copy[place] = f"x{i}_{place}"
+        rows.append((i, " ".join(copy)))
+    sets = [shingles(t, 2) for _, t in rows]
+    number = {s: k for k, s in enumerate(sorted(shingles(" ".join(base), 2)))}
+    inside = np.zeros((len(rows), len(number)), np.float32)
+    for i, s in enumerate(sets):  # copies share nothing but what is left of the first text
+        inside[i, [number[x] for x in s if x in number]] = 1
+    both, size = (inside @ inside.T).astype(int), np.array([len(s) for s in sets])
+    linked = 100 * both >= 80 * (size[:, None] + size - both)
+    want = union([(a, b) for a, b in np.argwhere(linked).tolist() if a < b], range(len(rows)))
+    assert 100 < sum(want[i] == i for i in want) < 1900
+    got = {r.doc_id: r.component_id for r in forest.component_table(docs(rows), 2).collect()}
+    assert got == want
+
+
 def test_edges(docs):
     text = "one two three four five six seven"
     frame = docs([(3, text), (3, text), (5, text.upper()), (None, text), (None, "alone x y"), (8, None), (9, ""),
