@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import carried, remainder, restored, text_chunks
 
-# Bounds of the labelled sample: rows per label value, and characters taken of each.
+# Bounds of the labelled sample: rows per label value, and characters taken of each, so 49,152 per label.
+# A longer text gives as many windows of equal size, each from its own stretch of the whole text.
 SAMPLE_ROWS = 96
-SAMPLE_CHARS = 256
+SAMPLE_CHARS = 512
+WINDOWS = 8
 
 # Texts are parsed in stretches of this many symbols, side by side; every stretch starts a phrase.
 STRETCH = 256
@@ -143,26 +145,42 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
+def spread(text: Column, chars: int) -> Column:
+    """The whole text up to ``chars`` characters, else ``WINDOWS`` windows at places that its hash gives,
+    one in each equal stretch of the text, with a space between them."""
+    size, total = chars // WINDOWS, F.length(text).cast("bigint")
+    parts = []
+    for k in range(WINDOWS):
+        low, high = F.floor(total * k / WINDOWS), F.floor(total * (k + 1) / WINDOWS)
+        place = low + F.pmod(F.xxhash64(text, F.lit(k)), F.greatest(high - low - size + 1, F.lit(1)))
+        parts.append(F.substring(text, (place + 1).cast("int"), F.lit(size)))
+    return F.when(total <= chars, text).otherwise(F.concat_ws(" ", *parts))
+
+
 def learn(docs: DataFrame, trainable: Column, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) \
         -> tuple[tuple[str, bytes], ...]:
     """Labelled text per language, from a bounded sample of the rows that ``trainable`` admits.
 
-    Per label value the ``rows`` rows with the smallest hash of the id, ``chars`` characters of each.
-    The ids are chosen from the narrow columns alone; then only the chosen texts reach the driver.
+    Per label value the ``rows`` rows with a letter and the smallest hash of the id, ``chars`` characters of
+    each, from all over the text (``spread``). A row given several times counts once. The rows are chosen
+    from narrow columns alone; then only windows of the chosen texts reach the driver.
     """
-    labelled = docs.filter(trainable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()) \
-        .select(F.col(id_col).alias("i"), F.col(label_col).cast("string").alias("l"))
-    by_hash = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    chosen = labelled.withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= rows)
-    ids = sorted({r["i"] for r in chosen.select("i").collect()})
-    texts = docs.filter(F.col(id_col).isin(ids) & F.col(label_col).isNotNull() & has_letter(F.col(text_col))) \
+    labelled = docs.filter(trainable & F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & has_letter(F.col(text_col))) \
         .select(F.col(id_col).alias("i"), F.col(label_col).cast("string").alias("l"),
-                F.substring(text_col, 1, chars).alias("t")).collect() if ids else []
+                F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    by_hash = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i", "h")
+    chosen = labelled.select("i", "l", "h").distinct().withColumn("n", F.row_number().over(by_hash)) \
+        .filter(F.col("n") <= rows).select("i", "l", "h").collect()
+    wanted = {(r["i"], r["l"], r["h"]) for r in chosen}
+    found = labelled.filter(F.col("i").isin(sorted({r["i"] for r in chosen})) & F.col("h").isin([r["h"] for r in chosen])) \
+        .select("i", "l", "h", spread(F.col("t"), chars).alias("t")) \
+        .groupBy("i", "l", "h").agg(F.min("t").alias("t")).collect() if chosen else []
     by_label: dict[str, list[bytes]] = {}
-    for r in sorted(texts, key=lambda r: (r["l"], r["i"], r["t"])):
-        raw = np.frombuffer(r["t"].encode("utf-8", "surrogatepass"), np.uint8)
-        by_label.setdefault(r["l"], []).append(fold(raw, np.array([0, len(raw)]))[0].tobytes())
+    for r in sorted(found, key=lambda r: (r["l"], r["i"], r["t"])):
+        if (r["i"], r["l"], r["h"]) in wanted:
+            raw = np.frombuffer(r["t"].encode("utf-8", "surrogatepass"), np.uint8)
+            by_label.setdefault(r["l"], []).append(fold(raw, np.array([0, len(raw)]))[0].tobytes())
     return tuple((label, b" ".join(parts)) for label, parts in sorted(by_label.items()))
 
 

@@ -69,6 +69,20 @@ def test_languages_and_edges(docs):
     assert sum(by_id[i] == label for i, _, label in rows[:200]) >= 198
 
 
+def test_header_of_a_source_is_not_all_that_is_learned(docs):
+    rng = random.Random(2)
+    pick = lambda text: " ".join(rng.choices(text.split(), k=150))
+    notice = "all rights reserved " * 30
+    rows = [(i, notice + pick(EN if i % 2 else DE), "en" if i % 2 else "de") for i in range(200)]
+    rows += [(i, "12 34 !?", "en") for i in range(1000, 3000)]  # no letters, so no use to learn from
+    labelled = crossparse.learn(docs(rows), ~crossparse.held_out())
+    assert [name for name, _ in labelled] == ["de", "en"]
+    assert all(20_000 < len(text) <= 1.1 * crossparse.SAMPLE_ROWS * crossparse.SAMPLE_CHARS for _, text in labelled)
+    tests = [(i, pick(EN if i % 2 else DE)) for i in range(100)]
+    got = {r.doc_id: r.lang_pred for r in crossparse.identify(docs(tests), labelled).collect()}
+    assert all(got[i] == ("en" if i % 2 else "de") for i, _ in tests)
+
+
 def test_nothing_learned_and_empty(docs):
     assert crossparse.learn(docs([]), ~crossparse.held_out()) == ()
     assert crossparse.identify(docs([(1, "some text")]), ()).first().lang_pred == "und"
