@@ -763,9 +763,9 @@ def r2_stream_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def r6_stream_bounded(spark: SparkSession, sf: str) -> DataFrame:
-    """A polling stream that is stopped after a while; the wait is ample for the table."""
+    """A polling stream that is stopped once all events there are have been committed."""
     gated = _stream(spark, sf).select("event_id", "event_type")
-    return streams.run_to_table(gated, "bounded", {"processingTime": "1 second"}, wait=20.0)
+    return streams.run_to_table(gated, "bounded", {"processingTime": "1 second"}, whole=True)
 
 
 def r3_stream_gate(spark: SparkSession, sf: str) -> DataFrame:

@@ -29,22 +29,27 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType, glob: str
 
 
 def run_to_table(stream: DataFrame, label: str, trigger: dict[str, Any] | None = None,
-                 wait: float | None = None) -> DataFrame:
+                 wait: float | None = None, whole: bool = False) -> DataFrame:
     """Run an append stream into a Parquet table and return that table.
 
-    All available input by default. A polling ``trigger`` needs ``wait``: the seconds after which the
-    stream is stopped.
+    All available input by default. A polling ``trigger`` needs ``wait``, the seconds after which the
+    stream is stopped with what is committed by then, or ``whole``: it is stopped once all input is.
     """
-    if trigger and "processingTime" in trigger and wait is None:
-        raise ValueError("a polling stream does not end by itself: pass wait")
+    if trigger and "processingTime" in trigger and wait is None and not whole:
+        raise ValueError("a polling stream does not end by itself: pass wait or whole")
     spark = stream.sparkSession
     target = scratch_path(spark, label)
     query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", target).option("checkpointLocation", f"{target}-state")
         .trigger(**(trigger or {"availableNow": True})).start())
-    query.awaitTermination() if wait is None else query.awaitTermination(wait)
-    query.stop()
+    try:
+        if whole:
+            query.processAllAvailable()
+        else:
+            query.awaitTermination() if wait is None else query.awaitTermination(wait)
+    finally:
+        query.stop()
     return drain(spark, target, stream.schema)
 
 

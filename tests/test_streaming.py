@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import dedup, splits
+from corpusloom.queries import catalog
 from corpusloom.queries.catalog import length_scorer
 from corpusloom.streaming import events as streams
 
@@ -70,6 +71,24 @@ def test_polling_ends(spark, source):
         spark.read.parquet(path).count()
 
 
+def test_bounded_query_waits_for_all_events(spark, tmp_path, monkeypatch):
+    rows = spark.range(12).selectExpr("id AS event_id", "CAST(id AS STRING) AS event_type")
+    rows.repartition(12).write.parquet(str(tmp_path / "events"))
+    slow = F.udf(lambda x: time.sleep(3) or x, "bigint")
+    one = streams.read_events(spark, str(tmp_path / "events"), rows.schema, max_files=1)
+    monkeypatch.setattr(catalog, "_stream", lambda *_: one.withColumn("event_id", slow("event_id")))
+    assert catalog.r6_stream_bounded(spark, str(tmp_path)).count() == 12
+
+
+def test_time_limit_keeps_what_is_committed(spark, source):
+    path, schema = source
+    slow = F.udf(lambda x: time.sleep(0.5) or x, "bigint")
+    stream = streams.read_events(spark, path, schema, max_files=1).select(slow("event_id").alias("event_id"))
+    began = time.time()
+    table = streams.run_to_table(stream, "t-limit", {"processingTime": "1 second"}, wait=5)
+    assert table.count() < spark.read.parquet(path).count() and time.time() - began < 40
+
+
 def test_classify_and_gate_equal_batch(spark, source):
     path, schema = source
     make = lambda df: streams.gate(streams.emit_questions(df)).select("event_id")
