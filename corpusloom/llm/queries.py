@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, crossparse, decontam, forest, lattice, propagation, substring, supervision, urlfilter, warczstd
+from . import (
+    bpe, crossparse, decontam, forest, lattice, propagation, runs, substring, supervision, topk, urlfilter, warczstd)
 from .common import read
 from .oracle import ORACLE  # noqa: F401
 
@@ -72,6 +73,42 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return urlfilter.judge_urls(read(spark, sf, "pages"))
 
 
+def op11_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(read(spark, sf, "embeddings"))
+
+
+def _planted(text: Column, doc_id: Column) -> Column:
+    """With h the crc32 of the id: where h ends in 0, the words from some place on repeat with some period."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def again(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        rest = F.transform(F.sequence(a, n - F.lit(1).cast("bigint")), lambda i: F.get(w, (a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), rest), " ")).otherwise("")
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when(h % 10 == 0, F.transform(F.array(words), again)[0]).otherwise(text)
+
+
+def op13_basic_factor_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", _planted(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.periodic_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("less"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.before")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.less")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.less")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_subword_lattice, op3_bpe_round_trip, op4_lsh_forest, op5_cross_parsing,
-    op6_weak_supervision, op7_label_propagation, op8_warc_zstd, op9_decontamination, op10_url_filter)}
+    op6_weak_supervision, op7_label_propagation, op8_warc_zstd, op9_decontamination, op10_url_filter, op11_top_k,
+    op13_basic_factor_runs)}
