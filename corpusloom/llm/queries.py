@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import (
-    bpe, crossparse, decontam, forest, lattice, propagation, runs, substring, supervision, topk, urlfilter, warczstd)
+    bpe, crossparse, decontam, forest, lattice, propagation, runs, substring, supervision, topk, trie,
+    urlfilter, warczstd)
 from .common import read
 from .oracle import ORACLE  # noqa: F401
 
@@ -77,6 +78,10 @@ def op11_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(read(spark, sf, "embeddings"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf, "conversations"))
+
+
 def _planted(text: Column, doc_id: Column) -> Column:
     """With h the crc32 of the id: where h ends in 0, the words from some place on repeat with some period."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -111,4 +116,4 @@ def op13_basic_factor_runs(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_subword_lattice, op3_bpe_round_trip, op4_lsh_forest, op5_cross_parsing,
     op6_weak_supervision, op7_label_propagation, op8_warc_zstd, op9_decontamination, op10_url_filter, op11_top_k,
-    op13_basic_factor_runs)}
+    op12_prefix_trie, op13_basic_factor_runs)}
