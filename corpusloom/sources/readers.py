@@ -32,6 +32,8 @@ _ROW_BITS = (1 << 33) - 1
 
 # Files read as one value: the longest that are, well below the 2 GB of a Spark value.
 WHOLE_BYTES = 1 << 30
+# Cells of a table's first record that are read at first.
+HEAD_WIDTH = 64
 # A VARIANT parser built on the defaults refuses longer strings.
 LONG_STRING = 20_000_000
 
@@ -152,66 +154,79 @@ def read_xml(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _table_files(spark: SparkSession, root: str, suffix: str, sep: str) -> DataFrame:
-    """Per file: whether all its lines are UTF-8, and the most separators in one of them."""
-    lines = _scan(spark, root, suffix).text(root).select("value", *_origin())
-    cells = F.size(F.split("value", "\t" if sep == "\t" else sep))
-    return lines.groupBy("src_path").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"), F.max(cells).alias("width"))
+    """Per file: whether all its lines are UTF-8, and how many separators the fullest line has (a bound
+    for the parser, not the width of the table)."""
+    lines = _scan(spark, root, suffix).text(root).select("value", scanned_path().alias("src_path"))
+    seps = F.octet_length("value") - F.octet_length(F.replace("value", F.lit(sep), F.lit("")))
+    return lines.groupBy("src_path").agg(F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"), F.max(seps).alias("seps"))
 
 
-def _table_heads(spark: SparkSession, root: str, suffix: str, sep: str, encoding: str,
-                 width: int) -> tuple[DataFrame, DataFrame, int]:
-    """The rows of all tables, the first record of each, and the width that holds every first record.
+def _table_rows(spark: SparkSession, root: str, suffix: str, sep: str, encoding: str, width: int, most: int) -> DataFrame:
+    """The records of all tables, cut or filled up to ``width`` cells.
 
-    A record may span lines, so its width is known only once it is parsed: the width is doubled until
-    the upper half of it holds no name.
+    One column more is declared than is read. So the parser prunes, and takes records of any length
+    without raising an error for each cell that is not there.
     """
-    width = 2 * width + 2
+    schema = ", ".join(f"`{i}` string" for i in range(width + 1))
+    rows = _scan(spark, root, suffix, sep=sep, header="false", multiLine="true", escape='"', encoding=encoding,
+                 columnPruning="true", maxColumns=str(max(20_480, 2 * most, 2 * width))).schema(schema).csv(root)
+    return rows.select(F.array(*[F.col(f"`{i}`") for i in range(width)]).alias("cells"), *_origin())
+
+
+def _table_heads(spark: SparkSession, root: str, suffix: str, sep: str, encoding: str, most: int) -> DataFrame:
+    """The first record of each table. One scan, unless the last of ``width`` cells is named: then twice as
+    many are read."""
+    width = HEAD_WIDTH
     while True:
-        rows = _table_rows(spark, root, suffix, sep, encoding, width)
-        heads = stage(rows.groupBy("src_path").agg(
-            F.min("src_row").alias("_head_row"), F.min_by("cells", "src_row").alias("_head")), "table-heads")
-        names = F.size(F.array_compact(F.slice("_head", width // 2 + 1, width)))
-        if heads.filter(names > 0).isEmpty():
-            return rows, heads, width
+        heads = stage(_table_rows(spark, root, suffix, sep, encoding, width, most).groupBy("src_path").agg(
+            F.min("src_row").alias("head_row"), F.min_by("cells", "src_row").alias("head")), "table-heads")
+        if heads.filter(F.size(F.array_compact(F.slice("head", width // 2 + 1, width))) > 0).isEmpty():
+            return heads
         width *= 2
 
 
-def _table_rows(spark: SparkSession, root: str, suffix: str, sep: str, encoding: str,
-                width: int) -> DataFrame:
-    schema = ", ".join(f"`{i}` string" for i in range(width))
-    rows = _scan(spark, root, suffix, sep=sep, header="false", multiLine="true", escape='"',
-                 encoding=encoding).schema(schema).csv(root)
-    return rows.select(F.array(*[F.col(f"`{i}`") for i in range(width)]).alias("cells"), *_origin())
+def _redecoded(cell: Column) -> Column:
+    """A cell read as Latin-1 whose bytes are UTF-8. (Behind a byte order mark the parser has decoded it.)"""
+    return F.when(F.rlike(cell, F.lit(r"[^\x00-\xFF]")), cell).otherwise(F.decode(F.encode(cell, "ISO-8859-1"), "UTF-8"))
 
 
 def read_csv(spark: SparkSession, root: str, suffix: str = "csv", sep: str = ",") -> DataFrame:
     """Rows of tables with a header line, each file with its own columns and its own encoding.
 
     Files are read without a header, so that one scan serves files of any columns; the first record
-    of a file then names the cells of the others. A file with lines that are not UTF-8 is read as
-    Latin-1, which accepts any byte. Empty cells are absent.
+    of a file then names the cells of the others, and only as many cells are read as the widest first
+    record has names: a long text with many separators does not count. A file with lines that are not
+    UTF-8 is read as Latin-1, which accepts any byte; where there are files of both kinds all are, and
+    the cells of the others are decoded again. Empty cells are absent.
     """
     files = stage(_table_files(spark, root, suffix, sep), "table-files")
-    groups = files.groupBy("is_utf8").agg(F.max("width").alias("width")).collect()  # two rows at most
-    frames = []
-    for group in groups:
-        encoding = "UTF-8" if group["is_utf8"] else "ISO-8859-1"
-        rows, heads, width = _table_heads(spark, root, suffix, sep, encoding, group["width"])
-        wanted = files.filter(F.col("is_utf8") == group["is_utf8"]).select("src_path")
-        # Staged: the planner broadcasts the headers when they are small, and else shuffles.
-        frames.append(rows.join(stage(heads.join(wanted, "src_path"), "table-heads"), "src_path"))
-    if not frames:
+    seen = files.agg(F.bool_and("is_utf8").alias("all_utf8"), F.bool_or("is_utf8").alias("any_utf8"),
+                     F.max("seps").alias("seps")).first()
+    if seen["all_utf8"] is None:
         return spark.createDataFrame([], RAW_SCHEMA)
-    body = union_all(frames).filter(F.col("src_row") > F.col("_head_row"))
-    head = F.transform("_head", lambda c: F.regexp_replace(c, "^\\x{feff}", ""))
-    named = F.filter(F.arrays_zip(head.alias("k"), F.col("cells").alias("v")),
+    encoding, mixed = "UTF-8" if seen["all_utf8"] else "ISO-8859-1", seen["any_utf8"] and not seen["all_utf8"]
+    found = _table_heads(spark, root, suffix, sep, encoding, seen["seps"]).join(files.select("src_path", "is_utf8"), "src_path")
+    if mixed:
+        found = found.withColumn("head", F.when(F.col("is_utf8"), F.transform("head", _redecoded)).otherwise(F.col("head")))
+    names = F.transform("head", lambda c: F.regexp_replace(c, "^\\x{feff}", ""))
+    wide = F.array_max(F.transform(names, lambda c, i: F.when(c.isNotNull(), i + 1)))
+    found = found.select("src_path", "is_utf8", "head_row", F.slice(names, F.lit(1), F.coalesce(wide, F.lit(0))).alias("head"))
+    # Staged: the planner broadcasts the headers when they are small, and else shuffles.
+    heads = stage(found.withColumn("unlike", F.size(F.array_distinct(F.array_compact("head"))) == F.size(F.array_compact("head"))),
+                  "table-heads")
+    width = heads.agg(F.max(F.size("head"))).first()[0] or 1
+    body = _table_rows(spark, root, suffix, sep, encoding, width, seen["seps"]).join(heads, "src_path") \
+        .filter(F.col("src_row") > F.col("head_row"))
+    cells = F.slice("cells", F.lit(1), F.size("head"))
+    if mixed:
+        cells = F.when(F.col("is_utf8"), F.transform(cells, _redecoded)).otherwise(cells)
+    named = F.filter(F.arrays_zip(F.col("head").alias("k"), cells.alias("v")),
                      lambda p: p["k"].isNotNull() & p["v"].isNotNull())
-    fields = F.map_from_entries(F.transform(
-        F.array_distinct(F.transform(named, lambda p: p["k"])),
-        lambda key: F.struct(key, F.filter(named, lambda p: p["k"] == key)[0]["v"])))
+    first = F.transform(F.array_distinct(F.transform(named, lambda p: p["k"])),
+                        lambda key: F.struct(key.alias("k"), F.filter(named, lambda p: p["k"] == key)[0]["v"].alias("v")))
+    fields = F.map_from_entries(F.when(F.col("unlike"), named).otherwise(first))
     table = body.select(
-        "src_path", "src_block", (F.col("src_row") - F.col("_head_row") - 1).alias("src_row"),
+        "src_path", "src_block", (F.col("src_row") - F.col("head_row") - 1).alias("src_row"),
         F.to_json(fields).alias("raw"))
     return _finish(table, suffix)
 

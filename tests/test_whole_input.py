@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import time
 
 import pytest
 
@@ -77,6 +78,24 @@ def test_header_of_many_lines(spark, tmp_path):
     assert record == {n: f"v{i}\n" for i, n in enumerate(names)}
 
 
+def test_texts_full_of_separators(spark, tmp_path):
+    put(tmp_path, "a.csv", "id,text\n1,\"" + ",x" * 100_000 + "\"\n2,b" + ",c" * 30_000 + "\n" + "3,d\n" * 2000)
+    put(tmp_path, "b.csv", ",".join(f"n{i}" for i in range(200)) + "\n" + ",".join(map(str, range(200))) + "\n")
+    start = time.monotonic()
+    got = [json.loads(r) for r in raws(readers.read_csv(spark, str(tmp_path)))]
+    assert time.monotonic() - start < 20
+    assert got[0] == {"id": "1", "text": ",x" * 100_000} and got[1] == {"id": "2", "text": "b"}
+    assert got[2:2002] == [{"id": "3", "text": "d"}] * 2000 and got[2002] == {f"n{i}": str(i) for i in range(200)}
+
+
+def test_tables_of_two_encodings(spark, tmp_path):
+    put(tmp_path, "a.csv", "naïve,b,b\né,ü€,\n,,2\n".encode())
+    put(tmp_path, "b.csv", "naïve,b\né,ü\n".encode("latin-1"))
+    put(tmp_path, "c.csv", "\ufeffnaïve,b\n€é,ü\n".encode())
+    got = [json.loads(r) for r in raws(readers.read_csv(spark, str(tmp_path)))]
+    assert got == [{"naïve": "é", "b": "ü€"}, {"b": "2"}, {"naïve": "é", "b": "ü"}, {"naïve": "€é", "b": "ü"}]
+
+
 def test_paths_that_need_escapes(spark, tmp_path):
     root = tmp_path / "my data+%41"
     put(root, "a é.csv", "text\none\ntwo\n")
