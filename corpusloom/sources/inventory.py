@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import SPACE, path_suffix, relative_path
 from ..schema import DATASET_GLOBS, SUPPORTED_FORMATS
-from .jsonstream import json_items
+from .jsonstream import json_items, json_value_items
 
 # JSON documents above this are read as a stream, element by element.
 JSON_BYTES = 64 << 20
 LINE_FORMATS = ("csv", "jsonl")
+# Elements above this many characters are counted without parsing them.
+LONG_ITEM = 100_000_000
 
 
 def file_glob(suffix: str) -> str:
@@ -114,17 +116,28 @@ def _line_counts(spark: SparkSession, root: str, suffix: str, blank: bool) -> Da
     return _by_file(lines, F.count(F.lit(1)) if blank else F.count_if(filled))
 
 
+def is_json_array() -> Column:
+    """Whether a document's text (``value``) begins as an array."""
+    return F.startswith(F.ltrim("value", F.lit(" \t\n\r\ufeff")), F.lit("["))
+
+
 def _json_counts(spark: SparkSession, root: str, scalar: int, invalid: int) -> DataFrame:
-    """Length of an array; 1 for an object; the given numbers for a scalar and for bad JSON."""
+    """Length of an array; 1 for an object; the given numbers for a scalar and for bad JSON.
+
+    Of a damaged array, as of a long one, the elements that the reader finds count.
+    """
     docs = whole_files(spark, root, file_glob("json"), JSON_BYTES)
-    start = F.substring(F.ltrim("value"), 1, 1)
-    n = F.when(F.json_array_length("value").isNotNull(), F.json_array_length("value")) \
-        .when(~F.is_variant_null(F.try_parse_json("value")) & (start == "{"), F.lit(1)) \
-        .when(F.try_parse_json("value").isNull(), F.lit(invalid)).otherwise(F.lit(scalar))
-    small = docs.filter("NOT too_long").select(F.col("src_path").alias("path"), n.cast("bigint").alias("n"))
-    items = json_items(docs.filter("too_long").select("src_path")) \
-        .groupBy(F.col("src_path").alias("path")).agg(F.count(F.lit(1)).alias("n"))
-    return small.unionAll(items)
+    text = F.regexp_replace("value", "^\\x{feff}", "")
+    length = F.json_array_length(text)
+    n = F.when(length.isNotNull(), length) \
+        .when(is_json_array(), F.lit(None)) \
+        .when(~F.is_variant_null(F.try_parse_json(text)) & F.startswith(F.ltrim(text, F.lit(" \t\n\r")), F.lit("{")), F.lit(1)) \
+        .when(F.try_parse_json(text).isNull(), F.lit(invalid)).otherwise(F.lit(scalar))
+    small = docs.filter("NOT too_long").select("src_path", "value", F.inline(F.array(F.struct(n.cast("bigint").alias("n")))))
+    items = json_items(docs.filter("too_long")).unionAll(json_value_items(small.filter("n IS NULL")))
+    found = F.count_if(F.try_parse_json("raw").isNotNull() | (F.length("raw") > LONG_ITEM))
+    return small.filter("n IS NOT NULL").select(F.col("src_path").alias("path"), "n") \
+        .unionAll(items.groupBy(F.col("src_path").alias("path")).agg(found.alias("n")))
 
 
 def whole_files(spark: SparkSession, root: str, glob: str, limit: int) -> DataFrame:

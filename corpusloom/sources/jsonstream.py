@@ -1,8 +1,9 @@
-"""JSON documents that are too long for one value: the elements of their array, read as a stream."""
+"""JSON documents that are too long for one value, or damaged: the elements of their array, read as a stream."""
 
 from __future__ import annotations
 
 import codecs
+import io
 import json
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -15,13 +16,17 @@ from pyspark.sql import DataFrame, functions as F
 _BLANK = " \t\n\r"
 _READ = 4 << 20
 _ROWS, _CHARS = 4096, 16 << 20
+# Characters of the longest element that is read, well below the 2 GB of a Spark value.
+ELEMENT_CHARS = 1 << 28
+_TASKS = 10_000
 ITEMS = "src_path string, pos bigint, raw string"
 
 
-def elements(stream: BinaryIO, read: int = _READ) -> Iterator[str]:
+def elements(stream: BinaryIO, read: int = _READ, limit: int = ELEMENT_CHARS) -> Iterator[str | None]:
     """Texts of the elements of a top-level array; of anything else, the whole text.
 
-    Only the element at hand is held. Where the array is damaged, the rest of it is the last element.
+    Only the element at hand is held. Where the array is damaged, the rest of it is the last element. An
+    element (or such a rest) above ``limit`` characters is None, and the last.
     """
     decode = codecs.getincrementaldecoder("utf-8")("replace").decode
     scan = json.JSONDecoder(strict=False).raw_decode
@@ -46,9 +51,9 @@ def elements(stream: BinaryIO, read: int = _READ) -> Iterator[str]:
     if not skip(_BLANK + "\ufeff"):
         return
     if text[at] != "[":
-        while not ended:
+        while not ended and len(text) - at <= limit:
             more()
-        yield text[at:]
+        yield text[at:] if len(text) - at <= limit else None
         return
     at += 1
     while skip(_BLANK + ","):
@@ -62,8 +67,8 @@ def elements(stream: BinaryIO, read: int = _READ) -> Iterator[str]:
                 if end < len(text) or ended:
                     break
             except ValueError:
-                if ended:
-                    yield text[at:]
+                if ended or len(text) - at > limit:
+                    yield text[at:] if len(text) - at <= limit else None
                     return
             size *= 2
             more()
@@ -71,27 +76,54 @@ def elements(stream: BinaryIO, read: int = _READ) -> Iterator[str]:
         at = end
 
 
-def _read_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _as_read(text: str | None) -> str | None:
+    """An element as the reader of whole documents has it: a string is the text it holds, null is none."""
+    if text is None or text == "null":
+        return None
+    try:
+        return json.loads(text, strict=False) if text.startswith('"') else text
+    except ValueError:
+        return text
+
+
+def _rows(path: str, first: int, held: list[str | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([path] * len(held), pa.string()), pa.array(range(first, first + len(held)), pa.int64()),
+         pa.array(held, pa.string())], names=["src_path", "pos", "raw"])
+
+
+def _items(path: str, stream: BinaryIO) -> Iterator[pa.RecordBatch]:
+    held, size, first = [], 0, 0
+    for text in elements(stream):
+        held.append(_as_read(text))
+        size += len(text or "")
+        if len(held) >= _ROWS or size >= _CHARS:
+            yield _rows(path, first, held)
+            held, size, first = [], 0, first + len(held)
+    yield _rows(path, first, held)
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column(0).to_pylist():
             store, name = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
             with store.open_input_stream(name) as stream:
-                held, size, first = [], 0, 0
-                for raw in elements(stream):
-                    held.append(raw)
-                    size += len(raw)
-                    if len(held) >= _ROWS or size >= _CHARS:
-                        yield _rows(path, first, held)
-                        held, size, first = [], 0, first + len(held)
-                yield _rows(path, first, held)
+                yield from _items(path, stream)
 
 
-def _rows(path: str, first: int, held: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([path] * len(held), pa.string()), pa.array(range(first, first + len(held)), pa.int64()),
-         pa.array(held, pa.string())], names=["src_path", "pos", "raw"])
+def _read_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+            yield from _items(path, io.BytesIO(value))
 
 
 def json_items(files: DataFrame) -> DataFrame:
-    """``src_path``, ``pos`` and ``raw`` of the elements of each file; one file is one task's work."""
-    return files.select("src_path").repartition(F.xxhash64("src_path")).mapInArrow(_read_items, ITEMS)
+    """``src_path``, ``pos`` and ``raw`` of the elements of each file. One file is one task's work, so there
+    are as many tasks as files, which the planner must not merge."""
+    tasks = max(1, min(_TASKS, files.count()))
+    return files.select("src_path").repartition(tasks).mapInArrow(_read_files, ITEMS)
+
+
+def json_value_items(docs: DataFrame) -> DataFrame:
+    """The same for documents whose text (``value``) is there already."""
+    return docs.select("src_path", F.col("value").cast("binary")).mapInArrow(_read_values, ITEMS)

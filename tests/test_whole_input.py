@@ -48,6 +48,30 @@ def test_long_json_documents_are_streamed(spark, tmp_path):
     assert len(set(ids)) == len(ids)
 
 
+@pytest.mark.parametrize("limit", [5, 1 << 20])
+def test_one_rule_for_damaged_json(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(inventory, "JSON_BYTES", limit)
+    put(tmp_path, "a.json", '[{"a":1},{"a":2},{"a":3}, {"a":')
+    put(tmp_path, "b.json", '\ufeff[{"a":4}, "text", "{\\"a\\": 5}", null, 7, [8]]')
+    put(tmp_path, "c.json", '{"a": 6')
+    records = readers.read_json(spark, str(tmp_path), limit)
+    assert [json.loads(r)["a"] for r in raws(readers.good_records(records))] == [1, 2, 3, 4, 5]
+    bad = sorted((os.path.basename(r.src_path), r.raw or "", r.reason) for r in readers.rejected_records(records).collect())
+    assert bad == [("a.json", '{"a":', "bad JSON"), ("b.json", "", "unreadable"), ("b.json", "7", "no object"),
+                   ("b.json", "[8]", "no object"), ("b.json", "text", "bad JSON"), ("c.json", '{"a": 6', "bad JSON")]
+    files = inventory.exact_entries(spark, str(tmp_path), inventory.list_files(spark, str(tmp_path)))
+    assert {os.path.basename(r.path): r.entries for r in files.collect()}["a.json"] == 3
+
+
+def test_long_files_are_spread_and_elements_bounded(spark, tmp_path):
+    for i in range(24):
+        put(tmp_path, f"{i}.json", json.dumps([{"a": i}]))
+    files = inventory.whole_files(spark, str(tmp_path), "*.json", 1).filter("too_long")
+    assert jsonstream.json_items(files).rdd.getNumPartitions() == 24
+    assert list(jsonstream.elements(io.BytesIO(b'[1, "' + b"x" * 999), 10, 100)) == ["1", None]
+    assert list(jsonstream.elements(io.BytesIO(b"x" * 999), 10, 100)) == [None]
+
+
 def test_json_array_beyond_a_variant(spark, tmp_path):
     line = json.dumps({"text": "y" * 1_000_000})
     put(tmp_path, "big.json", "[" + ",".join([line] * 140) + "]")
