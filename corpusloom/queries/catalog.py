@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import classify, code, html, text
-from ..operators import dedup, filters, fuzzy, mapping, scoring, splits, stats, variants
+from ..operators import dedup, filters, fuzzy, mapping, scoring, setjoin, splits, stats, variants
 from ..plans import consolidate as jobs, training
 from ..schema import UNIFIED
 from ..session import scratch_path, stage
@@ -261,6 +261,15 @@ def d2_fuzzy_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return fuzzy.fuzzy_dedup(b.docs(spark, sf).select("rec_id", "question_text"), FUZZY_THRESHOLD)
 
 
+def j2_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of different word sets, by the first document of each."""
+    return setjoin.similar_sets(b.documents(spark, sf))[0]
+
+
+def j2_jaccard_links(spark: SparkSession, sf: str) -> DataFrame:
+    return setjoin.similar_sets(b.documents(spark, sf))[1]
+
+
 def d4_consecutive(spark: SparkSession, sf: str) -> DataFrame:
     rows = b.text_events(spark, sf).select("event_id", "user_id", "ts", "event_type")
     return dedup.drop_consecutive(rows, "user_id", "event_type", "ts", "event_id") \

@@ -456,3 +456,13 @@ ORACLE["z1_records"] = f"WITH {DOCS}, {_REFINED} SELECT rec_id, question_text, s
 
 ORACLE["z1_from_files"] = f"""WITH {DOCS}, {_REFINED.replace(STRATA, "answer_text")}
   SELECT split, count(*) AS n FROM s GROUP BY split UNION ALL SELECT 'total', count(*) FROM s"""
+
+_SETS = f"""d AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split({norm("coalesce(text, '')")}, ' '), lambda w: w <> ''))) AS w
+    FROM documents WHERE doc_id IS NOT NULL),
+  c AS (SELECT w, min(doc_id) AS id FROM d GROUP BY w), t AS (SELECT id, len(w) AS n, unnest(w) AS word FROM c),
+  shared AS (SELECT x.id AS a, y.id AS b, x.n + y.n AS sizes, count(*) AS shared FROM t x JOIN t y ON x.word = y.word AND x.id < y.id
+    AND 100 * x.n >= 80 * y.n AND 100 * y.n >= 80 * x.n GROUP BY ALL),
+  pairs AS (SELECT a, b, shared, sizes - shared AS total FROM shared WHERE 100 * shared >= 80 * (sizes - shared))"""
+ORACLE["j2_jaccard_pairs"] = f"WITH {_SETS} SELECT * FROM pairs"
+ORACLE["j2_jaccard_links"] = f"""WITH {_SETS}, k AS (SELECT id, count(*) AS n FROM (SELECT unnest([a, b]) AS id FROM pairs) GROUP BY id)
+  SELECT d.doc_id AS id, c.id AS class_id, coalesce(n, 0) AS n_links FROM d JOIN c USING (w) LEFT JOIN k ON k.id = c.id"""
