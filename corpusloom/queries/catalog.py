@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import classify, code, html, text
-from ..operators import dedup, filters, fuzzy, mapping, scoring, setjoin, splits, stats, variants
+from ..operators import dedup, digests, filters, fuzzy, mapping, scoring, setjoin, splits, stats, variants
 from ..plans import consolidate as jobs, training
 from ..schema import UNIFIED
 from ..session import scratch_path, stage
 from ..sinks import writers
 from ..sources import corpus, inventory, readers
-from ..streaming import events as streams
+from ..streaming import events as streams, keyed
 from . import bindings as b
 
 SHARD_SIZE = 100
@@ -320,6 +320,12 @@ def j4_missing(spark: SparkSession, sf: str) -> DataFrame:
     return stats.missing_records(inputs, _corpus(spark, sf))
 
 
+def j4_digest_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``j4_missing``, but only rows of buckets whose digests differ are joined."""
+    inputs = b.docs(spark, sf).select("rec_id", "source_site")
+    return digests.missing_by_digest(inputs, _corpus(spark, sf))
+
+
 # Statistics -------------------------------------------------------------------------------------
 
 def a1_manifest(spark: SparkSession, sf: str) -> DataFrame:
@@ -552,14 +558,12 @@ def _tree(spark: SparkSession, sf: str) -> str:
     A third of the lines is broken; names hold blanks and upper-case suffixes; one suffix is guessed.
     """
     root = scratch_path(spark, "tree of files")
-    rows = b.table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey") \
-        .repartition(1)
+    rows = b.table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey").repartition("s_nationkey")
     nation = F.col("s_nationkey").alias("n")
     line = F.to_json(F.struct("s_suppkey", "s_name"))
     broken = F.when(F.col("s_suppkey") % 3 == 0, F.left(line, F.length(line) - 1)).otherwise(line)
     _lines(rows.select(nation, broken.alias("value")), f"{root}/description2code_current/codechef", "JSONL", "n")
-    _lines(rows.groupBy(nation).agg(F.to_json(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("value"))
-           .repartition(1), f"{root}/description2code_current/codeforces", "json", "n")
+    _lines(rows.groupBy(nation).agg(F.to_json(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("value")), f"{root}/description2code_current/codeforces", "json", "n")
     _lines(rows.select(nation, F.col("s_name").alias("value")), f"{root}/description2code_current/hackerearth", "txt", "n")
     _lines(rows.select(nation, F.col("s_name").alias("value")), f"{root}/notes of all", "md", "n")
     rows.select(nation, "s_suppkey", "s_name").write.partitionBy("n").option("header", True) \
@@ -736,26 +740,28 @@ def r1_stream_questions(spark: SparkSession, sf: str) -> DataFrame:
     return streams.run_to_table(emitted, "questions")
 
 
-def _event_files(spark: SparkSession, sf: str, parts: int = 3) -> str:
-    """The events as files in the order of time, one written after the other, so that state is carried."""
+ALL_FILES = (1 << 31) - 1
+
+
+def _event_parts(spark: SparkSession, sf: str, parts: int = 3) -> list[DataFrame]:
+    """The events cut by time, without a time first: each part is to be one micro-batch."""
     events = b.table(spark, sf, "events")
     low, high = events.agg(F.min("ts"), F.max("ts")).first()
-    path, edges = scratch_path(spark, "event-files"), [low + (high - low) * k / parts for k in range(1, parts)]
-    for k in range(parts):
-        inside = F.lit(True)
-        if k:
-            inside = inside & (F.col("ts") >= F.lit(edges[k - 1]))
-        if k < parts - 1:
-            inside = inside & (F.col("ts") < F.lit(edges[k]))
-        events.filter(inside).coalesce(1).write.mode("append").parquet(path)
-    return path
+    if low is None:
+        return [events]
+    edges = [low + (high - low) * k / parts for k in range(1, parts)]
+    part = F.lit(0)
+    for edge in edges:
+        part = part + F.coalesce((F.col("ts") >= F.lit(edge)).cast("int"), F.lit(0))
+    return [events.filter(part == k) for k in range(parts)]
 
 
 def _consecutive(spark: SparkSession, sf: str) -> tuple[DataFrame, str, DataFrame]:
-    path = _event_files(spark, sf)
-    events = streams.read_events(spark, path, b.table(spark, sf, "events").schema, max_files=1) \
-        .select("event_id", "user_id", "ts", "event_type")
-    table, state = streams.run_consecutive(events, "user_id", "ts", "event_id", "event_type", "consecutive")
+    path, target = scratch_path(spark, "event-files"), scratch_path(spark, "consecutive")
+    for part in _event_parts(spark, sf):
+        part.write.mode("append").parquet(path)
+        events = streams.read_events(spark, path, part.schema, max_files=ALL_FILES).select("event_id", "user_id", "ts", "event_type")
+        table, state = streams.run_consecutive(events, "user_id", "ts", "event_id", "event_type", "consecutive", target=target)
     return table, state, events
 
 
@@ -771,6 +777,55 @@ def r2_stream_history(spark: SparkSession, sf: str) -> DataFrame:
     return streams.read_history(spark, state, schema).select("event_id", "user_id", "event_type")
 
 
+def _keyed(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    path, target = scratch_path(spark, "event-files"), scratch_path(spark, "keyed")
+    for part in _event_parts(spark, sf):
+        part.write.mode("append").parquet(path)
+        events = streams.read_events(spark, path, part.schema, max_files=ALL_FILES)
+        table = keyed.run_into(keyed.keyed_consecutive(events, "user_id", "ts", "event_id", "event_type"), target)
+    return table, target
+
+
+def r2_state(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``r2_stream_consecutive``, with the state of each user in a state store."""
+    return _keyed(spark, sf)[0].select("event_id", "user_id", "event_type", "history_size")
+
+
+def r2_state_history(spark: SparkSession, sf: str) -> DataFrame:
+    return keyed.keyed_history(spark, _keyed(spark, sf)[1]).select("event_id", "user_id", "event_type")
+
+
+def r4_stream_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Each view with the purchases of the user in the six hours after it, as question and answers.
+
+    When all events are in, a last pair far in the future moves the watermarks past all of them.
+    """
+    events = b.table(spark, sf, "events")
+    path, target = scratch_path(spark, "event-files"), scratch_path(spark, "stream-join")
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), (F.min("user_id") - 1).alias("user_id"))
+    ends = end.withColumn("event_type", F.explode(F.array(F.lit("view"), F.lit("purchase")))) \
+        .withColumns({c: F.lit(None).cast(t) for c, t in events.dtypes if c not in ("ts", "user_id", "event_type")})
+    for part in (events, ends.select(*events.columns)):
+        part.write.mode("append").parquet(path)
+        views, purchases = (streams.read_events(spark, path, events.schema, max_files=ALL_FILES)
+                            .filter(F.col("event_type") == kind) for kind in ("view", "purchase"))
+        table = keyed.run_into(keyed.join_responses(views, purchases, "user_id", "ts", "6 hours"), target)
+    return table.filter("event_id IS NOT NULL").select(
+        F.col("key").alias("user_id"), "event_id", "answer_id",
+        (F.unix_micros("answered") - F.unix_micros("asked")).alias("micros"))
+
+
+def a12_backlog(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows per micro-batch and what waits behind each, in totals, and the counts of the stages."""
+    stream = streams.read_events(spark, sf, b.table(spark, sf, "events").schema, "events.parquet", 1).select(*b.event_columns())
+    table, progress = keyed.run_with_progress(stream, "progress")
+    waits = keyed.backlog(progress, table.count()).agg(F.sum("rows").alias("rows"), F.min("backlog").alias("backlog_end"))
+    questions = streams.gate(streams.classify(table))
+    good = scoring.responses(scoring.score_batches(questions, length_scorer, "text"), "text").filter("NOT failed")
+    return keyed.stage_counts(table, questions, good).unionByName(waits, allowMissingColumns=True) \
+        .agg(*(F.max(c).alias(c) for c in ("rows", "backlog_end", "captured", "processed", "generated", "waiting", "unanswered")))
+
+
 def r6_stream_bounded(spark: SparkSession, sf: str) -> DataFrame:
     """A polling stream that is stopped once all events there are have been committed."""
     gated = _stream(spark, sf).select("event_id", "event_type")

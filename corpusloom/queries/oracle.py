@@ -466,3 +466,14 @@ _SETS = f"""d AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_spli
 ORACLE["j2_jaccard_pairs"] = f"WITH {_SETS} SELECT * FROM pairs"
 ORACLE["j2_jaccard_links"] = f"""WITH {_SETS}, k AS (SELECT id, count(*) AS n FROM (SELECT unnest([a, b]) AS id FROM pairs) GROUP BY id)
   SELECT d.doc_id AS id, c.id AS class_id, coalesce(n, 0) AS n_links FROM d JOIN c USING (w) LEFT JOIN k ON k.id = c.id"""
+
+ORACLE["r2_state"], ORACLE["r2_state_history"] = ORACLE["r2_stream_consecutive"], ORACLE["r2_stream_history"]
+ORACLE["j4_digest_missing"] = ORACLE["j4_missing"]
+ORACLE["r4_stream_join"] = """SELECT q.user_id, q.event_id, a.event_id AS answer_id, epoch_us(a.ts) - epoch_us(q.ts) AS micros
+  FROM events q LEFT JOIN events a ON a.user_id = q.user_id AND a.event_type = 'purchase' AND a.ts >= q.ts
+    AND a.ts <= q.ts + INTERVAL 6 HOURS WHERE q.event_type = 'view' AND q.ts IS NOT NULL AND q.user_id IS NOT NULL"""
+ORACLE["a12_backlog"] = f"""WITH {EVENTS}, p AS (SELECT length(text) + 21 AS n FROM captured
+    WHERE confidence >= 70 AND {is_question('text')} AND length(text) BETWEEN 20 AND 2000),
+  t AS (SELECT (SELECT count(*) FROM events) AS rows, (SELECT count(*) FROM p) AS processed,
+    (SELECT count(*) FROM p WHERE n % 2 = 0) AS generated)
+  SELECT rows, 0 AS backlog_end, rows AS captured, processed, generated, rows - processed AS waiting, processed - generated AS unanswered FROM t"""

@@ -105,17 +105,18 @@ def _ranked(kept: DataFrame, key: str, time: str, id_col: str, span_seconds: int
 
 def run_consecutive(events: DataFrame, key: str, time: str, id_col: str, text: str, label: str,
                     history: int = HISTORY, span_seconds: int = 3600, watermark: str = WATERMARK,
-                    trigger: dict[str, Any] | None = None) -> tuple[DataFrame, str]:
+                    trigger: dict[str, Any] | None = None, target: str | None = None) -> tuple[DataFrame, str]:
     """Per key, events whose text differs from the one before; the table, and the folder of the histories.
 
     Each micro-batch runs ``drop_consecutive`` over its rows and the last kept text of each key, so no
     key is gathered in one task. ``history_size`` is the number of texts that the key's history holds
     then, ``history`` at most. The state is a table of the last ``history`` kept rows of each key, written
     per batch. An event that is older than its key's last kept row by more than ``watermark`` is late and
-    dropped. A batch that is run again overwrites what it wrote.
+    dropped. A batch that is run again overwrites what it wrote. With the ``target`` of an earlier run, the
+    stream goes on where that one ended.
     """
     spark = events.sparkSession
-    target = scratch_path(spark, label)
+    target = target or scratch_path(spark, label)
     narrow = events.select(key, id_col, time, text)
     state = f"{target}-history"
 

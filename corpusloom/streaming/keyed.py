@@ -44,50 +44,64 @@ class _Consecutive(StatefulProcessor):
         self.history_size, self.idle_ms = history, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "text string", self.idle_ms)
-        self.kept = handle.getListState("history", self.row, self.idle_ms)
+        self.handle = handle
+        self.last = handle.getValueState("last", "text string")
+        self.kept = handle.getListState("history", self.row)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows), ignore_index=True).sort_values([self.time, self.id], na_position="first", kind="stable")
-        texts = [None if pd.isna(t) else t for t in batch[self.text]]
+        texts = batch[self.text].tolist()
         known = self.last.get() if self.last.exists() else None
         before = [known[0] if known else None, *texts[:-1]]
         fresh = [a != b for a, b in zip(texts, before, strict=True)]
-        if known is None and texts:
-            fresh[0] = texts[0] is not None  # as in the batch operator, nothing before counts as null
-        out = batch[fresh].reset_index(drop=True)
+        out = batch.loc[fresh, self.row.fieldNames()].reset_index(drop=True)
         self.last.update((texts[-1],))
         held = list(self.kept.get()) if self.kept.exists() else []
         out["history_size"] = [min(self.history_size, len(held) + 1 + i) for i in range(len(out))]
+        if self.idle_ms is not None and batch[self.time].notna().any():
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(batch[self.time].max().timestamp() * 1000) + self.idle_ms)
         if len(out):
-            new = [tuple(None if pd.isna(v) else v for v in r) for r in out[self.row.fieldNames()].tail(self.history_size).itertuples(index=False)]
+            new = [tuple(None if pd.isna(v) else v for v in r) for r in out[self.row.fieldNames()].astype(object).tail(self.history_size).itertuples(index=False)]
             self.kept.put((held + new)[-self.history_size:])
             yield out
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        self.kept.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
 def keyed_consecutive(events: DataFrame, key: str, time: str, id_col: str, text: str, history: int = HISTORY,
-                      idle_ms: int | None = None) -> DataFrame:
+                      idle_ms: int | None = None, watermark: str = WATERMARK) -> DataFrame:
     """Per key, events of a stream whose text differs from the one before, with ``history_size``.
 
     The state of a key is its last text and its last ``history`` kept rows, in a state store: a micro-batch
-    reads and writes the state of its own keys only. With ``idle_ms``, the state of a key that has not
-    changed for so long expires. The rows of a key in one micro-batch are sorted together, so the size of
+    reads and writes the state of its own keys only. With ``idle_ms``, a timer drops the state of a key once
+    the watermark is so far behind its last event; rows that are later than the watermark are then dropped. The rows of a key in one micro-batch are sorted together, so the size of
     a micro-batch bounds what a task holds; rows of later batches come after those of earlier ones. A null
-    time comes first within its batch. Nothing before a key's first row counts as a null text.
+    time comes first within its batch. Null and empty texts are no texts and are left out.
     """
-    narrow = events.select(key, id_col, time, text)
-    row = T.StructType([narrow.schema[c] for c in (id_col, time, text)])
-    out = narrow.schema.add("history_size", "long")
-    processor = _Consecutive(time, id_col, text, row, history, idle_ms)
-    return narrow.groupBy(key).transformWithStateInPandas(
-        processor, out, "Append", "None" if idle_ms is None else "ProcessingTime")
+    narrow = events.select(key, id_col, time, text).filter(F.coalesce(F.col(text), F.lit("")) != "")
+    out = T.StructType([*narrow.schema.fields, T.StructField("history_size", T.LongType())])
+    processor = _Consecutive(time, id_col, text, T.StructType(narrow.schema.fields), history, idle_ms)
+    if idle_ms is not None:
+        narrow = narrow.withWatermark(time, watermark)
+    # The state store takes no null key, so a null one is told apart by a column of its own.
+    whole = narrow.withColumns({"_none": F.col(key).isNull(), "_key": F.coalesce(F.col(key).cast("string"), F.lit(""))})
+    return whole.groupBy("_none", "_key").transformWithStateInPandas(
+        processor, out, "Append", "None" if idle_ms is None else "EventTime")
+
 
+def run_into(stream: DataFrame, target: str) -> DataFrame:
+    """Run what is available of an append stream into ``target``; called again, it goes on where it was.
 
-def run_keyed(stream: DataFrame, target: str) -> DataFrame:
-    """Run what is available of a keyed stream into ``target``; called again, it goes on where it was."""
+    State is kept in RocksDB, on disk beside the executors and in the checkpoint.
+    """
     spark = stream.sparkSession
     with settings(spark, **{_STORE.replace(".", "__"): _ROCKS}):
         stream.writeStream.format("parquet").outputMode("append").option("path", target) \
@@ -96,10 +110,10 @@ def run_keyed(stream: DataFrame, target: str) -> DataFrame:
 
 
 def keyed_history(spark: SparkSession, target: str) -> DataFrame:
-    """The rows that the keys' histories hold, read from the state store of ``run_keyed``."""
+    """The rows that the keys' histories hold, read from the state that ``run_into`` left."""
     with settings(spark, **{_STORE.replace(".", "__"): _ROCKS}):
         state = spark.read.format("statestore").option("stateVarName", "history").load(f"{target}-state")
-    return state.select("key.*", "list_element.*")
+        return state.select("list_element.*")
 
 
 def join_responses(questions: DataFrame, answers: DataFrame, key: str, time: str, within: str,
