@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import mimetypes
 import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import SPACE, path_suffix, relative_path
 from ..schema import DATASET_GLOBS, SUPPORTED_FORMATS
-from .jsonstream import json_items, json_value_items
+from ..session import stage
+from .jsonstream import json_items
 
 # JSON documents above this are read as a stream, element by element.
 JSON_BYTES = 64 << 20
 LINE_FORMATS = ("csv", "jsonl")
-# Elements above this many characters are counted without parsing them.
-LONG_ITEM = 100_000_000
 
 
 def file_glob(suffix: str) -> str:
@@ -76,17 +80,61 @@ def outside(path: Column, folder: str) -> Column:
     return ~F.startswith(path, F.lit(folder.rstrip("/") + "/"))
 
 
+_LISTED = "path string, is_folder boolean, length bigint, modificationTime timestamp"
+_LISTED_TYPES = pa.schema([("path", pa.string()), ("is_folder", pa.bool_()), ("length", pa.int64()),
+                           ("modificationTime", pa.timestamp("us", "UTC"))])
+# File systems that executors list themselves; others are listed by the session.
+LISTED_SCHEMES = ("file", "hdfs", "s3", "gs", "abfs", "abfss")
+_LISTING_TASKS = 10_000
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            store, base = (fs.LocalFileSystem(), folder) if folder.startswith("/") else fs.FileSystem.from_uri(folder)
+            prefix = folder.removesuffix(base.lstrip("/")).rstrip("/") if not folder.startswith("/") else ""
+            found = [i for i in store.get_file_info(fs.FileSelector(base)) if not i.base_name.startswith(("_", "."))]
+            paths = [f"{prefix}/{i.path.lstrip('/')}" for i in found]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(paths, pa.string()), pa.array([i.type == fs.FileType.Directory for i in found], pa.bool_()),
+                pa.array([i.size or 0 for i in found], pa.int64()),
+                pa.array([i.mtime for i in found], pa.timestamp("us", "UTC"))], schema=_LISTED_TYPES)
+
+
+def walk_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files below an absolute path, empty ones too, folder by folder.
+
+    The folders found in one round are listed by the executors in the next, so the driver holds no file
+    names. Names that begin with ``_`` or ``.`` are hidden, as for Spark's readers.
+    """
+    folders = spark.createDataFrame([(root,)], "path string")
+    rounds = []
+    while True:
+        tasks = max(1, min(_LISTING_TASKS, folders.count()))
+        found = stage(folders.repartition(tasks).mapInArrow(_listed, _LISTED), "listing")
+        rounds.append(found.filter("NOT is_folder").drop("is_folder"))
+        folders = found.filter("is_folder").select("path")
+        if folders.isEmpty():
+            return reduce(DataFrame.unionAll, rounds)
+
+
 def list_files(spark: SparkSession, root: str, exclude: str | None = None) -> DataFrame:
-    """Every file below ``root``: path, format, bytes, relative path. File contents are not read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select(plain_path(F.col("path")).alias("path"), "length", "modificationTime")
-    )
+    """Every file below ``root``: path, format, bytes, relative path. File contents are not read.
+
+    Files without bytes are listed, except on a store that only Spark can open.
+    """
+    top = absolute(spark, root)
+    scheme = re.match(r"([a-z0-9]+):", top)
+    if scheme is None or scheme[1] in LISTED_SCHEMES:
+        files = walk_files(spark, top)
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root) \
+            .select(plain_path(F.col("path")).alias("path"), "length", "modificationTime")
     if exclude:
         files = files.filter(outside(F.col("path"), absolute(spark, exclude)))
     return files.select(
         "path", detect_format(F.col("path")).alias("format"), "length", "modificationTime",
-        relative_path(F.col("path"), absolute(spark, root)).alias("relative_path"))
+        relative_path(F.col("path"), top).alias("relative_path"))
 
 
 def supported_files(files: DataFrame) -> DataFrame:
@@ -116,28 +164,20 @@ def _line_counts(spark: SparkSession, root: str, suffix: str, blank: bool) -> Da
     return _by_file(lines, F.count(F.lit(1)) if blank else F.count_if(filled))
 
 
-def is_json_array() -> Column:
-    """Whether a document's text (``value``) begins as an array."""
-    return F.startswith(F.ltrim("value", F.lit(" \t\n\r\ufeff")), F.lit("["))
-
-
 def _json_counts(spark: SparkSession, root: str, scalar: int, invalid: int) -> DataFrame:
     """Length of an array; 1 for an object; the given numbers for a scalar and for bad JSON.
 
-    Of a damaged array, as of a long one, the elements that the reader finds count.
+    A damaged array is bad JSON, whatever its size.
     """
     docs = whole_files(spark, root, file_glob("json"), JSON_BYTES)
-    text = F.regexp_replace("value", "^\\x{feff}", "")
-    length = F.json_array_length(text)
-    n = F.when(length.isNotNull(), length) \
-        .when(is_json_array(), F.lit(None)) \
-        .when(~F.is_variant_null(F.try_parse_json(text)) & F.startswith(F.ltrim(text, F.lit(" \t\n\r")), F.lit("{")), F.lit(1)) \
-        .when(F.try_parse_json(text).isNull(), F.lit(invalid)).otherwise(F.lit(scalar))
-    small = docs.filter("NOT too_long").select("src_path", "value", F.inline(F.array(F.struct(n.cast("bigint").alias("n")))))
-    items = json_items(docs.filter("too_long")).unionAll(json_value_items(small.filter("n IS NULL")))
-    found = F.count_if(F.try_parse_json("raw").isNotNull() | (F.length("raw") > LONG_ITEM))
-    return small.filter("n IS NOT NULL").select(F.col("src_path").alias("path"), "n") \
-        .unionAll(items.groupBy(F.col("src_path").alias("path")).agg(found.alias("n")))
+    start = F.substring(F.ltrim("value"), 1, 1)
+    n = F.when(F.json_array_length("value").isNotNull(), F.json_array_length("value")) \
+        .when(~F.is_variant_null(F.try_parse_json("value")) & (start == "{"), F.lit(1)) \
+        .when(F.try_parse_json("value").isNull(), F.lit(invalid)).otherwise(F.lit(scalar))
+    small = docs.filter("NOT too_long").select(F.col("src_path").alias("path"), n.cast("bigint").alias("n"))
+    items = json_items(docs.filter("too_long").select("src_path")).groupBy(F.col("src_path").alias("path")) \
+        .agg(F.when(F.bool_or("damaged"), F.lit(invalid)).otherwise(F.count(F.lit(1))).cast("bigint").alias("n"))
+    return small.unionAll(items)
 
 
 def whole_files(spark: SparkSession, root: str, glob: str, limit: int) -> DataFrame:

@@ -1,9 +1,8 @@
-"""JSON documents that are too long for one value, or damaged: the elements of their array, read as a stream."""
+"""JSON documents that are too long for one value: the elements of their array, read as a stream."""
 
 from __future__ import annotations
 
 import codecs
-import io
 import json
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -19,15 +18,19 @@ _ROWS, _CHARS = 4096, 16 << 20
 # Characters of the longest element that is read, well below the 2 GB of a Spark value.
 ELEMENT_CHARS = 1 << 28
 _TASKS = 10_000
-ITEMS = "src_path string, pos bigint, raw string"
+# Bytes of a damaged file that are kept.
+_HEAD = 4096
+ITEMS = "src_path string, pos bigint, raw string, damaged boolean"
 
 
-def elements(stream: BinaryIO, read: int = _READ, limit: int = ELEMENT_CHARS) -> Iterator[str | None]:
+def elements(stream: BinaryIO, read: int = _READ, limit: int = ELEMENT_CHARS,
+             faults: list[str] | None = None) -> Iterator[str | None]:
     """Texts of the elements of a top-level array; of anything else, the whole text.
 
     Only the element at hand is held. Where the array is damaged, the rest of it is the last element. An
-    element (or such a rest) above ``limit`` characters is None, and the last.
+    element (or such a rest) above ``limit`` characters is None, and the last. ``faults`` takes what was wrong.
     """
+    faults = [] if faults is None else faults
     decode = codecs.getincrementaldecoder("utf-8")("replace").decode
     scan = json.JSONDecoder(strict=False).raw_decode
     text, at, ended, size = "", 0, False, read
@@ -53,7 +56,10 @@ def elements(stream: BinaryIO, read: int = _READ, limit: int = ELEMENT_CHARS) ->
     if text[at] != "[":
         while not ended and len(text) - at <= limit:
             more()
-        yield text[at:] if len(text) - at <= limit else None
+        ended = ended and len(text) - at <= limit
+        if not ended:
+            faults.append("too long")
+        yield text[at:] if ended else None
         return
     at += 1
     while skip(_BLANK + ","):
@@ -68,12 +74,14 @@ def elements(stream: BinaryIO, read: int = _READ, limit: int = ELEMENT_CHARS) ->
                     break
             except ValueError:
                 if ended or len(text) - at > limit:
+                    faults.append("damaged")
                     yield text[at:] if len(text) - at <= limit else None
                     return
             size *= 2
             more()
         yield text[at:end]
         at = end
+    faults.append("not closed")
 
 
 def _as_read(text: str | None) -> str | None:
@@ -86,44 +94,43 @@ def _as_read(text: str | None) -> str | None:
         return text
 
 
-def _rows(path: str, first: int, held: list[str | None]) -> pa.RecordBatch:
+def _rows(path: str, first: int, held: list[str | None], damaged: bool) -> pa.RecordBatch:
+    n = len(held)
     return pa.RecordBatch.from_arrays(
-        [pa.array([path] * len(held), pa.string()), pa.array(range(first, first + len(held)), pa.int64()),
-         pa.array(held, pa.string())], names=["src_path", "pos", "raw"])
-
-
-def _items(path: str, stream: BinaryIO) -> Iterator[pa.RecordBatch]:
-    held, size, first = [], 0, 0
-    for text in elements(stream):
-        held.append(_as_read(text))
-        size += len(text or "")
-        if len(held) >= _ROWS or size >= _CHARS:
-            yield _rows(path, first, held)
-            held, size, first = [], 0, first + len(held)
-    yield _rows(path, first, held)
+        [pa.array([path] * n, pa.string()), pa.array(range(first, first + n), pa.int64()), pa.array(held, pa.string()),
+         pa.array([damaged] * n, pa.bool_())], names=["src_path", "pos", "raw", "damaged"])
+
+
+def _items(path: str) -> Iterator[pa.RecordBatch]:
+    """The elements of a file. It is read through once before, as a damaged file has no elements but is one
+    bad record, of which the beginning is kept."""
+    store, name = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+    faults: list[str] = []
+    with store.open_input_stream(name) as stream:
+        for _ in elements(stream, faults=faults):
+            pass
+    with store.open_input_stream(name) as stream:
+        if faults:
+            yield _rows(path, 0, [stream.read(_HEAD).decode("utf-8", "replace")], damaged=True)
+            return
+        held, size, first = [], 0, 0
+        for text in elements(stream):
+            held.append(_as_read(text))
+            size += len(text)
+            if len(held) >= _ROWS or size >= _CHARS:
+                yield _rows(path, first, held, damaged=False)
+                held, size, first = [], 0, first + len(held)
+        yield _rows(path, first, held, damaged=False)
 
 
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column(0).to_pylist():
-            store, name = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
-            with store.open_input_stream(name) as stream:
-                yield from _items(path, stream)
-
-
-def _read_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
-            yield from _items(path, io.BytesIO(value))
+            yield from _items(path)
 
 
 def json_items(files: DataFrame) -> DataFrame:
-    """``src_path``, ``pos`` and ``raw`` of the elements of each file. One file is one task's work, so there
+    """``src_path``, ``pos`` and ``raw`` of the elements of each file; a ``damaged`` file is one row. One file is one task's work, so there
     are as many tasks as files, which the planner must not merge."""
     tasks = max(1, min(_TASKS, files.count()))
     return files.select("src_path").repartition(tasks).mapInArrow(_read_files, ITEMS)
-
-
-def json_value_items(docs: DataFrame) -> DataFrame:
-    """The same for documents whose text (``value``) is there already."""
-    return docs.select("src_path", F.col("value").cast("binary")).mapInArrow(_read_values, ITEMS)

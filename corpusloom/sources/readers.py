@@ -22,8 +22,8 @@ from ..schema import DATASET_KEYS, FIELD_CANDIDATES
 from ..session import stage
 from .archives import read_archives
 from .inventory import (
-    JSON_BYTES, absolute, file_glob, format_glob, is_json_array, outside, parquet_files, parquet_folders, scanned_path, whole_files)
-from .jsonstream import json_items, json_value_items
+    JSON_BYTES, absolute, file_glob, format_glob, outside, parquet_files, parquet_folders, scanned_path, whole_files)
+from .jsonstream import json_items
 
 RAW_SCHEMA = ("src_path string, format string, src_block bigint, src_row bigint, rec_id string, "
               "raw string, record variant")
@@ -103,17 +103,16 @@ def read_jsonl(spark: SparkSession, root: str, suffix: str = "jsonl") -> DataFra
 def read_json(spark: SparkSession, root: str, json_bytes: int = JSON_BYTES) -> DataFrame:
     """Elements of a top-level array, or the document itself.
 
-    A document above ``json_bytes`` is read as a stream, so its elements may be any number; so is an array
-    that is damaged, whatever its size: the elements before the damage are read, the rest is one bad record.
+    A document above ``json_bytes`` is read as a stream, so its elements may be any number. A damaged document
+    is one bad record, whatever its size.
     """
     docs = whole_files(spark, root, format_glob("json"), json_bytes)
+    is_array = F.startswith(F.ltrim("value", F.lit(" \t\n\r\ufeff")), F.lit("["))
     text = F.regexp_replace("value", "^\\x{feff}", "")
-    parsed = F.from_json(text, "array<string>", {"maxStringLen": str((1 << 31) - 1)})
-    items = F.when(is_json_array(), parsed).otherwise(F.array(text))
-    short = docs.filter("NOT too_long").select("src_path", "value", F.inline(F.array(F.struct(items.alias("items")))))
-    whole = short.filter("items IS NOT NULL").select("src_path", F.posexplode("items").alias("pos", "raw"))
-    rows = whole.unionByName(json_value_items(short.filter("items IS NULL"))) \
-        .unionByName(json_items(docs.filter("too_long"))).select(
+    items = F.when(is_array, F.from_json(text, "array<string>", {"maxStringLen": str((1 << 31) - 1)}))
+    short = docs.filter("NOT too_long").select(
+        "src_path", F.posexplode(F.coalesce(items, F.array(text))).alias("pos", "raw"))
+    rows = short.unionByName(json_items(docs.filter("too_long")).drop("damaged")).select(
         "src_path", F.lit(0).cast("bigint").alias("src_block"), F.col("pos").cast("bigint").alias("src_row"), "raw")
     return _finish(rows, "json")
 

@@ -55,12 +55,12 @@ def test_one_rule_for_damaged_json(spark, tmp_path, monkeypatch, limit):
     put(tmp_path, "b.json", '\ufeff[{"a":4}, "text", "{\\"a\\": 5}", null, 7, [8]]')
     put(tmp_path, "c.json", '{"a": 6')
     records = readers.read_json(spark, str(tmp_path), limit)
-    assert [json.loads(r)["a"] for r in raws(readers.good_records(records))] == [1, 2, 3, 4, 5]
+    assert [json.loads(r)["a"] for r in raws(readers.good_records(records))] == [4, 5]
     bad = sorted((os.path.basename(r.src_path), r.raw or "", r.reason) for r in readers.rejected_records(records).collect())
-    assert bad == [("a.json", '{"a":', "bad JSON"), ("b.json", "", "unreadable"), ("b.json", "7", "no object"),
+    assert bad == [("a.json", '[{"a":1},{"a":2},{"a":3}, {"a":', "bad JSON"), ("b.json", "", "unreadable"), ("b.json", "7", "no object"),
                    ("b.json", "[8]", "no object"), ("b.json", "text", "bad JSON"), ("c.json", '{"a": 6', "bad JSON")]
     files = inventory.exact_entries(spark, str(tmp_path), inventory.list_files(spark, str(tmp_path)))
-    assert {os.path.basename(r.path): r.entries for r in files.collect()}["a.json"] == 3
+    assert {os.path.basename(r.path): r.entries for r in files.collect()}["a.json"] == 0
 
 
 def test_long_files_are_spread_and_elements_bounded(spark, tmp_path):
@@ -156,6 +156,19 @@ def test_own_tables_reach_parquet_columns(spark, tmp_path):
     assert [r.question_text for r in got.collect()] == ["What is a heap, and why?"]
 
 
+def test_empty_files_are_listed(spark, tmp_path):
+    put(tmp_path, "a.csv", "")
+    put(tmp_path, "deep/er/k=1/b é.txt", "x")
+    put(tmp_path, "deep/_hidden.txt", "x")
+    os.makedirs(tmp_path / "empty folder")
+    files = inventory.list_files(spark, str(tmp_path))
+    assert {(r.relative_path, r.format, r.length) for r in files.collect()} == {("a.csv", "csv", 0), ("deep/er/k=1/b é.txt", "txt", 1)}
+    assert files.filter("modificationTime IS NULL").isEmpty()
+    entries = inventory.exact_entries(spark, str(tmp_path), files)
+    assert {r.relative_path: r.entries for r in entries.collect()} == {"a.csv": 0, "deep/er/k=1/b é.txt": 1}
+    assert inventory.list_files(spark, str(tmp_path / "empty folder")).isEmpty()
+
+
 def test_guessed_formats_are_read(spark, tmp_path):
     put(tmp_path, "a.txt", "plain")
     put(tmp_path, "b.MD", "# mark")
