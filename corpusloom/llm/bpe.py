@@ -19,7 +19,9 @@ PIECE_CHARS = 1 << 16
 
 # A text can be cut before white space that follows something else: every match of the pattern either
 # ends there or starts there, as white space stands only at the start of a match or makes up all of it.
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+# White space is what the library takes for it (Unicode's White_Space); Python's class has U+001C to U+001F too.
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE = re.compile(f"(?<=[^{_BLANK}])(?=[{_BLANK}])")
 
 
 def load_ranks(path: str) -> bytes:

@@ -403,6 +403,24 @@ def without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
     return marked.filter("NOT hit").select(*keyed.columns).unionByName(likely.select(*keyed.columns))
 
 
+def one_of_each(keyed: DataFrame, text_col: str) -> DataFrame:
+    """``keyed`` (``oid``, ``key`` and other columns) with one row of those that agree in both and have words.
+
+    Of rows that differ in other columns the first by their JSON text stays. Only rows that may be repeated
+    are shuffled, and each task sends at most one of a group.
+    """
+    worded = keyed.filter(F.rlike(text_col, F.lit(r"[^\x20\x09-\x0D]")))
+    again = worded.groupBy("oid", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("oid", "key")
+    again = stage_compact(again, "repeated-rows")
+    marked = _hit(keyed, again.select("oid"))
+    others = [c for c in keyed.columns if c != text_col]
+    order = Window.partitionBy("oid", "key").orderBy(F.to_json(F.struct(*others)))
+    likely = marked.filter("hit").join(again.withColumn("again", F.lit(True)), ["oid", "key"], "left")
+    single = likely.filter("again IS NULL").select(*keyed.columns)
+    first = likely.filter("again").withColumn("nth", F.row_number().over(order)).filter("nth = 1").select(*keyed.columns)
+    return marked.filter("NOT hit").select(*keyed.columns).unionAll(single).unionAll(first)
+
+
 def node_id(id_col: str, text_col: str) -> Column:
     """The id, or for a row without one a number above all ids that its text gives."""
     without = F.lit(_NULL_ID) + F.shiftrightunsigned(F.xxhash64(F.lit("no id"), F.col(text_col)), 2)

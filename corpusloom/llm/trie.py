@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import stage_compact
 from .radix import RadixTree
@@ -113,7 +113,7 @@ def segments(turns: DataFrame, sizes: DataFrame, segment: int) -> DataFrame:
     cut = stage_compact(cut.unionAll(none), "segments")
     longer = cut.filter("seg = 1").select("conv_id")
     chained = cut.join(longer, "conv_id", "left_semi").repartition("conv_id").sortWithinPartitions("conv_id", "seg") \
-        .mapInArrow(_chained, cut.schema.add("tree", "binary"))
+        .mapInArrow(_chained, T.StructType([*cut.schema.fields, T.StructField("tree", T.BinaryType())]))
     return cut.join(longer, "conv_id", "left_anti").withColumn("tree", F.lit(ROOT)).unionAll(chained)
 
 

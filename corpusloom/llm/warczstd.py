@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,6 +25,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "2024-01-01T00:00:00Z"
 
 ARCHIVE_BYTES = 64 << 20   # record bytes after which a task begins its next archive
+# Tasks that read archives back, each one archive after the other.
+MOST_TASKS = 10_000
 SAMPLE_PAGES, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 8192, 16 << 10  # bounds of the dictionary's training
 
 MANIFEST = "path string, records bigint, bytes bigint"
@@ -257,13 +260,15 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                         yield pa.RecordBatch.from_pylist(held, schema)
                         held, size = [], 0
                 yield pa.RecordBatch.from_pylist(held, schema)
-    return manifest.select("path").repartition(F.xxhash64("path")).mapInArrow(run, RECORDS)
+    tasks = max(1, min(MOST_TASKS, manifest.count()))  # an explicit number, which the planner does not merge
+    return manifest.select("path").repartition(tasks).mapInArrow(run, RECORDS)
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A fresh archive folder in the shared folder, as a URI."""
-    path = scratch_path(spark, "warc")
-    folder = path if ":" in path.split("/")[0] else f"file://{path}"
+    """A fresh archive folder in the shared folder, as a URI of the file system that folder is on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "warc"))
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folder = re.sub(r"^file:/+", "file:///", system.makeQualified(place).toString())
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
     return folder

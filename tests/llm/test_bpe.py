@@ -49,3 +49,11 @@ def test_decode_column(spark, ranks):
 
 def test_empty_table(docs, ranks):
     assert bpe.round_trip(docs([]), ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_long_texts_are_not_cut_before_controls():
+    # The library does not count U+001C to U+001F as white space: symbols and such a control are one match.
+    text = "a" * 10 + " +\x1c+\x1f+ \x1d- b"
+    parts = list(bpe.pieces(text, 11))
+    assert "".join(parts) == text
+    assert all(not part.startswith(("\x1c", "\x1d", "\x1e", "\x1f")) for part in parts)

@@ -55,6 +55,18 @@ def test_known_cases(spark, docs, folder):
     assert all(r.decoded_sha256 == hashlib.sha256(cut[r.doc_id].text.encode()).hexdigest() for r in final)
 
 
+def test_one_of_repeated_rows_and_of_copies_without_id_stays(spark, docs, folder):
+    copy, other = text(80), text(80)
+    rows = [(None, copy, "en")] * 3 + [(7, other, "en")] * 4 + [(None, other + "more words here", "de"), (8, None, "en"), (8, None, "en"),
+                                                               (9, " ", "en"), (9, " ", "en"), (None, None, "en"), (None, None, "en")]
+    rows += [(50 + i, text(70), "en") for i in range(5)]
+    got = pipeline.near_duplicates(spark, docs(rows), folder).collect()
+    kept = sorted(((r.doc_id, r.text) for r in got if r.text and r.text.strip()), key=str)
+    # The document without id that is like document 7 has a number above all ids, so 7 stays.
+    assert kept == sorted([(None, copy), (7, other)] + [(r[0], r[1]) for r in rows[-5:]], key=str)
+    assert sum(1 for r in got if not (r.text or "").strip()) == 6
+
+
 def test_empty(spark, docs, folder):
     for _, frame in stages(spark, docs([]), folder):
         assert frame.count() == 0
