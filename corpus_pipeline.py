@@ -50,7 +50,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates (five words, 0.8).
 
-    Documents without words are linked with nothing and stay, as do all rows that agree in id and text.
+    Documents without words are linked with nothing and stay. Of rows that agree in id and text, or have no
+    id and the same text, one stays.
     """
     ship_code(spark)
     named = _Named(docs)
@@ -58,7 +59,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         {"oid": forest.node_id(named.id, named.text), "key": row_key(named.id, named.text)})
     dropped = forest.near_duplicates(named.docs, id_col=named.id, text_col=named.text) \
         .filter("oid != component").select("oid", "key")
-    return named.back(forest.without(keyed, stage_compact(dropped, "near-duplicates")))
+    kept = forest.without(keyed, stage_compact(dropped, "near-duplicates"))
+    return named.back(forest.one_of_each(kept, named.text))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
