@@ -12,15 +12,18 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import scratch_path, stage
+from ..sources.inventory import absolute
 from .common import byte_table, carried, restored, words
 
 WINDOW = 10
 
-# Text bytes of test items in one automaton. Larger sets are cut into several automata, which each
-# task builds one after the other, so that memory stays bounded by this and no item is left out.
+# Text bytes of test items in one automaton. Larger sets are cut into several blocks, files in the shared
+# folder, which each task reads and builds one after the other: it holds one of them at a time, the driver none.
 BLOCK_BYTES = 32 << 20
 
 _WORD = byte_table(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + bytes(range(128, 256)),
@@ -49,14 +52,13 @@ def build(items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[ah
     return automaton, patterns
 
 
-def scan(texts: list[str | None], blocks: list[list[tuple[str, str | None]]], window: int = WINDOW) \
+def scan(texts: list[str | None], automata: Iterator[tuple[ahocorasick.Automaton, list]]) \
         -> Iterator[tuple[int, np.ndarray, set[str]]]:
     """Per text: number of words, the hit words as a boolean array (empty if none), and the items."""
     normal = [normal_words(text) for text in texts]
     marks: list[np.ndarray | None] = [None] * len(texts)
     found: list[set[str]] = [set() for _ in texts]
-    for block in blocks:
-        automaton, patterns = _built(block, window) if len(blocks) == 1 else build(block, window)
+    for automaton, patterns in automata:
         if not len(automaton):
             continue
         for row, row_words in enumerate(normal):
@@ -83,13 +85,25 @@ def scan(texts: list[str | None], blocks: list[list[tuple[str, str | None]]], wi
 _CACHE: dict = {}
 
 
-def _built(block: list, window: int) -> tuple:
-    """The only automaton stays in the worker for its next tasks."""
-    key = (window, hash(tuple(block)))
-    if key not in _CACHE:
+def read_block(folder: str, block: int) -> list[tuple[str, str]]:
+    """The items of one block, none if it has no folder."""
+    store, base = fs.FileSystem.from_uri(f"{folder}/block={block}")
+    if store.get_file_info(base).type == fs.FileType.NotFound:
+        return []
+    table = dataset.dataset(base, filesystem=store, format="parquet").to_table(columns=["i", "t"])
+    return list(zip(table["i"].to_pylist(), table["t"].to_pylist(), strict=True))
+
+
+def _automata(folder: str, n: int, window: int) -> Iterator[tuple[ahocorasick.Automaton, list]]:
+    """One automaton after the other. An only one stays in the worker for its next batches and tasks."""
+    if n > 1:
+        for block in range(n):
+            yield build(read_block(folder, block), window)
+        return
+    if (folder, window) not in _CACHE:
         _CACHE.clear()
-        _CACHE[key] = build(block, window)
-    return _CACHE[key]
+        _CACHE[folder, window] = build(read_block(folder, 0), window)
+    yield _CACHE[folder, window]
 
 
 def original_spans(text: str, hit: np.ndarray) -> list[dict]:
@@ -102,18 +116,19 @@ def original_spans(text: str, hit: np.ndarray) -> list[dict]:
             for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_BYTES) -> list[list]:
-    """The test items as (id as text, text), in blocks of about ``limit`` bytes.
+def write_items(benchmark: DataFrame, id_col: str, text_col: str, limit: int = BLOCK_BYTES) -> tuple[str, int]:
+    """Write the distinct test items as (id as text, text) to the shared folder, in blocks of about ``limit`` bytes.
 
-    The number of blocks follows from the measured size; each is fetched on its own.
+    Returns the folder, as executors open it, and the number of blocks, which follows from the measured size.
     """
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"),
-                             F.col(text_col).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = int(size // limit) + 1
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [sorted({(r["i"], r["t"]) for r in items.filter(part == k).collect() if r["t"] is not None})
-            for k in range(n)]
+    spark = benchmark.sparkSession
+    items = stage(benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"),
+                                   F.col(text_col).alias("t")).filter("t IS NOT NULL").distinct(), "benchmark-items")
+    n = int((items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // limit) + 1
+    path = scratch_path(spark, "benchmark-blocks")
+    items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n))).repartition(min(n, _WRITERS), "block") \
+        .write.partitionBy("block").parquet(path)
+    return absolute(spark, path), n
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
@@ -128,9 +143,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     empty id; repeated items count once; rows are judged one by one, so repeated rows give repeated
     results. No row is shuffled. The texts are read whole.
     """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b)
-              for b in item_blocks(benchmark, item_id_col, item_text_col, block_bytes)]
+    folder, n = write_items(benchmark, item_id_col, item_text_col, block_bytes)
     columns = keep or [id_col]
     narrow, place = carried(docs, text_col, columns)
     names = [f"__{i}" for i in range(len(columns))]
@@ -138,23 +151,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     span = T.StructType().add("start", "long").add("stop", "long")
     schema = fields.add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())) \
         .add("spans", T.ArrayType(span))
-    return restored(narrow.mapInArrow(_scanner(blocks, window, len(names), place), schema), columns)
+    return restored(narrow.mapInArrow(_scanner(folder, n, window, len(names), place), schema), columns)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _ROWS = 512
+_WRITERS = 1000
 
 
-def _scanner(blocks: list, window: int, kept: int, place: int) -> Callable:
+def _scanner(folder: str, n: int, window: int, kept: int, place: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = [block.value for block in blocks]
         for batch in batches:
-            for first in range(0, batch.num_rows, _ROWS if len(items) == 1 else batch.num_rows):
-                part = batch.slice(first, _ROWS if len(items) == 1 else batch.num_rows)
+            rows = _ROWS if n == 1 else max(1, batch.num_rows)
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
                 texts = part.column(place).to_pylist()
                 n_words, n_hit, ids, spans = [], [], [], []
-                for text, (n, hit, found) in zip(texts, scan(texts, items, window), strict=True):
-                    n_words.append(n)
+                for text, (count, hit, found) in zip(texts, scan(texts, _automata(folder, n, window)), strict=True):
+                    n_words.append(count)
                     n_hit.append(int(hit.sum()))
                     ids.append(sorted(found))
                     spans.append(original_spans(text, hit) if found else [])

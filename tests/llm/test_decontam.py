@@ -71,3 +71,14 @@ def test_empty_tables(spark, docs):
     nothing = spark.createDataFrame([], "item_id bigint, text string")
     assert decontam.contamination(docs([(1, "x")]), nothing).first().n_hit == 0
     assert decontam.contamination(docs([]), nothing).count() == 0
+
+
+def test_blocks_hold_each_item_once(spark):
+    items = [(i, f"item {i} " + "w " * i) for i in range(40)] + [(3, "item 3 w w w "), (None, "item"), (7, None)]
+    benchmark = spark.createDataFrame(items * 2, "item_id bigint, text string")
+    folder, n = decontam.write_items(benchmark, "item_id", "text", limit=200)
+    blocks = [decontam.read_block(folder, k) for k in range(n)]
+    held = [item for block in blocks for item in block]
+    assert n > 5 and len(held) == len(set(held)) and max(map(len, blocks)) < len(held)
+    assert set(held) == {("" if i is None else str(i), t) for i, t in items if t is not None}
+    assert decontam.read_block(folder, n) == []
