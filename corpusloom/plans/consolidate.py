@@ -35,10 +35,22 @@ def read_normalised(spark: SparkSession, root: str, formats: tuple[str, ...] = t
                     exclude: str | None = None, clean_code: bool = False, valid: Column | None = None,
                     tables: Mapping[str, Mapping[str, Sequence[str]]] = FIELD_CANDIDATES) -> DataFrame:
     """Unified, cleaned and valid records of all files below ``root``."""
-    records = readers.good_records(
+    return unified_only(read_unified(spark, root, formats, exclude, clean_code, valid, tables))
+
+
+def read_unified(spark: SparkSession, root: str, formats: tuple[str, ...] = tuple(readers.READERS),
+                 exclude: str | None = None, clean_code: bool = False, valid: Column | None = None,
+                 tables: Mapping[str, Mapping[str, Sequence[str]]] = FIELD_CANDIDATES) -> DataFrame:
+    """As ``read_normalised``, and besides what is no record, with ``reason`` and text: both from one pass."""
+    records = readers.with_reason(
         readers.read_records(spark, root, formats, exclude, readers.candidate_columns(tables)))
-    unified = mapping.normalise(records, clean_code=clean_code, valid=valid, tables=tables)
-    return unified.select(*[f.name for f in ENGINE], *[f.name for f in UNIFIED])
+    rule = valid if valid is not None else filters.is_valid(
+        F.col("question_text"), F.col("answer_text"), F.col("solution_code"))
+    return mapping.normalise(records, clean_code=clean_code, valid=F.col("reason").isNotNull() | rule, tables=tables)
+
+
+def unified_only(read: DataFrame) -> DataFrame:
+    return read.filter("reason IS NULL").select(*[f.name for f in ENGINE], *[f.name for f in UNIFIED])
 
 
 def consolidate(spark: SparkSession, root: str, output: str | None = None,
@@ -47,25 +59,21 @@ def consolidate(spark: SparkSession, root: str, output: str | None = None,
                 fuzzy_threshold: float = 1.0, clean_code: bool = False) -> DataFrame:
     """Read, map, clean, deduplicate, filter, fan out, split and (with ``output``) write.
 
-    The refined corpus is staged once: the passes that follow (bucket counts, cuts, manifest, write)
-    then read only the columns they need instead of repeating the parsing and cleaning.
+    The files are read once. With ``output``, what is read is staged, as both the corpus and the rejected
+    records come from it. The refined corpus is staged once: the passes that follow (bucket counts, cuts,
+    manifest, write) then read only the columns they need instead of repeating the parsing and cleaning.
     """
-    unified = read_normalised(spark, root, formats, exclude=output, clean_code=clean_code)
+    read = read_unified(spark, root, formats, exclude=output, clean_code=clean_code)
     # Staged before the output is replaced, which may be among the files that were listed.
-    rejected = stage(read_rejected(spark, root, formats, output), "rejected") if output else None
-    refined = stage(refine(unified, RECORD_ORDER, fuzzy_threshold, create_variants), "refined")
+    read = stage(read, "read") if output else read
+    refined = stage(refine(unified_only(read), RECORD_ORDER, fuzzy_threshold, create_variants), "refined")
     split = splits.stratified_split(refined, seed=seed)
     if output:
         writers.write_shards(split, output, shard_size, output_formats)
-        writers.write_manifest(split, output, shard_size, output_formats, writers.write_rejected(rejected, output))
+        writers.write_manifest(split, output, shard_size, output_formats, writers.write_rejected(readers.rejects(read), output))
     return split
 
 
-def read_rejected(spark: SparkSession, root: str, formats: tuple[str, ...], exclude: str | None) -> DataFrame:
-    """What is read below ``root`` but is no record, with the reason."""
-    return readers.rejected_records(readers.read_records(spark, root, formats, exclude))
-
-
 def consolidate_by_dataset(spark: SparkSession, root: str, output: str | None = None,
                            seed: str = "42") -> DataFrame:
     """The glob-routed profile: per-dataset keys, no cleaning, no duplicates removed, global split."""

@@ -27,7 +27,7 @@ def file_glob(suffix: str) -> str:
     return "*." + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
 
 
-def _guessed_formats() -> dict[str, str]:
+def guessed_formats() -> dict[str, str]:
     """Formats of suffixes without a reader, from the standard table of media types."""
     guesses = {}
     for suffix, media in mimetypes.types_map.items():
@@ -43,7 +43,7 @@ def _guessed_formats() -> dict[str, str]:
 
 def format_glob(fmt: str) -> str:
     """Glob for a format's own suffix and for those that are guessed to be it."""
-    suffixes = [fmt, *sorted(name for name, guess in _guessed_formats().items() if guess == fmt)]
+    suffixes = [fmt, *sorted(name for name, guess in guessed_formats().items() if guess == fmt)]
     return "{" + ",".join(file_glob(s) for s in suffixes) + "}"
 
 
@@ -51,7 +51,7 @@ def detect_format(path: Column) -> Column:
     """Known suffix, else a guess from the media type, else ``unknown``."""
     suffix = path_suffix(path)
     result = F.when(suffix.isin(*SUPPORTED_FORMATS), suffix)
-    guesses = _guessed_formats()
+    guesses = guessed_formats()
     for fmt in ("json", "xml", "txt"):
         result = result.when(suffix.isin(*sorted(n for n, f in guesses.items() if f == fmt)), F.lit(fmt))
     return result.otherwise(F.lit("unknown"))

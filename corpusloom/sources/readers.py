@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..functions.html import html_to_text
 from ..functions.text import SPACE, utf8_text
 from ..operators.dedup import union_all
+from ..operators.mapping import once
 from ..schema import DATASET_KEYS, FIELD_CANDIDATES
 from ..session import stage
-from .archives import read_archives
+from .archives import extract_members
 from .inventory import (
     JSON_BYTES, absolute, file_glob, format_glob, outside, parquet_files, parquet_folders, scanned_path, whole_files)
 from .jsonstream import json_items
@@ -266,6 +267,39 @@ def read_parquet(spark: SparkSession, root: str, columns: set[str] | None = None
     return union_all(frames) if frames else spark.createDataFrame([], RAW_SCHEMA)
 
 
+def _read(spark: SparkSession, root: str, fmt: str, columns: set[str] | None) -> DataFrame:
+    return READERS[fmt](spark, root, columns) if fmt in ("parquet", "archive") else READERS[fmt](spark, root)
+
+
+def read_archives(spark: SparkSession, root: str, columns: set[str] | None = None) -> DataFrame:
+    """Records of all members of archives, as the readers of their formats give them.
+
+    The members are files of the shared folder, read like others; paths name archive and member. ``columns``
+    are those to read of Parquet members.
+    """
+    folder, manifest = extract_members(spark, root, [f for f in READERS if f != "archive"])
+    present = [r["format"] for r in manifest.filter("path IS NOT NULL").select("format").distinct().collect()]
+    lost = manifest.filter("path IS NULL").select(
+        "src_path", "format", F.lit(0).cast("bigint").alias("src_block"), F.lit(-1).cast("bigint").alias("src_row"),
+        F.concat_ws("#", "src_path", F.lit("-1")).alias("rec_id"), F.lit(None).cast("string").alias("raw"),
+        F.try_parse_json(F.lit(None).cast("string")).alias("record"))
+    if not present:
+        return lost
+    found = union_all([_read(spark, f"{folder}/{fmt}", fmt, columns) for fmt in sorted(present)])
+    names = manifest.select(F.col("path").alias("_path"), F.col("src_path").alias("_name"))
+    named = found.join(names, found["src_path"] == F.col("_path"))
+    # A text names its file inside the record too.
+    whole = F.col("format").isin("txt", "html") & F.col("record").isNotNull()
+    renamed = F.to_json(F.struct(F.try_variant_get("record", "$.content", "string").alias("content"),
+                                 F.col("_name").alias("file_path")))
+    placed = named.select(
+        F.col("_name").alias("src_path"), "format", "src_block", "src_row",
+        F.concat_ws("#", "_name", F.col("src_row").cast("string")).alias("rec_id"),
+        F.when(whole, renamed).otherwise(F.col("raw")).alias("raw"),
+        F.when(whole, _variant(renamed)).otherwise(F.col("record")).alias("record"))
+    return placed.unionByName(lost)
+
+
 READERS = {
     "csv": read_csv, "tsv": read_tsv, "json": read_json, "jsonl": read_jsonl, "txt": read_text,
     "html": read_html, "xml": read_xml, "parquet": read_parquet, "archive": read_archives,
@@ -278,8 +312,7 @@ def read_records(spark: SparkSession, root: str, formats: tuple[str, ...] = tupl
 
     ``columns`` are the Parquet columns to read, by default those of the built-in mappings.
     """
-    frames = [read_parquet(spark, root, columns) if f == "parquet" else READERS[f](spark, root) for f in formats]
-    records = union_all(frames)
+    records = union_all([_read(spark, root, f, columns) for f in formats])
     return records.filter(outside(F.col("src_path"), absolute(spark, exclude))) if exclude else records
 
 
@@ -289,6 +322,13 @@ def is_good() -> Column:
     return F.coalesce(F.col("record").isNotNull() & is_object, F.lit(False))
 
 
+def with_reason(records: DataFrame) -> DataFrame:
+    """Add ``reason``, why a record is rejected (null for a good one), and ``rejected``, its text if it is."""
+    why = F.when(~is_good(), F.when(F.col("raw").isNull(), "unreadable").when(F.col("record").isNull(), "bad JSON")
+                 .otherwise("no object"))
+    return once(records, {"reason": why}).withColumn("rejected", F.when(F.col("reason").isNotNull(), F.col("raw")))
+
+
 def good_records(records: DataFrame) -> DataFrame:
     """Records that are JSON objects."""
     return records.filter(is_good())
@@ -296,6 +336,10 @@ def good_records(records: DataFrame) -> DataFrame:
 
 def rejected_records(records: DataFrame) -> DataFrame:
     """What was read but is no record: a file that is unreadable or too long, bad JSON, arrays and scalars."""
-    reason = F.when(F.col("raw").isNull(), "unreadable").when(F.col("record").isNull(), "bad JSON") \
-        .otherwise("no object")
-    return records.filter(~is_good()).select("src_path", "format", "src_block", "src_row", reason.alias("reason"), "raw")
+    return rejects(with_reason(records))
+
+
+def rejects(marked: DataFrame) -> DataFrame:
+    """The rejected ones of records that have reasons."""
+    return marked.filter("reason IS NOT NULL").select(
+        "src_path", "format", "src_block", "src_row", "reason", F.col("rejected").alias("raw"))

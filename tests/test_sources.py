@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators.mapping import as_text, field
-from corpusloom.sources import inventory, readers
+from corpusloom.sources import archives, inventory, readers
 
 
 @pytest.fixture(scope="module")
@@ -130,6 +130,49 @@ def test_archives_one_level(spark, tree):
     assert "bad.json" in rejected and "broken.tgz" in rejected
 
 
+def test_archive_members_are_read_as_files_are(spark, tmp_path):
+    """The same files in a folder and in an archive give the same records, good and bad."""
+    members = {"a.csv": b'k,v\n1,"x\ny"\n2,\n', "b.tsv": b"k\tv\n1\tz\n", "c.json": b'[{"k": 12345678901234567890}, {"k": 1',
+               "d.jsonl": b'{"k": 1}\nbad\n', "e.txt": b"text \xff", "f.md": b"guessed", "g.xml": b"<r><k>1</k></r>", "h.html": b"<p>&eacute;</p>"}
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "packed").mkdir()
+    for name, content in members.items():
+        (tmp_path / "plain" / name).write_bytes(content)
+    columns = [pa.table({"id": [n], "text": [f"t{n}"]}) for n in range(6)] + [pa.table({"question": ["q"]})]
+    with zipfile.ZipFile(tmp_path / "packed" / "all.zip", "w") as z:
+        for name, content in members.items():
+            z.writestr(name, content)
+        for n, table in enumerate(columns):
+            pq.write_table(table, tmp_path / "plain" / f"p{n}.parquet")
+            z.write(tmp_path / "plain" / f"p{n}.parquet", f"p{n}.parquet")
+        z.writestr("cut.parquet", b"PAR1 no")
+
+    def found(frame):
+        name = F.regexp_extract("src_path", "([^/!]*)$", 1)
+        raw = F.when(F.col("format") == "txt", F.get_json_object("raw", "$.content")).when(
+            F.col("format") == "html", F.get_json_object("raw", "$.content")).otherwise(F.col("raw"))
+        rows = frame.select(name, "format", "src_row", raw, readers.is_good())
+        return sorted((tuple(r) for r in rows.collect() if not r[0].endswith("parquet")), key=str)
+
+    plain = found(readers.read_records(spark, str(tmp_path / "plain")))
+    packed = readers.read_archives(spark, str(tmp_path / "packed")).cache()
+    assert found(packed) == plain and len(plain) == 10
+    assert values(packed.filter("format = 'parquet'"), "id", "text", "question") == sorted(
+        [(str(n), f"t{n}", None) for n in range(6)] + [(None, None, "q")], key=str)
+    assert [r.src_path.rsplit("!", 1)[1] for r in packed.filter("format = 'parquet' AND raw IS NULL").collect()] == ["cut.parquet"]
+
+
+def test_parquet_members_of_one_schema_share_a_folder(spark, tmp_path):
+    for n in range(3):
+        with zipfile.ZipFile(tmp_path / f"{n}.zip", "w") as z:
+            for name, table in (("a", {"id": [n]}), ("b", {"id": [str(n)]})):
+                held = io.BytesIO()
+                pq.write_table(pa.table(table), held)
+                z.writestr(f"{name}.parquet", held.getvalue())
+    folder, _ = archives.extract_members(spark, str(tmp_path), ["parquet"])
+    assert len(inventory.parquet_folders(spark, folder)) == 2
+
+
 def test_all_formats_together(spark, tree):
     everything = readers.read_records(spark, tree)
     good = readers.good_records(everything)
