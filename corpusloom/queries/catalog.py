@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import tarfile
+import zipfile
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import classify, code, html, text
@@ -396,6 +405,29 @@ def a13_latency(spark: SparkSession, sf: str) -> DataFrame:
         stats.latency_seconds(F.col("o_orderdate"), F.col("l_shipdate")).alias("seconds"))
 
 
+QUANTILES = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+def a13_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Days from order to shipment: a sketch per month and return flag, merged per flag, and whether the ranks
+    of the merged quantiles are as near to the wanted ones as the bound says."""
+    lines = b.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_shipdate")
+    orders = b.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    days = (stats.latency_seconds(F.col("o_orderdate"), F.col("l_shipdate")) / 86_400).cast("bigint")
+    rows = lines.join(orders, "o_orderkey").select("l_returnflag", F.trunc("l_shipdate", "month").alias("month"), days.alias("days"))
+    sketches = stage(stats.quantile_sketches(rows, F.col("days"), "l_returnflag", "month"), "sketches")
+    merged = stage(stats.merged_quantiles(sketches, QUANTILES, "l_returnflag"), "quantiles")
+    wanted = merged.select("l_returnflag", "n", F.posexplode("quantiles").alias("i", "value"))
+    counted = rows.groupBy("l_returnflag", "days").agg(F.count(F.lit(1)).alias("c")).join(wanted, "l_returnflag")
+    ranks = counted.groupBy("l_returnflag", "i", "value", "n").agg(
+        F.sum(F.when(F.col("days") < F.col("value"), F.col("c")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("days") <= F.col("value"), F.col("c")).otherwise(0)).alias("up_to"))
+    target = F.element_at(F.array(*[F.lit(q) for q in QUANTILES]), F.col("i") + 1) * F.col("n")
+    slack = F.col("n") * stats.RANK_ERROR
+    return ranks.select("l_returnflag", F.col("i").cast("bigint").alias("i"), "n",
+                        ((F.col("below") - slack <= target) & (target <= F.col("up_to") + slack)).alias("within"))
+
+
 # Splits, shards, windows ------------------------------------------------------------------------
 
 def w1_stratified_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -457,6 +489,12 @@ def v3_score_batches(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("rec_id", "response", "code", "failed")
 
 
+def v3_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``v3_score_batches``, in batches of like length under a budget."""
+    done = scoring.responses(scoring.score_bucketed(b.qa(spark, sf), length_scorer))
+    return done.select("rec_id", "response", "code", "failed")
+
+
 # Files: the tables written out in each format and read back -------------------------------------
 
 def _written(df: DataFrame, label: str, fmt: str, suffix: str, **options: str) -> str:
@@ -609,6 +647,47 @@ def s5_routing(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("files"), F.countDistinct("path").alias("paths"))
 
 
+def _archives(spark: SparkSession, sf: str) -> str:
+    """The documents in archives of up to 500, by turns zip and tar.gz, each with members of four formats."""
+    root = inventory.absolute(spark, scratch_path(spark, "archives"))
+    rows = b.documents(spark, sf).select(F.floor(F.col("doc_id") / 500).alias("part"), F.col("doc_id").cast("string"), "text", "lang")
+
+    def pack(part: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        records = frame[["doc_id", "text", "lang"]].astype(object).where(frame[["doc_id", "text", "lang"]].notna(), None)
+        turns = [records.iloc[turn::4] for turn in range(4)]
+        table = pa.Table.from_pandas(turns[3], preserve_index=False)
+        parquet = pa.BufferOutputStream()
+        pq.write_table(table.cast(pa.schema([(c, pa.string()) for c in table.column_names])), parquet)
+        members = {
+            "lines/a.jsonl": turns[0].to_json(orient="records", lines=True, force_ascii=False).encode(),
+            "b.CSV": turns[1].to_csv(index=False, quoting=csv.QUOTE_ALL, lineterminator="\n").encode(),
+            "c d.json": turns[2].to_json(orient="records", force_ascii=False).encode(),
+            "p.parquet": parquet.getvalue().to_pybytes(), "skipped.bin": b"no reader"}
+        packed, is_zip = io.BytesIO(), part[0] % 2 == 0
+        with zipfile.ZipFile(packed, "w") if is_zip else tarfile.open(fileobj=packed, mode="w:gz") as archive:
+            for name, content in members.items():
+                if is_zip:
+                    archive.writestr(name, content)
+                else:
+                    info = tarfile.TarInfo(name)
+                    info.size = len(content)
+                    archive.addfile(info, io.BytesIO(content))
+        store, base = fs.FileSystem.from_uri(root)
+        store.create_dir(base, recursive=True)
+        with store.open_output_stream(f"{base}/{part[0]}.{'zip' if is_zip else 'tar.gz'}", compression=None) as out:
+            out.write(packed.getvalue())
+        return pd.DataFrame({"part": [part[0]]})
+
+    stage(rows.groupBy("part").applyInPandas(pack, "part bigint"), "packed")
+    return root
+
+
+def s15_archives(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in zip and tar.gz archives, read back through the readers of the members' formats."""
+    fields = ("doc_id", "text", "lang")
+    return _fields(readers.read_archives(spark, _archives(spark, sf), set(fields)), *fields)
+
+
 def s16_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """Records read and rejected by format, over a tree of all formats."""
     records = stage(readers.read_records(spark, _tree(spark, sf)).select("src_path", "format", "src_block", "src_row", "raw", "rec_id",

@@ -341,6 +341,8 @@ ORACLE: dict[str, str] = {
     "a13_latency": """SELECT o_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
       CAST(epoch_us(CAST(l_shipdate AS TIMESTAMP)) - epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS DOUBLE) / 1000000 AS seconds
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "a13_quantiles": """SELECT l_returnflag, i, count(*) AS n, true AS within FROM lineitem
+      JOIN orders ON l_orderkey = o_orderkey, range(5) AS r(i) GROUP BY ALL""",
     "w1_stratified_split": f"WITH {DOCS} SELECT rec_id, source_site, difficulty, split FROM ({split_of('docs', STRATA)})",
     "w2_global_split": f"WITH {DOCS} SELECT rec_id, split FROM ({split_of('docs', '')})",
     "w3_split_order": f"""WITH {DOCS}, s AS ({split_of('docs', '')}) SELECT rec_id, split,
@@ -380,6 +382,7 @@ ORACLE: dict[str, str] = {
     "s7_tsv_scan": """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, n_name
       FROM customer JOIN nation ON n_nationkey = c_nationkey""",
     "s8_json_scan": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents",
+    "s15_archives": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents",
     "s10_text_scan": """SELECT page_id, rtrim(translate(url, chr(13) || chr(10), '  '), chr(10)) AS content FROM pages""",
     "s12_html_scan": f"SELECT page_id, rtrim({html(S12_HTML)}, chr(10)) AS text FROM pages",
     "s13_xml_scan": """SELECT CAST(s_suppkey AS VARCHAR) AS k, s_name AS name, CAST(s_nationkey AS VARCHAR) AS nation
@@ -477,3 +480,4 @@ ORACLE["a12_backlog"] = f"""WITH {EVENTS}, p AS (SELECT length(text) + 21 AS n F
   t AS (SELECT (SELECT count(*) FROM events) AS rows, (SELECT count(*) FROM p) AS processed,
     (SELECT count(*) FROM p WHERE n % 2 = 0) AS generated)
   SELECT rows, 0 AS backlog_end, rows AS captured, processed, generated, rows - processed AS waiting, processed - generated AS unanswered FROM t"""
+ORACLE["v3_bucketed"] = ORACLE["v3_score_batches"]

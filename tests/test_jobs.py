@@ -147,6 +147,44 @@ def test_scoring_isolates_failures(spark):
     assert {r.response for r in done if r.failed} == {scoring.FAILURE}
 
 
+def test_merged_quantiles_of_windows(spark):
+    rows = spark.range(20_000).selectExpr("id % 24 AS hour", "CASE WHEN id % 5 = 0 THEN 7 ELSE id END AS v", "id % 2 AS g")
+    sketches = stats.quantile_sketches(rows, F.col("v"), "g", "hour")
+    merged = {r.g: r for r in stats.merged_quantiles(sketches, (0.1, 0.5, 0.9), "g").collect()}
+    assert all(merged[g].n == 10_000 for g in (0, 1))
+    for g in (0, 1):
+        ordered = sorted(7 if i % 5 == 0 else i for i in range(20_000) if i % 2 == g)
+        for rank, value in zip((0.1, 0.5, 0.9), merged[g].quantiles):
+            below, up_to = sum(v < value for v in ordered), sum(v <= value for v in ordered)
+            assert below - 200 <= rank * 10_000 <= up_to + 200
+    none = stats.quantile_sketches(rows.selectExpr("CAST(NULL AS BIGINT) AS v", "g"), F.col("v"), "g")
+    assert [(r.n, r.quantiles) for r in stats.merged_quantiles(none, (0.5,), "g").collect()] == [(0, None)] * 2
+
+
+def test_bucketed_scoring_batches_by_length_and_halves(spark):
+    rows = [(i, "x" * (10 + i % 7 * 30)) for i in range(200)] + [(900, "bad one"), (901, None), (902, "y" * 5000)]
+    df = spark.createDataFrame(rows, "rec_id bigint, question_text string")
+    calls = spark.sparkContext.accumulator(0)
+    overhead = len(scoring_prompt(spark, ""))
+
+    def scorer(prompts):
+        calls.add(1)
+        assert len(prompts) == 1 or len(prompts) * max(map(len, prompts)) <= 4000
+        if any("bad one" in p for p in prompts):
+            raise ValueError
+        return [str(len(p)) for p in prompts]
+
+    done = {r.rec_id: r for r in scoring.score_bucketed(df, scorer, budget=4000, partitions=1).collect()}
+    assert len(done) == len(rows) and sorted(k for k, r in done.items() if r.failed) == [900, 901]
+    assert all(done[i].response == str(len(t) + overhead) for i, t in rows if i < 200 or i == 902)
+    assert calls.value < 60  # row by row there are 203
+
+
+def scoring_prompt(spark, text):
+    from corpusloom.operators.mapping import prompt
+    return spark.createDataFrame([(text,)], "q string").select(prompt(F.col("q"))).first()[0]
+
+
 def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "rec_id string, split string, source_site string, difficulty string, "
                                       "language string, question_type string")
@@ -178,3 +216,12 @@ def test_command_line(spark, four_records, tmp_path):
     (empty / "split=train").mkdir(parents=True)
     (empty / "split=train" / "a.json").write_text("not a record\n")
     assert main(["verify", "--root", four_records, "--corpus", str(empty), "--output", str(tmp_path / "r2")]) == 1
+
+
+def test_consolidation_reads_its_inputs_once(spark, four_records, tmp_path, monkeypatch):
+    read, calls = readers.read_records, []
+    monkeypatch.setattr(readers, "read_records", lambda *a, **k: calls.append(1) or read(*a, **k))
+    jobs.consolidate(spark, four_records, str(tmp_path / "once"), create_variants=False)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert len(calls) == 1
+    assert scans(jobs.read_unified(spark, four_records, ("txt", "xml"))) == scans(read(spark, four_records, ("txt", "xml")))
