@@ -13,42 +13,51 @@ HIDDEN_BLOCKS = (
     r"|<template\b.*?</template\s*>"
 )
 TAGS = r"(?s)<[!?/a-zA-Z][^>]*>"
-ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+# Numbers of control characters that stand for the characters Windows-1252 has there (five have none).
+_WINDOWS = {str(code): text for code in range(128, 160) if (text := bytes([code]).decode("cp1252", "ignore"))}
+
+
+def _constant_map(table: dict[str, str]) -> Column:
+    """One literal that folds to a constant map, where a map constructor has two expressions per entry."""
+    return F.from_json(F.lit(json.dumps(table)), T.MapType(T.StringType(), T.StringType()))
 
 
 def _named_entities() -> Column:
-    table = dict(html.entities.name2codepoint)
-    table["apos"] = 39
-    # One literal that folds to a constant map, where a map constructor has two expressions per entry.
-    return F.from_json(F.lit(json.dumps({name: chr(code) for name, code in table.items()})),
-                       T.MapType(T.StringType(), T.StringType()))
+    """All names of the HTML standard that end in a semicolon; some stand for two characters."""
+    return _constant_map({name[:-1]: text for name, text in html.entities.html5.items() if name.endswith(";")})
 
 
-def _from_code_point(code: Column) -> Column:
+def _from_code_point(code: Column, windows: Column) -> Column:
     usable = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    return F.when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")) \
+    remapped = F.when(code.between(128, 159), F.try_element_at(windows, code.cast("string")))
+    return F.when(remapped.isNotNull(), remapped).when(usable, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")) \
         .otherwise(F.lit("\ufffd"))
 
 
-def _decode_entity(entity: Column, names: Column) -> Column:
-    body = F.substring(entity, 2, 64)
-    body = F.substring(body, F.lit(1), F.length(body) - 1)
-    hexa = F.conv(F.substring(body, 3, 8), 16, 10).cast("bigint")
-    deci = F.try_to_number(F.substring(body, 2, 8), F.lit("9999999")).cast("bigint")
+def _decode_entity(entity: Column, names: Column, windows: Column) -> Column:
+    body = F.substring(entity, F.lit(2), F.length(entity) - 2)
+    # Without leading zeros; more digits than any character needs give no number.
+    digits = F.regexp_extract(body, "^#[xX]?0*(.*)$", 1)
+    hexa = F.when(F.length(digits) <= 6, F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("bigint"))
+    deci = F.when(F.length(digits) <= 7, F.concat(F.lit("0"), digits).try_cast("bigint"))
     return (
-        F.when(F.startswith(F.lower(body), F.lit("#x")), _from_code_point(hexa))
-        .when(F.startswith(body, F.lit("#")), _from_code_point(deci))
+        F.when(F.startswith(F.lower(body), F.lit("#x")), _from_code_point(hexa, windows))
+        .when(F.startswith(body, F.lit("#")), _from_code_point(deci, windows))
         .otherwise(F.coalesce(F.try_element_at(names, body), entity))
     )
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode named and numeric entities in one pass; unknown names stay as they are."""
-    names = _named_entities()
+    """Decode named and numeric entities in one pass; unknown names stay as they are.
+
+    Numbers from 128 to 159 are Windows-1252, numbers of no character U+FFFD, with any number of digits.
+    """
+    names, windows = _named_entities(), _constant_map(_WINDOWS)
     pieces = F.split(text, ENTITY)
     entities = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
     decoded = F.zip_with(pieces, entities, lambda p, e: F.concat(
-        p, F.coalesce(_decode_entity(e, names), F.lit(""))))
+        p, F.coalesce(_decode_entity(e, names, windows), F.lit(""))))
     return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
 
 

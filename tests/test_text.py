@@ -132,3 +132,17 @@ def test_paths_and_percentage(spark):
                     text.percentage(F.col("a"), F.col("b"))).collect()
     assert [tuple(r) for r in got] == [("tar.gz", "b.Tar", "a/b.Tar.GZ", 0.0), ("csv", "x", "x.CSV", 25.0),
                                        ("", "noext", "/q/noext", 0.0)]
+
+
+def test_entities_are_those_of_the_standard(spark):
+    import html as standard
+    names = [f"&{n}" for n in standard.entities.html5 if n.endswith(";")]
+    numbers = [f"&#{n};" for n in (*range(128, 256), 38, 8364, 0x1F600, 0x10FFFD, 0, 0xD800, 0x110000, 10**7, 10**80)]
+    forms = ["&#x80;", "&#X1f600;", "&#x000000000041;", "&#00000000000065;", "&#xFFFFFFFFFF;", "&amp;lt;", "&NoSuch;", "&;", "a & b", "&#;"]
+    texts = [f"<{e}> {e}{e}" for e in names + numbers + forms]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", html.decode_entities(F.col("t")).alias("d"))
+    got = {r.t: r.d for r in found.collect()}
+    assert len(names) > 2100 and {t: d for t, d in got.items() if d != standard.unescape(t)} == {}
+    # Characters that Unicode never assigns are kept, as the HTML standard says; the library drops them.
+    last = spark.range(1).select(html.decode_entities(F.lit("&#1114111;"))).first()[0]
+    assert last == chr(0x10FFFF)
