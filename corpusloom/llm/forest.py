@@ -10,8 +10,11 @@
 4. Candidates are confirmed on the full sets: first the best few of each node; then those that would
    still join two components. A link inside a component changes nothing and is not fetched.
 5. Regions that a window does not cover whole, or that a partition border cuts, and that still hold
-   several components are compared pair by pair on the full sets, in blocks, so that every pair that
-   shares LEAST_DEPTH values in some tree is decided exactly. Regions that overlap are compared as one.
+   several components are settled on the full sets, so that every pair that shares LEAST_DEPTH values in
+   some tree is decided exactly. Regions that overlap are settled as one. Small regions are compared pair by
+   pair. In large ones a prefix filter comes first: two linked sets share one of the rarest shingles of either.
+   Rows that share a rare one are candidates; only rows that share nothing rarer than what very many sets hold
+   are compared in blocks.
 """
 
 from __future__ import annotations
@@ -40,12 +43,14 @@ FILTER_WORDS = 1 << 17  # 64-bit words of the bit map of ids whose texts are nee
 BEST = 2                # candidates of a node confirmed first
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19  # sizes of a block of an open region, on average
 COLUMNS = 2048          # shingles of two blocks multiplied at once
+COMMON = 256            # sets that hold a shingle, from which its holders are compared in blocks, not joined
 
 _NULL_ID = 1 << 62      # nodes of rows without an id are numbered from here
 _RNG = np.random.default_rng(99)
 _A = _RNG.integers(1, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
 
+TOKENS = "node bigint, component bigint, n bigint, token bigint"
 SETS = "oid bigint, key bigint, n bigint, digest binary, values binary"
 TREE_ROWS = "tree int, prefix binary, sample binary, node bigint"
 FOUND = "kind int, a bigint, b bigint, weight int"
@@ -322,6 +327,77 @@ def _open_regions(members: DataFrame, found: DataFrame) -> DataFrame:
         .select(F.coalesce("whole", "region").alias("region"), "node", "component").distinct()
 
 
+def _large_regions(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``region`` of open regions that do not fit one block."""
+    return held.join(nodes.select("node", "n"), "node").groupBy("region") \
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")) \
+        .filter((F.col("rows") > BLOCK_ROWS) | (F.col("n") > BLOCK_SHINGLES)).select("region")
+
+
+def _token_rows(size: int) -> Callable:
+    """The shingles of each text, one per row, with the number of them. Columns: node, component, text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, bounds in text_chunks(batch.column(2)):
+                sets = list(shingle_sets(data, bounds, size))
+                n = np.array([len(s) for s in sets])
+                row = pa.array(np.repeat(np.arange(first, first + len(n)), n))
+                tokens = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row),
+                                                  pa.array(np.repeat(n, n)), pa.array(tokens)],
+                                                 names=["node", "component", "n", "token"])
+    return run
+
+
+def _prefixes(rows: DataFrame, keyed: DataFrame, size: int, percent: int) -> DataFrame:
+    """``token``, ``holders``, ``node``, ``component``, ``n``, ``place``, ``index`` of the rarest shingles of each set.
+
+    ``rows``: ``node``, ``component``. Shingles are ordered by how many sets hold them; those of one component
+    come first and are left out, as they link nothing new. Of two linked sets the smaller (``index``) shares
+    one of its first n (100 - percent) / (100 + percent) + 1 with the first n (100 - percent) / 100 + 1 of the
+    larger. Of several texts under one id the first counts.
+    """
+    likely = _hit(keyed, rows.select(F.col("node").alias("oid"))).filter("hit AND text IS NOT NULL")
+    texts = likely.join(rows.withColumnRenamed("node", "oid"), "oid").groupBy("oid", "component").agg(F.min("text").alias("text"))
+    tokens = stage_compact(texts.mapInArrow(_token_rows(size), TOKENS), "forest-tokens")
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("component").alias("low"),
+                                       F.max("component").alias("high")).filter("low < high").select("token", "holders")
+    ordered = tokens.join(held, "token").groupBy("node", "component", "n") \
+        .agg(F.array_sort(F.collect_list(F.struct("holders", "token"))).alias("shared"))
+    spare = F.col("n") * F.lit(100 - percent)
+    reach = F.greatest(F.floor(spare / 100) + 1 - (F.col("n") - F.size("shared")), F.lit(0)).cast("int")
+    first = ordered.select("node", "component", "n", F.posexplode(F.slice("shared", F.lit(1), reach)).alias("nth", "s"),
+                           (F.col("n") - F.size("shared")).alias("before"))
+    place = F.col("before") + F.col("nth")
+    return first.select("s.token", "s.holders", "node", "component", "n", place.alias("place"),
+                        (place * F.lit(100 + percent) <= spare).alias("index"))
+
+
+def _by_prefix(rows: DataFrame, keyed: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates ``a`` < ``b`` between components, with ``agree`` (shared rare shingles), and the ``node`` of rows
+    that may also have links by a common shingle alone. ``rows``: ``node``, ``component``.
+
+    No shingle joins more than COMMON rows, so the work is linear in the shingles. The shared rare shingles and
+    what comes after the last of them bound what two sets can share.
+    """
+    prefixes = stage_compact(_prefixes(rows, keyed, size, percent), "forest-prefixes")
+    rare = prefixes.filter(F.col("holders") <= COMMON)
+    one = rare.filter("index").select("token", *(F.col(c).alias(f"one_{c}") for c in ("node", "component", "n", "place")))
+    two = rare.select("token", *(F.col(c).alias(f"two_{c}") for c in ("node", "component", "n", "place")))
+    smaller = F.struct("one_n", "one_node") < F.struct("two_n", "two_node")
+    met = one.join(two, "token").filter(smaller & (F.col("one_component") != F.col("two_component"))
+                                        & (100 * F.col("one_n") >= percent * F.col("two_n")))
+    shared = met.groupBy("one_node", "two_node", "one_n", "two_n").agg(
+        F.count(F.lit(1)).alias("agree"), F.max("one_place").alias("one_place"), F.max("two_place").alias("two_place"))
+    most = F.col("agree") + F.least(F.col("one_n") - F.col("one_place"), F.col("two_n") - F.col("two_place")) - 1
+    pairs = shared.filter(most * (100 + percent) >= percent * (F.col("one_n") + F.col("two_n"))).select(
+        F.least("one_node", "two_node").alias("a"), F.greatest("one_node", "two_node").alias("b"), "agree")
+    common = prefixes.filter(F.col("holders") > COMMON)
+    open_tokens = common.groupBy("token").agg(F.max("index").alias("index"), F.min("component").alias("low"),
+                                              F.max("component").alias("high")).filter("index AND low < high").select("token")
+    return pairs, common.join(open_tokens, "token").select("node").distinct()
+
+
 def _compared(rows: DataFrame, keyed: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """Links that join components of an open region, from all pairs of its rows.
 
@@ -382,6 +458,30 @@ def _confirmed(pairs: DataFrame, keyed: DataFrame, size: int, percent: int) -> D
         .mapInArrow(_confirm(size, percent), "a bigint, b bigint")
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """The BEST candidates of each node, by ``agree``."""
+    sides = pairs.select(F.col("a").alias("node"), "a", "b", "agree") \
+        .unionAll(pairs.select(F.col("b").alias("node"), "a", "b", "agree"))
+    best = Window.partitionBy("node").orderBy(F.col("agree").desc(), "a", "b")
+    return stage(sides.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= BEST)
+                 .select("a", "b").distinct(), "forest-chosen")
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    return pairs.join(found.toDF("a", "ca"), "a", "left").join(found.toDF("b", "cb"), "b", "left") \
+        .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _extended(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links."""
+    more = stage(links, "forest-links")
+    if more.isEmpty():
+        return found
+    return stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)),
+                 "forest-components")
+
+
 def _hit(keyed: DataFrame, ends: DataFrame) -> DataFrame:
     """``keyed`` with ``hit``: whether a row may have its ``oid`` in ``ends``; false only if it has not.
 
@@ -444,11 +544,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         F.first("n").alias("n")), "forest-nodes")
     pairs, members = candidates(nodes, threshold)
     pairs = stage(pairs, "forest-pairs")
-    sides = pairs.select(F.col("a").alias("node"), "a", "b", "agree") \
-        .unionAll(pairs.select(F.col("b").alias("node"), "a", "b", "agree"))
-    best = Window.partitionBy("node").orderBy(F.col("agree").desc(), "a", "b")
-    chosen = stage(sides.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= BEST)
-                   .select("a", "b").distinct(), "forest-chosen")
+    chosen = _best(pairs)
     # Copies under other ids hang on their node already; rows of one id with several sets join here.
     several = sets.filter("n > 0").groupBy("oid").agg(F.min("digest").alias("low"), F.max("digest").alias("high")) \
         .filter("low != high").select("oid")
@@ -456,19 +552,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         .select(F.col("oid").alias("a"), F.col("node").alias("b"))
     links = stage(_confirmed(chosen, keyed, shingle, percent).unionAll(owned), "forest-links")
     found = stage(components(links), "forest-components")
-    rest = pairs.join(chosen, ["a", "b"], "left_anti")
-    one, two = found.toDF("a", "ca"), found.toDF("b", "cb")
-    apart = stage(rest.join(one, "a", "left").join(two, "b", "left") \
-        .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "forest-apart")
-    more = None if apart.isEmpty() else stage(_confirmed(apart, keyed, shingle, percent), "forest-links")
-    if more is not None and not more.isEmpty():
-        found = stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)),
-                      "forest-components")
+
+    def settle(found: DataFrame, rest: DataFrame) -> DataFrame:
+        apart = stage(_apart(rest, found), "forest-apart")
+        return found if apart.isEmpty() else _extended(found, _confirmed(apart, keyed, shingle, percent))
+
+    found = settle(found, pairs.join(chosen, ["a", "b"], "left_anti"))
     held = stage(_open_regions(members, found), "forest-open")
-    more = None if held.isEmpty() else stage(_compared(held, keyed, nodes, shingle, percent), "forest-links")
-    if more is not None and not more.isEmpty():
-        found = stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)),
-                      "forest-components")
+    large = stage(_large_regions(held, nodes), "forest-large")
+    if not large.isEmpty():
+        rows = held.join(large, "region").select("node", "component").distinct()
+        rare, common = _by_prefix(rows, keyed, shingle, percent)
+        rare, common = stage(rare, "forest-rare"), stage(common, "forest-common")
+        chosen = _best(rare)
+        found = settle(found, chosen)
+        found = settle(found, rare.join(chosen, ["a", "b"], "left_anti"))
+        small = held.join(large, "region", "left_anti")
+        held = small.unionByName(held.join(large, "region", "left_semi").join(common, "node", "left_semi"))
+        held = stage(_open_regions(held.select("node", "region"), found), "forest-open")
+    if not held.isEmpty():
+        found = _extended(found, _compared(held, keyed, nodes, shingle, percent))
     copied = nodes.filter("rows > 1").select("digest", "node")
     placed = sets.select("oid", "key", "n", "digest").join(copied, "digest", "left") \
         .select("oid", "key", "n", F.coalesce("node", "oid").alias("node"))

@@ -73,6 +73,45 @@ def test_components_equal_all_pairs(docs, size):
     assert len(wrong) <= 0.01 * len(rows), len(wrong)  # candidates are found with high probability, not surely
 
 
+@pytest.mark.parametrize("common", [3, 256])
+def test_large_regions_equal_all_pairs(docs, monkeypatch, common):
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(forest, "COMMON", common)
+    rows = corpus(7, 400)
+    want = brute(rows, 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in forest.component_table(docs(rows), 2).collect()}
+    assert sum(got[i] != want[i] for i in want) <= 0.01 * len(rows)
+
+
+@pytest.mark.parametrize("common", [2, 1000])
+def test_prefixes_leave_no_link_out(docs, spark, monkeypatch, common):
+    monkeypatch.setattr(forest, "COMMON", common)
+    rows = corpus(11, 300)
+    sets = {i: shingles(t, 2) for i, t in rows}
+    frame = docs(rows).selectExpr("doc_id AS oid", "hash(text) + 0L AS key", "text")
+    own = frame.selectExpr("oid AS node", "oid AS component")
+    pairs, held = forest._by_prefix(own, frame, 2, 80)
+    pairs, held = {(r.a, r.b) for r in pairs.collect()}, {r.node for r in held.collect()}
+    links = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
+             and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(links) > 500
+    assert all(link in pairs or set(link) <= held for link in links)
+    if common == 1000:
+        assert not held and links <= pairs and len(pairs) < 2 * len(links)
+
+
+def test_many_texts_of_one_template_are_not_compared_in_blocks(docs, monkeypatch):
+    def refused(*_):
+        raise AssertionError("compared in blocks")
+
+    monkeypatch.setattr(forest, "_compared", refused)
+    shared = " ".join(f"t{i}" for i in range(82))
+    rows = [(i, shared + " " + " ".join(f"x{i - i % 2 if i < 100 else i}_{k}" for k in range(18)) + " end" * (i % 2))
+            for i in range(20_000)]
+    got = {r.doc_id: r.component_id for r in forest.component_table(docs(rows).repartition(8), 2).collect()}
+    assert got == {i: i - i % 2 if i < 100 else i for i in range(20_000)}
+
+
 def test_star_of_copies_that_do_not_link_with_each_other(docs):
     rng = random.Random(1)
     base = [f"w{rng.randrange(5000)}" for _ in range(200)]
