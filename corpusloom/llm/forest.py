@@ -335,55 +335,66 @@ def _large_regions(held: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _token_rows(size: int) -> Callable:
-    """The shingles of each text, one per row, with the number of them. Columns: node, component, text."""
+    """The shingles of each text, one per row, with the number of them; and a row without a shingle for each text
+    that has some. Columns: node, component, text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, bounds in text_chunks(batch.column(2)):
                 sets = list(shingle_sets(data, bounds, size))
                 n = np.array([len(s) for s in sets])
-                row = pa.array(np.repeat(np.arange(first, first + len(n)), n))
-                tokens = np.concatenate(sets).view(np.int64)
+                row = pa.array(np.concatenate([np.repeat(np.arange(len(n)), n), np.flatnonzero(n)]) + first)
+                tokens = np.concatenate([*sets, np.zeros(np.count_nonzero(n), np.uint64)]).view(np.int64)
+                none = np.arange(len(tokens)) >= n.sum()
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row),
-                                                  pa.array(np.repeat(n, n)), pa.array(tokens)],
+                                                  pa.array(np.concatenate([np.repeat(n, n), n[n > 0]])),
+                                                  pa.array(tokens, mask=none)],
                                                  names=["node", "component", "n", "token"])
     return run
 
 
-def _prefixes(rows: DataFrame, keyed: DataFrame, size: int, percent: int) -> DataFrame:
-    """``token``, ``holders``, ``node``, ``component``, ``n``, ``place``, ``index`` of the rarest shingles of each set.
+def _rare_shingles(rows: DataFrame, keyed: DataFrame, size: int) -> DataFrame:
+    """Per set ``node``, ``component``, ``n``, how many of its shingles are of no use as links (``before``), and the
+    rare ones after those in order (``shared``: ``holders``, ``token``). ``rows``: ``node``, ``component``.
 
-    ``rows``: ``node``, ``component``. Shingles are ordered by how many sets hold them; those of one component
-    come first and are left out, as they link nothing new. Of two linked sets the smaller (``index``) shares
-    one of its first n (100 - percent) / (100 + percent) + 1 with the first n (100 - percent) / 100 + 1 of the
-    larger. Of several texts under one id the first counts.
+    All shingles have one order: those that only one component holds, which link nothing new; rare ones by
+    holders; common ones. The common ones, and those of one set, are counted without a join, so that no join
+    key is hot. Of several texts under one id the first counts.
     """
     likely = _hit(keyed, rows.select(F.col("node").alias("oid"))).filter("hit AND text IS NOT NULL")
     texts = likely.join(rows.withColumnRenamed("node", "oid"), "oid").groupBy("oid", "component").agg(F.min("text").alias("text"))
     tokens = stage_compact(texts.mapInArrow(_token_rows(size), TOKENS), "forest-tokens")
-    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("holders"), F.min("component").alias("low"),
-                                       F.max("component").alias("high")).filter("low < high").select("token", "holders")
-    ordered = tokens.join(held, "token").groupBy("node", "component", "n") \
-        .agg(F.array_sort(F.collect_list(F.struct("holders", "token"))).alias("shared"))
-    spare = F.col("n") * F.lit(100 - percent)
-    reach = F.greatest(F.floor(spare / 100) + 1 - (F.col("n") - F.size("shared")), F.lit(0)).cast("int")
-    first = ordered.select("node", "component", "n", F.posexplode(F.slice("shared", F.lit(1), reach)).alias("nth", "s"),
-                           (F.col("n") - F.size("shared")).alias("before"))
-    place = F.col("before") + F.col("nth")
-    return first.select("s.token", "s.holders", "node", "component", "n", place.alias("place"),
-                        (place * F.lit(100 + percent) <= spare).alias("index"))
+    held = stage_compact(tokens.filter("token IS NOT NULL").groupBy("token").agg(
+        F.count(F.lit(1)).alias("holders"), F.min("node").alias("node"), F.min("component").alias("low"),
+        F.max("component").alias("high"), F.min("n").alias("n")).filter(F.col("holders") <= COMMON), "forest-rare")
+    none = F.lit(None).cast("struct<holders: bigint, token: bigint>").alias("shared")
+    alone = held.filter("holders = 1").select("node", F.col("low").alias("component"), "n", F.lit(1).alias("before"), none)
+    several = held.filter("holders > 1").select("token", "holders", (F.col("low") < F.col("high")).alias("links"))
+    rare = tokens.join(several, "token").select(
+        "node", "component", "n", F.when(F.col("links"), 0).otherwise(1).alias("before"),
+        F.when(F.col("links"), F.struct("holders", "token")).alias("shared"))
+    every = tokens.filter("token IS NULL").select("node", "component", "n", F.lit(0).alias("before"), none)
+    return every.unionAll(alone).unionAll(rare).groupBy("node", "component", "n").agg(
+        F.sum("before").alias("before"), F.array_sort(F.collect_list("shared")).alias("shared"))
 
 
 def _by_prefix(rows: DataFrame, keyed: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates ``a`` < ``b`` between components, with ``agree`` (shared rare shingles), and the ``node`` of rows
-    that may also have links by a common shingle alone. ``rows``: ``node``, ``component``.
+    """Candidates ``a`` < ``b`` between components, with ``agree`` (shared rare shingles); and ``node`` and ``index`` of
+    rows that may also have links by a common shingle alone. ``rows``: ``node``, ``component``.
 
-    No shingle joins more than COMMON rows, so the work is linear in the shingles. The shared rare shingles and
-    what comes after the last of them bound what two sets can share.
+    Of two linked sets the smaller (``index``) shares one of its first n (100 - percent) / (100 + percent) + 1
+    shingles with the first n (100 - percent) / 100 + 1 of the larger. No shingle joins more than COMMON rows, so
+    the work is linear in the shingles. The shared rare shingles and what comes after the last of them bound
+    what two sets can share.
     """
-    prefixes = stage_compact(_prefixes(rows, keyed, size, percent), "forest-prefixes")
-    rare = prefixes.filter(F.col("holders") <= COMMON)
-    one = rare.filter("index").select("token", *(F.col(c).alias(f"one_{c}") for c in ("node", "component", "n", "place")))
-    two = rare.select("token", *(F.col(c).alias(f"two_{c}") for c in ("node", "component", "n", "place")))
+    sets = stage_compact(_rare_shingles(rows, keyed, size), "forest-prefixes")
+    spare = F.col("n") * F.lit(100 - percent)
+    reach = F.greatest(F.floor(spare / 100) + 1 - F.col("before"), F.lit(0)).cast("int")
+    place = F.col("before") + F.col("nth")
+    first = sets.select("node", "component", "n", "before", F.posexplode(F.slice("shared", F.lit(1), reach)).alias("nth", "s")) \
+        .select(F.col("s.token").alias("token"), "node", "component", "n", place.alias("place"),
+                (place * F.lit(100 + percent) <= spare).alias("index"))
+    one = first.filter("index").select("token", *(F.col(c).alias(f"one_{c}") for c in ("node", "component", "n", "place")))
+    two = first.select("token", *(F.col(c).alias(f"two_{c}") for c in ("node", "component", "n", "place")))
     smaller = F.struct("one_n", "one_node") < F.struct("two_n", "two_node")
     met = one.join(two, "token").filter(smaller & (F.col("one_component") != F.col("two_component"))
                                         & (100 * F.col("one_n") >= percent * F.col("two_n")))
@@ -392,10 +403,10 @@ def _by_prefix(rows: DataFrame, keyed: DataFrame, size: int, percent: int) -> tu
     most = F.col("agree") + F.least(F.col("one_n") - F.col("one_place"), F.col("two_n") - F.col("two_place")) - 1
     pairs = shared.filter(most * (100 + percent) >= percent * (F.col("one_n") + F.col("two_n"))).select(
         F.least("one_node", "two_node").alias("a"), F.greatest("one_node", "two_node").alias("b"), "agree")
-    common = prefixes.filter(F.col("holders") > COMMON)
-    open_tokens = common.groupBy("token").agg(F.max("index").alias("index"), F.min("component").alias("low"),
-                                              F.max("component").alias("high")).filter("index AND low < high").select("token")
-    return pairs, common.join(open_tokens, "token").select("node").distinct()
+    rest = F.col("before") + F.size("shared")
+    common = sets.filter((rest < F.col("n")) & (100 * rest <= spare)) \
+        .select("node", ((100 + percent) * rest <= spare).alias("index"))
+    return pairs, common
 
 
 def _compared(rows: DataFrame, keyed: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -568,7 +579,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         found = settle(found, chosen)
         found = settle(found, rare.join(chosen, ["a", "b"], "left_anti"))
         small = held.join(large, "region", "left_anti")
-        held = small.unionByName(held.join(large, "region", "left_semi").join(common, "node", "left_semi"))
+        left = stage(held.join(large, "region", "left_semi").join(common, "node"), "forest-common")
+        indexed = left.groupBy("region").agg(F.max("index").alias("index")).filter("index").select("region")
+        held = small.unionByName(left.join(indexed, "region", "left_semi").drop("index"))
         held = stage(_open_regions(held.select("node", "region"), found), "forest-open")
     if not held.isEmpty():
         found = _extended(found, _compared(held, keyed, nodes, shingle, percent))
