@@ -7,12 +7,18 @@ import json
 
 from pyspark.sql import Column, functions as F, types as T
 
-# Blocks whose content is not text. They go first: a script may hold a tag inside a string.
-HIDDEN_BLOCKS = (
-    r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-    r"|<template\b.*?</template\s*>"
+# The rest of a tag: a quoted value may hold the mark that else ends the tag; a quote that is not closed is a character.
+_REST = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+>"""
+# All markup in one pass from left to right, so that a comment in an attribute, or a tag in a comment or a
+# script, is no markup. Tags inside a title or text area are text, which is kept as it is (groups 1 and 2);
+# a script or style that is not closed goes on to the end.
+MARKUP = (
+    r"(?is)<!--.*?-->"
+    rf"|<script\b{_REST}(?:.*?</script\b[^>]*+>|.*+)|<style\b{_REST}(?:.*?</style\b[^>]*+>|.*+)"
+    rf"|<template\b{_REST}.*?</template\b[^>]*+>"
+    rf"|<title\b{_REST}(.*?)</title\b[^>]*+>|<textarea\b{_REST}(.*?)</textarea\b[^>]*+>"
+    rf"|<[!?/a-z]{_REST}"
 )
-TAGS = r"(?s)<[!?/a-zA-Z][^>]*>"
 ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 # Numbers of control characters that stand for the characters Windows-1252 has there (five have none).
 _WINDOWS = {str(code): text for code in range(128, 160) if (text := bytes([code]).decode("cp1252", "ignore"))}
@@ -63,5 +69,4 @@ def decode_entities(text: Column) -> Column:
 
 def html_to_text(html_text: Column) -> Column:
     """Text of a page: script, style, template and comments dropped, tags stripped, entities decoded."""
-    bare = F.regexp_replace(F.regexp_replace(html_text, HIDDEN_BLOCKS, ""), TAGS, "")
-    return decode_entities(bare)
+    return decode_entities(F.regexp_replace(html_text, MARKUP, "$1$2"))

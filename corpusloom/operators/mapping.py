@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.classify import question_type, question_type_by_parts
 from ..functions.code import complexity_note
@@ -17,6 +17,7 @@ from ..functions.text import clean_text, let, strip
 from ..schema import (
     DATASET_KEYS, FIELD_CANDIDATES, SOURCE_SITES, TEXT_FIELDS, UNIFIED, UNKNOWN_SOURCE,
 )
+from ..session import stage
 from .filters import has_content, is_trainable, is_valid
 
 # Texts of numbers, flags and collections that count as no value.
@@ -174,6 +175,11 @@ def _shaped(target: str, name: Column, value: Column, raw: Column) -> Column:
     return as_text(value)
 
 
+def _value_of(name: Column, members: Column, raw: Column, target: str) -> Column:
+    found = let(name, lambda n: F.struct(n.alias("name"), F.try_element_at(members, n).alias("value")))
+    return let(found, lambda f: _shaped(target, f["name"], f["value"], raw))
+
+
 def _mapped(members: Column, raw: Column, source: Column, target: str,
             tables: Mapping[str, Mapping[str, Sequence[str]]]) -> Column:
     """The first truthy candidate of the row's source. The candidates are data, not one CASE each."""
@@ -184,8 +190,44 @@ def _mapped(members: Column, raw: Column, source: Column, target: str,
     candidates = F.try_element_at(F.create_map(*cells), source)
     first = F.try_element_at(F.filter(
         candidates, lambda n: F.coalesce(is_truthy(F.try_element_at(members, n)), F.lit(False))), F.lit(1))
-    found = let(first, lambda n: F.struct(n.alias("name"), F.try_element_at(members, n).alias("value")))
-    return let(found, lambda f: _shaped(target, f["name"], f["value"], raw))
+    return _value_of(first, members, raw, target)
+
+
+def mapping_rows(spark: SparkSession, tables: Mapping[str, Mapping[str, Sequence[str]]] = FIELD_CANDIDATES) -> DataFrame:
+    """Mapping tables as rows, a candidate each: ``source``, ``target``, ``place``, ``field``, ``always``."""
+    rows = [(source, target, place, name, False) for source, table in tables.items()
+            for target, names in table.items() for place, name in enumerate(names)]
+    return spark.createDataFrame(rows, "source string, target string, place int, field string, always boolean")
+
+
+def map_by_rows(df: DataFrame, rows: DataFrame, source: str = "source_site", record: str = "record",
+                raw: str = "raw") -> DataFrame:
+    """The candidate fields of each row's source, where the mapping is a table and not part of the plan.
+
+    ``rows`` has the columns of ``mapping_rows``. Of a target's fields, by place, the first counts that is
+    truthy or, with ``always``, whose key is present whatever its value. A null source and one without rows
+    give nulls; rows of unknown targets, and those without a source or field, say nothing. Candidates are
+    gathered per source and staged, so the planner broadcasts them only when they are small.
+    """
+    targets = [f.name for f in UNIFIED if f.name != "source_site"]
+    told = rows.filter(F.col("target").isin(*targets) & F.col("source").isNotNull() & F.col("field").isNotNull())
+    one = F.struct("place", "field", F.coalesce("always", F.lit(False)).alias("always"))
+    lists = told.groupBy("source", "target").agg(F.array_sort(F.collect_set(one)).alias("fields"))
+    by_source = lists.groupBy(F.col("source").alias("_source")).agg(
+        F.map_from_entries(F.collect_list(F.struct("target", "fields"))).alias("_fields"))
+    joined = df.join(stage(by_source, "mapping"), df[source] == F.col("_source"), "left")
+    opened = once(joined, {"_members": F.try_variant_get(record, "$", "map<string,variant>")})
+    members = F.col("_members")
+
+    def counts(c: Column) -> Column:
+        named = c["always"] & F.map_contains_key(members, c["field"])
+        return F.coalesce(named, F.lit(False)) | F.coalesce(is_truthy(F.try_element_at(members, c["field"])), F.lit(False))
+
+    def first(target: str) -> Column:
+        return F.try_element_at(F.filter(F.try_element_at(F.col("_fields"), F.lit(target)), counts), F.lit(1))["field"]
+
+    return once(opened, {t: _value_of(first(t), members, F.col(raw), t) for t in targets}) \
+        .drop("_source", "_fields", "_members")
 
 
 def map_fields(df: DataFrame, record: str = "record", raw: str = "raw", path: str = "src_path",

@@ -43,6 +43,15 @@ def c2_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
+def c2_html_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with marks inside attributes, comments, scripts, titles and text areas, and a style that is not closed."""
+    page = F.concat(
+        F.lit("""<p title="a > b" lang=x data-y='<i>'>"""), F.col("page_id").cast("string"),
+        F.lit("""</p><a title="<!--">kept</a><!-- <b title="--><title>x <b> y</title><textarea rows=1>1 < 2 </i></textarea>"""),
+        F.lit("""<script type="a>b">if (a > b) "<p>";</script x>"""), F.col("html"), F.lit("<style>p > b {"))
+    return b.table(spark, sf, "pages").select("page_id", html.html_to_text(page).alias("text"))
+
+
 def c3_dedup_key(spark: SparkSession, sf: str) -> DataFrame:
     return b.docs(spark, sf).select(
         "rec_id", text.dedup_text(F.col("question_text")).alias("norm"),
@@ -141,6 +150,25 @@ def m2_coalesce_fields(spark: SparkSession, sf: str) -> DataFrame:
     return mapped.select("rec_id", "question_text", "answer_text", "solution_code", "difficulty")
 
 
+def m2_mapping_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A mapping of each source of the documents, as rows; sources with names of an even length have another one."""
+    even = F.length("source") % 2 == 0
+    common = [("answer_text", 0, "answer"), ("answer_text", 1, "explanation"), ("solution_code", 0, "code"),
+              ("solution_code", 1, "solution"), ("difficulty", 2, "level"), ("question_text", 2, "text")]
+    other = [("question_text", 0, "missing"), ("question_text", 1, "question"), ("difficulty", 1, "difficulty")]
+
+    def candidates(rows: list[tuple], always: bool = False) -> Column:
+        return F.array(*[F.struct(F.lit(t).alias("target"), F.lit(p).alias("place"), F.lit(f).alias("field"),
+                                  F.lit(always).alias("always")) for t, p, f in rows])
+
+    chosen = F.when(even, F.concat(candidates(common), candidates([("question_text", 0, "description")], True))) \
+        .otherwise(F.concat(candidates(common), candidates(other)))
+    rows = b.documents(spark, sf).select("source").distinct().select("source", F.inline(chosen))
+    records = _records(spark, sf, *_unify_fields()).withColumn("source_site", mapping.field_text(F.col("record"), "title"))
+    return mapping.map_by_rows(records, rows).select(
+        "rec_id", "question_text", "answer_text", "solution_code", "difficulty")
+
+
 def m3_multilang(spark: SparkSession, sf: str) -> DataFrame:
     solution = F.struct(
         F.col("text").alias("python"), F.expr("CASE WHEN n_chars % 2 = 0 THEN '' ELSE lang END").alias("java"),
@@ -720,6 +748,17 @@ def s14_parquet_scan(spark: SparkSession, sf: str) -> DataFrame:
     return _fields(readers.read_parquet(spark, path), "id", "text", "lang")
 
 
+def s14_parquet_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of Parquet files per source, of two schemas: two scans, however many folders."""
+    rows = b.documents(spark, sf).select(F.col("doc_id").alias("id"), "text", "lang", "source").repartition("source")
+    path, even = scratch_path(spark, "parquet folders"), F.length("source") % 2 == 0
+    rows.filter(even).write.partitionBy("source").parquet(f"{path}/even")
+    rows.filter(~even).drop("lang").write.partitionBy("source").parquet(f"{path}/odd")
+    found = readers.good_records(readers.read_parquet(spark, path))
+    return found.select(*[mapping.as_text(mapping.field(F.col("record"), n)).alias(n) for n in ("id", "text", "lang")],
+                        F.regexp_extract("src_path", "source=([^/]+)/", 1).alias("folder"))
+
+
 def _as_unified(spark: SparkSession, sf: str) -> DataFrame:
     records = b.docs(spark, sf).withColumn("rec_id", F.col("rec_id").cast("string")).withColumns({
         "question_type": F.lit("coding"), "tags": F.array("source_site", "difficulty"),

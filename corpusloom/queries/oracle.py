@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from ..functions import classify
 from ..functions.code import FENCE, MARKER
-from ..functions.html import HIDDEN_BLOCKS, TAGS
 from ..functions.text import SPACE, SPACE_CHARS, WORD
 from ..schema import SOURCE_SITES
 from . import bindings as b
@@ -12,6 +11,9 @@ from .catalog import SHARD_SIZE, TOKEN_CONFIDENCE
 
 _BLANKS = "(" + " || ".join(f"chr({ord(c)})" for c in SPACE_CHARS) + ")"
 _NL = "chr(10)"
+# A plainer reading of pages than the library's, right for the pages of the table.
+HIDDEN_BLOCKS = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>"
+TAGS = r"(?s)<[!?/a-zA-Z][^>]*>"
 
 
 def q(text: str) -> str:
@@ -205,6 +207,7 @@ S12_HTML = "translate(html, chr(13) || chr(10), '  ')"
 ORACLE: dict[str, str] = {
     "c1_clean_text": f"WITH {SNIPPETS} SELECT rec_id, {clean('snippet')} AS clean FROM snippets",
     "c2_html_text": f"SELECT page_id, {html('html')} AS text FROM pages",
+    "c2_html_exact": f"""SELECT page_id, page_id || 'kept' || 'x <b> y' || '1 < 2 </i>' || {html('html')} AS text FROM pages""",
     "c3_dedup_key": f"SELECT doc_id AS rec_id, {norm('text')} AS norm, md5({norm('text')}) AS dedup_key FROM documents",
     "c5_artefact_clean": f"""SELECT rec_id, CASE WHEN length(t) < 10 THEN '' ELSE trim(substr(t, 1, 5000)) END AS clean
       FROM (SELECT doc_id AS rec_id, translate(trim({sub('text', f'[{SPACE}]+', ' ')}), '|01', 'IOl') AS t FROM documents)""",
@@ -226,6 +229,9 @@ ORACLE: dict[str, str] = {
       ELSE '' END) AS p FROM pages)""",
     "m2_coalesce_fields": f"""SELECT doc_id AS rec_id, text AS question_text, {ANSWER} AS answer_text,
       {MAPPED_CODE} AS solution_code, {LEVEL} AS difficulty FROM documents""",
+    "m2_mapping_table": f"""SELECT doc_id AS rec_id, CASE WHEN length(source) % 2 = 0 THEN {DESCRIPTION} ELSE text END AS question_text,
+      {ANSWER} AS answer_text, {MAPPED_CODE} AS solution_code,
+      CASE WHEN length(source) % 2 = 0 THEN upper(lang) ELSE {LEVEL} END AS difficulty FROM documents""",
     "m3_multilang": f"""SELECT doc_id AS rec_id, '# python' || {_NL} || text || CASE WHEN n_chars % 2 = 0 THEN ''
       ELSE {_NL} || {_NL} || '# java' || {_NL} || lang END || {_NL} || {_NL} || '# c++' || {_NL} || source
       AS solution_code FROM documents""",
@@ -401,6 +407,7 @@ ORACLE: dict[str, str] = {
     "s9_jsonl_scan": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents WHERE lang <> 'es'",
     "s11_text_records": f"""SELECT doc_id AS rec_id, substr(text, 1, 2000) AS question_text, 'coding' AS question_type,
       source AS source_site, CAST(doc_id AS VARCHAR) AS problem_id FROM documents WHERE length({strip('text')}) >= 10""",
+    "s14_parquet_groups": "SELECT CAST(doc_id AS VARCHAR) AS id, text, CASE WHEN length(source) % 2 = 0 THEN lang END AS lang, source AS folder FROM documents",
     "s14_parquet_scan": "SELECT CAST(doc_id AS VARCHAR) AS id, text, lang FROM documents",
     "k1_split_files": f"""WITH {DOCS} SELECT CAST(rec_id AS VARCHAR) AS rec_id, split, question_text, source_site,
       source_site || '|' || difficulty AS tags, length(question_text) AS memory_limit FROM ({split_of('docs', STRATA)})""",

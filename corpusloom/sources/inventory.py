@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import mimetypes
 import re
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -118,14 +120,19 @@ def walk_files(spark: SparkSession, root: str) -> DataFrame:
             return reduce(DataFrame.unionAll, rounds)
 
 
+def listable(path: str) -> bool:
+    """Whether executors can open an absolute path themselves."""
+    scheme = re.match(r"([a-z0-9]+):", path)
+    return scheme is None or scheme[1] in LISTED_SCHEMES
+
+
 def list_files(spark: SparkSession, root: str, exclude: str | None = None) -> DataFrame:
     """Every file below ``root``: path, format, bytes, relative path. File contents are not read.
 
     Files without bytes are listed, except on a store that only Spark can open.
     """
     top = absolute(spark, root)
-    scheme = re.match(r"([a-z0-9]+):", top)
-    if scheme is None or scheme[1] in LISTED_SCHEMES:
+    if listable(top):
         files = walk_files(spark, top)
     else:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root) \
@@ -203,12 +210,61 @@ def parquet_folders(spark: SparkSession, root: str) -> list[str]:
     return sorted(r[0] for r in paths.select(folder).distinct().collect())
 
 
+_FOOTERS = "path string, n bigint, schema string"
+_FOOTERS_A_TASK = 64
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths, counts, schemas = batch.column(0).to_pylist(), [], []
+        for path in paths:
+            store, base = (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+            with store.open_input_file(base) as file:
+                try:
+                    meta = pq.read_metadata(file)
+                    leaves = [meta.schema.column(i) for i in range(meta.num_columns)]
+                    shape = [(c.path, c.physical_type, str(c.logical_type), c.max_definition_level, c.max_repetition_level) for c in leaves]
+                except (pa.ArrowInvalid, OSError):  # no footer: a damaged file
+                    counts.append(None)
+                    schemas.append(None)
+                    continue
+            # Spark's own schema, if there is one, is what it reads the file with.
+            own = (meta.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata", b"")
+            counts.append(meta.num_rows)
+            schemas.append(hashlib.sha256(repr(shape).encode() + own).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(schemas, pa.string())],
+                                         names=["path", "n", "schema"])
+
+
+def parquet_footers(spark: SparkSession, root: str) -> DataFrame | None:
+    """Rows (``n``) and fingerprint of the schema of each Parquet file, both null for a damaged one.
+
+    Executors read the footers. None on a store that only Spark can open.
+    """
+    if not listable(absolute(spark, root)):
+        return None
+    files = list_files(spark, root).filter("format = 'parquet'").select("path")
+    tasks = max(1, min(_LISTING_TASKS, -(-files.count() // _FOOTERS_A_TASK)))
+    return stage(files.repartition(tasks).mapInArrow(_footers, _FOOTERS), "footers")
+
+
+def parquet_groups(footers: DataFrame) -> list[list[str]]:
+    """Folders with readable Parquet files; those whose files have the same schemas are one group, for one reader."""
+    folders = footers.filter("schema IS NOT NULL").groupBy(F.regexp_replace("path", r"/[^/]*$", "").alias("folder")) \
+        .agg(F.array_join(F.array_sort(F.collect_set("schema")), "").alias("schemas"))
+    groups = folders.groupBy("schemas").agg(F.array_sort(F.collect_list("folder")).alias("folders"))
+    return sorted(r["folders"] for r in groups.collect())
+
+
 def parquet_files(folder: str) -> str:
     """A glob for the Parquet files right in a folder, whatever characters its name has."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", folder) + "/" + file_glob("parquet")
 
 
 def _parquet_counts(spark: SparkSession, root: str) -> DataFrame:
+    footers = parquet_footers(spark, root)
+    if footers is not None:
+        return footers.filter("n IS NOT NULL").select("path", "n")
     counts = None
     for folder in parquet_folders(spark, root):
         rows = spark.read.option("recursiveFileLookup", "true") \

@@ -23,7 +23,8 @@ from ..schema import DATASET_KEYS, FIELD_CANDIDATES
 from ..session import stage
 from .archives import extract_members
 from .inventory import (
-    JSON_BYTES, absolute, file_glob, format_glob, outside, parquet_files, parquet_folders, scanned_path, whole_files)
+    JSON_BYTES, absolute, file_glob, format_glob, outside, parquet_files, parquet_folders, parquet_footers,
+    parquet_groups, scanned_path, whole_files)
 from .jsonstream import json_items
 
 RAW_SCHEMA = ("src_path string, format string, src_block bigint, src_row bigint, rec_id string, "
@@ -246,18 +247,23 @@ def candidate_columns(tables: Mapping[str, Mapping[str, Sequence[str]]] = FIELD_
 
 
 def read_parquet(spark: SparkSession, root: str, columns: set[str] | None = None) -> DataFrame:
-    """Rows of Parquet files, only the columns a mapping can use. One scan per folder.
+    """Rows of Parquet files, only the columns a mapping can use. One scan for all folders of the same schemas.
 
-    A folder's files are read by themselves: folders named ``key=value`` are folders like others.
+    Executors read the footers; files without one are passed over (``parquet_footers`` names them). Folders
+    named ``key=value`` are folders like others. On a store that only Spark can open it is one scan per folder.
     """
     wanted = columns or candidate_columns()
+    footers = parquet_footers(spark, root)
+    groups = [[folder] for folder in parquet_folders(spark, root)] if footers is None else parquet_groups(footers)
     frames = []
-    for folder in parquet_folders(spark, root):
+    for folders in groups:
+        reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true")
         try:
-            table = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true") \
-                .option("ignoreCorruptFiles", "true").parquet(parquet_files(folder))
+            table = reader.option("mergeSchema", "true").parquet(parquet_files(folders[0]))
         except AnalysisException:  # nothing readable in this folder
             continue
+        if len(folders) > 1:
+            table = reader.option("mergeSchema", "false").schema(table.schema).parquet(*[parquet_files(f) for f in folders])
         used = [F.col(f"`{c}`") for c in table.columns if c in wanted]
         row = F.to_json(F.struct(*used), {"ignoreNullFields": "false"}) if used else F.lit("{}")
         frames.append(_finish(

@@ -122,6 +122,25 @@ def test_parquet_folders_have_own_schemas(spark, tree):
     assert all("unused" not in r.raw for r in rows.collect())
 
 
+def test_parquet_folders_of_one_schema_are_one_scan(spark, tmp_path):
+    for k in range(12):
+        folder = tmp_path / f"k={k} [x]"
+        folder.mkdir()
+        table = {"id": [k], "text": [str(k)]} if k % 3 else {"id": [str(k)], "question": [None]}
+        schema = pa.schema([("id", pa.string()), ("question", pa.string())]) if k % 3 == 0 else None
+        pq.write_table(pa.table(table, schema=schema), folder / "a.parquet")
+    (tmp_path / "cut.parquet").write_bytes(b"PAR1 no")
+    (tmp_path / "empty.parquet").write_bytes(b"")
+    rows = readers.read_parquet(spark, str(tmp_path))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+    assert values(rows, "id", "text") == sorted([(str(k), str(k) if k % 3 else None) for k in range(12)], key=str)
+    assert len({r.rec_id for r in rows.collect()}) == 12
+    footers = {r.path.rsplit("/", 1)[1]: r.n for r in inventory.parquet_footers(spark, str(tmp_path)).collect()}
+    assert footers == {"a.parquet": 1, "cut.parquet": None, "empty.parquet": None}
+    (tmp_path / "none").mkdir()
+    assert readers.read_parquet(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_archives_one_level(spark, tree):
     records = readers.read_archives(spark, tree)
     assert values(records, "id", "text", "content") == [

@@ -116,6 +116,18 @@ def test_html(spark):
     assert got == "A <b> &lt; A😀é&bogus; 1 < 2"
 
 
+def test_html_in_one_pass(spark):
+    pages = [
+        ('<a title="x > y" b=\'>\' c=">">t</a>', "t"), ('<a title="<!--">kept</a><!-- gone <b> -->', "kept"),
+        ("<p don't>a</p><p x=\"open>b</p>", "ab"), ("<title>a <b> &lt;</title><textarea x='>'></p></textarea >c", "a <b> <</p>c"),
+        ("a<script>if (x) '<p>'</script foo>b<style>p > q", "ab"), ("a < b > c <3 =\"d", "a < b > c <3 =\"d"),
+        ("<title>open <i>x", "open x"), ("", ""), (None, None), ("<p", "<p"),
+        ("<a " + "b='>' c " * 50_000 + ">long" + "<script>" + "<" * 100_000, "long")]
+    frame = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pages)], "i int, h string")
+    got = dict(frame.select("i", html.html_to_text(F.col("h"))).collect())
+    assert got == {i: want for i, (_, want) in enumerate(pages)}
+
+
 @pytest.mark.parametrize("value,time,space", [
     ("for i in range(3): for j in x", "O(n²)", "O(1)"), ("for i in range(3): pass", "O(n)", "O(1)"),
     ("x.sort()", "O(n log n)", "O(1)"), ("x.sort() while", "O(n)", "O(1)"),
