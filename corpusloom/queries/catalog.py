@@ -6,6 +6,7 @@ import csv
 import io
 import tarfile
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -586,23 +587,78 @@ def _flat(column: str) -> Column:
     return F.translate(F.col(column), "\r\n", "  ")
 
 
+FILES_A_FOLDER = 1000
+# Tasks that write files: many, as a file costs the same whatever its size.
+FILE_TASKS = 64
+_WRITTEN = "files bigint"
+
+
+def _file_each(df: DataFrame, path: str, extension: str, id_col: str) -> str:
+    """Write column ``value`` as a file for each id, ``<some folder>/<id_col>=<id>.<extension>``.
+
+    Tasks write the files where they end up, some FILES_A_FOLDER in a folder, so that neither a folder nor a
+    rename is needed for each. Rows of one id are lines of one file. Blanks around a value are left out. On a
+    store that only Spark can open the files have a folder each.
+    """
+    spark, blanks = df.sparkSession, "".join(map(chr, range(33)))
+    rows = df.select(id_col, F.coalesce(F.trim("value", F.lit(blanks)), F.lit("")).alias("value"))
+    root = inventory.absolute(spark, path)
+    if not inventory.listable(root):
+        return _lines(rows, path, extension, id_col)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = (fs.LocalFileSystem(), root) if root.startswith("/") else fs.FileSystem.from_uri(root)
+        name, lines, made, files = None, [], None, 0
+
+        def close() -> None:
+            nonlocal made, files
+            folder, file = name
+            if folder != made:
+                store.create_dir(f"{base}/part={folder}", recursive=True)
+                made = folder
+            with store.open_output_stream(f"{base}/part={folder}/{id_col}={file}.{extension}", compression=None) as out:
+                out.write("".join(f"{line}\n" for line in lines).encode("utf-8", "surrogatepass"))
+            files += 1
+
+        for batch in batches:
+            for *this, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if name is not None and this != name:
+                    close()
+                    lines = []
+                name = this
+                lines.append(line)
+        if name is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    folder = F.coalesce(F.floor(F.col(id_col) / FILES_A_FOLDER).cast("string"), F.lit("none"))
+    file = F.coalesce(F.col(id_col).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    dealt = rows.select(folder.alias("folder"), file.alias("file"), "value").repartition(FILE_TASKS, "folder", "file")
+    stage(dealt.sortWithinPartitions("folder", "file").mapInArrow(write, _WRITTEN), "written")
+    return path
+
+
+def _id_of(path: Column, id_col: str) -> Column:
+    return F.regexp_extract(path, f"{id_col}=([0-9]+)[./]", 1).cast("bigint").alias(id_col)
+
+
 def s10_text_scan(spark: SparkSession, sf: str) -> DataFrame:
     """A file per page, its URL as text."""
     rows = b.table(spark, sf, "pages").select("page_id", _flat("url").alias("value"))
-    path = _lines(rows.repartition(8, "page_id"), scratch_path(spark, "text files"), "TXT", "page_id")
+    path = _file_each(rows, scratch_path(spark, "text files"), "TXT", "page_id")
     records = readers.good_records(readers.read_text(spark, path))
     return records.select(
-        F.regexp_extract("src_path", "page_id=([0-9]+)/", 1).cast("bigint").alias("page_id"),
+        _id_of(F.col("src_path"), "page_id"),
         F.rtrim(mapping.as_text(mapping.field(F.col("record"), "content")), F.lit("\n")).alias("content"))
 
 
 def s12_html_scan(spark: SparkSession, sf: str) -> DataFrame:
     """A file per page; the texts must be those of the function on the table's column."""
     rows = b.table(spark, sf, "pages").select("page_id", _flat("html").alias("value"))
-    path = _lines(rows.repartition(8, "page_id"), scratch_path(spark, "html files"), "html", "page_id")
+    path = _file_each(rows, scratch_path(spark, "html files"), "html", "page_id")
     records = readers.good_records(readers.read_html(spark, path))
     return records.select(
-        F.regexp_extract("src_path", "page_id=([0-9]+)/", 1).cast("bigint").alias("page_id"),
+        _id_of(F.col("src_path"), "page_id"),
         F.rtrim(mapping.as_text(mapping.field(F.col("record"), "content")), F.lit("\n")).alias("text"))
 
 
@@ -611,7 +667,7 @@ def s13_xml_scan(spark: SparkSession, sf: str) -> DataFrame:
     value = F.format_string("<r><k>%d</k><name>old</name><name>%s</name><at><nation>%d</nation></at></r>",
                             "s_suppkey", "s_name", "s_nationkey")
     rows = b.table(spark, sf, "supplier").select("s_suppkey", value.alias("value"))
-    path = _lines(rows.repartition(8, "s_suppkey"), scratch_path(spark, "xml files"), "xml", "s_suppkey")
+    path = _file_each(rows, scratch_path(spark, "xml files"), "xml", "s_suppkey")
     record = F.col("record")
     return readers.good_records(readers.read_xml(spark, path)).select(
         F.try_variant_get(record, "$.k", "string").alias("k"), F.try_variant_get(record, "$.name", "string").alias("name"),

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators.mapping import as_text, field
+from corpusloom.queries import catalog
 from corpusloom.sources import archives, inventory, readers
 
 
@@ -209,3 +210,17 @@ def test_routing_by_pattern(spark, rows):
         ("leetcode-data/a.jsonl", "leetcode"), ("a.csv", "generic"), ("mbpp-data/data/m.json", "mbpp"),
         ("description2code_current/codechef/p.txt", "codechef"),
         ("description2code_current/codechef/a/b/p.txt", "codechef")], key=str)
+
+
+def test_a_file_each_without_a_folder_each(spark, tmp_path):
+    """Rows of one id are lines of one file; a null value is an empty line."""
+    rows = [(i, f" text {i} ") for i in range(2500)] + [(7, "again"), (8, None), (None, "no id")]
+    path = catalog._file_each(spark.createDataFrame(rows, "id bigint, value string"), f"{tmp_path}/files", "TXT", "id")
+    files = sorted(p for p in tmp_path.rglob("*.TXT"))
+    assert len(files) == 2501 and len({p.parent for p in files}) == 4
+    found = {p.name: p.read_text() for p in files}
+    assert found["id=5.TXT"] == "text 5\n" and sorted(found["id=7.TXT"].split("\n")) == ["", "again", "text 7"]
+    assert found["id=__HIVE_DEFAULT_PARTITION__.TXT"] == "no id\n"
+    read = readers.good_records(readers.read_text(spark, path))
+    named = read.filter(~F.contains("src_path", F.lit("HIVE")))
+    assert read.count() == 2501 and sorted(r[0] for r in named.select(catalog._id_of(F.col("src_path"), "id")).collect()) == list(range(2500))
