@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from datetime import datetime, timezone
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..session import scratch_path
@@ -37,38 +37,44 @@ def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
 
 
 class _Consecutive(StatefulProcessor):
-    """Keeps the rows of a key whose text differs from the one before; state: that text, and the last rows."""
+    """Keeps the rows of a key whose text differs from the one before; state: the last rows kept, of which the
+    last has the text that the next row is compared with. It is read once and written once for a micro-batch."""
 
     def __init__(self, time: str, id_col: str, text: str, row: T.StructType, history: int, idle_ms: int | None):
-        self.time, self.id, self.text, self.row = time, id_col, text, row
-        self.history_size, self.idle_ms = history, idle_ms
+        self.names = row.fieldNames()
+        self.time, self.id, self.text = (self.names.index(c) for c in (time, id_col, text))
+        self.is_plain = isinstance(row[time].dataType, T.TimestampNTZType)
+        self.row, self.history_size, self.idle_ms = row, history, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "text string")
         self.kept = handle.getListState("history", self.row)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows), ignore_index=True).sort_values([self.time, self.id], na_position="first", kind="stable")
-        texts = batch[self.text].tolist()
-        known = self.last.get() if self.last.exists() else None
-        before = [known[0] if known else None, *texts[:-1]]
-        fresh = [a != b for a, b in zip(texts, before, strict=True)]
-        out = batch.loc[fresh, self.row.fieldNames()].reset_index(drop=True)
-        self.last.update((texts[-1],))
-        held = list(self.kept.get()) if self.kept.exists() else []
-        out["history_size"] = [min(self.history_size, len(held) + 1 + i) for i in range(len(out))]
-        if self.idle_ms is not None and batch[self.time].notna().any():
+        self.out = Row(*self.names, "history_size")
+
+    def _order(self, row: tuple) -> tuple:
+        return tuple((row[k] is not None, row[k]) if row[k] is not None else (False,) for k in (self.time, self.id))
+
+    def _epoch_ms(self, time: datetime) -> int:
+        return int((time.replace(tzinfo=timezone.utc) if self.is_plain else time).timestamp() * 1000)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        held = [tuple(r) for r in self.kept.get()]
+        known, fresh, latest = held[-1][self.text] if held else None, [], None
+        for row in sorted((tuple(r[c] for c in self.names) for r in rows), key=self._order):
+            if row[self.text] != known:
+                known = row[self.text]
+                fresh.append(row)
+            latest = row[self.time]
+        if self.idle_ms is not None and latest is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(batch[self.time].max().timestamp() * 1000) + self.idle_ms)
-        if len(out):
-            new = [tuple(None if pd.isna(v) else v for v in r) for r in out[self.row.fieldNames()].astype(object).tail(self.history_size).itertuples(index=False)]
-            self.kept.put((held + new)[-self.history_size:])
-            yield out
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.last.clear()
+            self.handle.registerTimer(self._epoch_ms(latest) + self.idle_ms)
+        if fresh:
+            self.kept.put((held + fresh)[-self.history_size:])
+        for i, row in enumerate(fresh):
+            yield self.out(*row, min(self.history_size, len(held) + 1 + i))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
         self.kept.clear()
         return iter(())
 
@@ -80,7 +86,7 @@ def keyed_consecutive(events: DataFrame, key: str, time: str, id_col: str, text:
                       idle_ms: int | None = None, watermark: str = WATERMARK) -> DataFrame:
     """Per key, events of a stream whose text differs from the one before, with ``history_size``.
 
-    The state of a key is its last text and its last ``history`` kept rows, in a state store: a micro-batch
+    The state of a key is its last ``history`` kept rows (one at least), in a state store: a micro-batch
     reads and writes the state of its own keys only. With ``idle_ms``, a timer drops the state of a key once
     the watermark is so far behind its last event; rows that are later than the watermark are then dropped. The rows of a key in one micro-batch are sorted together, so the size of
     a micro-batch bounds what a task holds; rows of later batches come after those of earlier ones. A null
@@ -93,7 +99,7 @@ def keyed_consecutive(events: DataFrame, key: str, time: str, id_col: str, text:
         narrow = narrow.withWatermark(time, watermark)
     # The state store takes no null key, so a null one is told apart by a column of its own.
     whole = narrow.withColumns({"_none": F.col(key).isNull(), "_key": F.coalesce(F.col(key).cast("string"), F.lit(""))})
-    return whole.groupBy("_none", "_key").transformWithStateInPandas(
+    return whole.groupBy("_none", "_key").transformWithState(
         processor, out, "Append", "None" if idle_ms is None else "EventTime")
 
 

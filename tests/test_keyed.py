@@ -4,7 +4,7 @@ import datetime as dt
 import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from corpusloom.operators import dedup, splits
 from corpusloom.queries import catalog
@@ -81,3 +81,32 @@ def test_progress_adds_up(spark, tmp_path):
     assert [r.backlog for r in waits] == sorted((r.backlog for r in waits), reverse=True)
     counts = keyed.stage_counts(table, table.filter(F.col("event_id") < 5), table.limit(0)).first()
     assert (counts.captured, counts.processed, counts.generated, counts.waiting, counts.unanswered) == (100, 20, 0, 80, 20)
+
+
+def test_a_key_reads_and_writes_one_state_in_a_batch(spark):
+    """The text before is that of the last row kept, so no state of its own is read for it."""
+    class Handle:
+        calls, rows = [], []
+
+        def getListState(self, name, schema):  # noqa: N802
+            self.calls.append(name)
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.calls.append("put")
+            self.rows[:] = rows
+
+    schema = spark.createDataFrame([], "user bigint, id bigint, ts timestamp_ntz, text string").schema
+    processor, handle = keyed._Consecutive("ts", "id", "text", schema, 2, None), Handle()
+    processor.init(handle)
+    row = Row("id", "ts", "user", "text")
+    noon = datetime.datetime(2026, 1, 1, 12)
+    first = [row(3, noon, 1, "b"), row(2, noon, 1, "a"), row(9, None, 1, "a"), row(1, noon, 1, "a")]
+    assert [tuple(r) for r in processor.handleInputRows(("k",), iter(first), None)] == [(1, 9, None, "a", 1), (1, 3, noon, "b", 2)]
+    second = [row(5, noon, 1, "c"), row(4, noon, 1, "b")]
+    assert [tuple(r) for r in processor.handleInputRows(("k",), iter(second), None)] == [(1, 5, noon, "c", 2)]
+    assert handle.calls == ["history", "get", "put", "get", "put"] and [r[1] for r in handle.rows] == [3, 5]
