@@ -597,7 +597,7 @@ def _file_each(df: DataFrame, path: str, extension: str, id_col: str) -> str:
     """Write column ``value`` as a file for each id, ``<some folder>/<id_col>=<id>.<extension>``.
 
     Tasks write the files where they end up, some FILES_A_FOLDER in a folder, so that neither a folder nor a
-    rename is needed for each. Rows of one id are lines of one file. Blanks around a value are left out. On a
+    rename is needed for each. Rows of one id are lines of one file, without blanks around them and without empty ones. On a
     store that only Spark can open the files have a folder each.
     """
     spark, blanks = df.sparkSession, "".join(map(chr, range(33)))
@@ -617,7 +617,7 @@ def _file_each(df: DataFrame, path: str, extension: str, id_col: str) -> str:
                 store.create_dir(f"{base}/part={folder}", recursive=True)
                 made = folder
             with store.open_output_stream(f"{base}/part={folder}/{id_col}={file}.{extension}", compression=None) as out:
-                out.write("".join(f"{line}\n" for line in lines).encode("utf-8", "surrogatepass"))
+                out.write("".join(f"{line}\n" for line in lines if line).encode("utf-8", "surrogatepass"))
             files += 1
 
         for batch in batches:

@@ -104,7 +104,7 @@ def test_a_key_reads_and_writes_one_state_in_a_batch(spark):
     processor, handle = keyed._Consecutive("ts", "id", "text", schema, 2, None), Handle()
     processor.init(handle)
     row = Row("id", "ts", "user", "text")
-    noon = datetime.datetime(2026, 1, 1, 12)
+    noon = dt.datetime(2026, 1, 1, 12)
     first = [row(3, noon, 1, "b"), row(2, noon, 1, "a"), row(9, None, 1, "a"), row(1, noon, 1, "a")]
     assert [tuple(r) for r in processor.handleInputRows(("k",), iter(first), None)] == [(1, 9, None, "a", 1), (1, 3, noon, "b", 2)]
     second = [row(5, noon, 1, "c"), row(4, noon, 1, "b")]

@@ -213,13 +213,14 @@ def test_routing_by_pattern(spark, rows):
 
 
 def test_a_file_each_without_a_folder_each(spark, tmp_path):
-    """Rows of one id are lines of one file; a null value is an empty line."""
-    rows = [(i, f" text {i} ") for i in range(2500)] + [(7, "again"), (8, None), (None, "no id")]
+    """Rows of one id are lines of one file; a null value or blanks are no line, and an empty file is not read."""
+    rows = [(i, f" text {i} ") for i in range(2500)] + [(7, "again"), (8, None), (None, "no id"), (2500, None), (2501, " ")]
     path = catalog._file_each(spark.createDataFrame(rows, "id bigint, value string"), f"{tmp_path}/files", "TXT", "id")
     files = sorted(p for p in tmp_path.rglob("*.TXT"))
-    assert len(files) == 2501 and len({p.parent for p in files}) == 4
+    assert len(files) == 2503 and len({p.parent for p in files}) == 4
     found = {p.name: p.read_text() for p in files}
     assert found["id=5.TXT"] == "text 5\n" and sorted(found["id=7.TXT"].split("\n")) == ["", "again", "text 7"]
+    assert found["id=8.TXT"] == "text 8\n" and found["id=2500.TXT"] == found["id=2501.TXT"] == ""
     assert found["id=__HIVE_DEFAULT_PARTITION__.TXT"] == "no id\n"
     read = readers.good_records(readers.read_text(spark, path))
     named = read.filter(~F.contains("src_path", F.lit("HIVE")))
