@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 
 # A text above this many characters is cut at safe boundaries before it is encoded.
 PIECE_CHARS = 1 << 16
+# Bytes of text that are encoded and decoded before the results go on.
+RUN_BYTES = 1 << 20
 
 # A text can be cut before white space that follows something else: every match of the pattern either
 # ends there or starts there, as white space stands only at the start of a match or makes up all of it.
@@ -85,10 +87,12 @@ def _coder(shared, pattern: str) -> Callable:
                     [batch.column(0).slice(start, stop - start), pa.array(ids, pa.binary()),
                      pa.array(counts, pa.int64()), pa.array(decoded, pa.binary())],
                     names=[batch.schema.names[0], "token_ids", "n_tokens", "decoded"])
+                del ids, decoded
+            pa.default_memory_pool().release_unused()  # workers live on; what a batch needed goes back
     return run
 
 
-def _row_runs(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def _row_runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``limit`` bytes, so that outputs stay small."""
     sizes = np.array(pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
     run = np.cumsum(sizes) // limit

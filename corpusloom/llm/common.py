@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import scratch_path
 
 # Bytes of text handled at once inside a batch; temporary arrays are a small multiple of this.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACES = b" \t\n\x0b\x0c\r"
 
