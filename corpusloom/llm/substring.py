@@ -32,7 +32,7 @@ from .fmindex import FMIndex
 
 WINDOW = 20
 GROUP = 6               # words of the groups that anchors are chosen from
-INDEX_WORDS = 1 << 20   # a shard is indexed in runs of whole anchors of about this many words
+INDEX_WORDS = 1 << 18   # a shard is indexed in runs of whole anchors of about this many words, which take some 30 MB
 HOT_BYTES = 16 << 20    # an anchor with more text than this is cut into single windows
 
 _PLACE = np.uint64((1 << 24) - 1)

@@ -2,8 +2,10 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import fmindex, substring
@@ -100,3 +102,23 @@ def test_index_ranks_and_ranges():
     transform = sequence[index.order - 1]
     assert index.matrix.rank(symbol, place).tolist() == [int((transform[:p] == s).sum())
                                                          for s, p in zip(symbol, place)]
+
+
+def test_index_runs_take_little_memory():
+    """What a worker holds for a run of the default size, besides the run's own rows."""
+    half = substring.INDEX_WORDS // 80
+    segments = 2 * half
+    text = np.random.default_rng(11).integers(0, 50_000, (segments, 40))
+    text[half:] = text[:half]
+    rows = pa.RecordBatch.from_pydict({
+        "route": np.arange(segments), "oid": np.arange(segments), "key": np.arange(segments),
+        "start": np.zeros(segments, np.int32), "n": np.full(segments, 40, np.int32),
+        "seg": pa.array([b" ".join(b"w%d" % w for w in row) for row in text.tolist()], pa.binary())})
+    tracemalloc.start()
+    try:
+        found = list(substring._search_shards(20, substring.INDEX_WORDS)(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(f.num_rows for f in found) == half
+    assert peak < 64 << 20
