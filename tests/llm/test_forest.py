@@ -169,3 +169,27 @@ def test_component_joins(spark):
     want = union(pairs, {x for p in pairs for x in p})
     assert got == {n: c for n, c in want.items() if n in got}
     assert set(got) == {x for a, b in pairs if a != b for x in (a, b)}
+
+
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    """Few edges are not spread over a file for each shuffle partition in every round."""
+    written, stage = [], components.stage
+
+    def counted(df, label):
+        out = stage(df, label)
+        written.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(components, "stage", counted)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        edges = spark.range(200).selectExpr("id - id % 20 AS a", "id AS b")
+        found = {r.node: r.component for r in components.components(edges).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {i: i - i % 20 for i in range(200)}
+    assert len(written) > 2 and max(written[1:]) <= components.LEAST_PARTS
