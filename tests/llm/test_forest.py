@@ -193,3 +193,24 @@ def test_rounds_of_components_write_few_files(spark, monkeypatch):
             spark.conf.set(k, v)
     assert found == {i: i - i % 20 for i in range(200)}
     assert len(written) > 2 and max(written[1:]) <= components.LEAST_PARTS
+
+
+def test_shingles_of_open_regions_grow_with_the_rows(docs, monkeypatch):
+    """No size of a region switches the step that gives the shingles one by one on or off."""
+    made, compact = {}, forest.stage_compact
+
+    def counted(df, label):
+        out = compact(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(forest, "stage_compact", counted)
+    shared = " ".join(f"t{i}" for i in range(82))
+    counts = []
+    for n in (200, 1000):
+        rows = [(i, shared + " " + " ".join(f"x{i}_{k}" for k in range(18))) for i in range(n)]
+        made.clear()
+        got = {r.doc_id: r.component_id for r in forest.component_table(docs(rows).repartition(8), 2).collect()}
+        assert got == {i: i for i in range(n)}
+        counts.append(made.get("forest-tokens", 0))
+    assert counts[0] > 0 and counts[1] <= 6 * counts[0]
