@@ -42,6 +42,7 @@ DENSE = 16              # rows from which a region has a hub
 FILTER_WORDS = 1 << 17  # 64-bit words of the bit map of ids whose texts are needed: 1 MB
 BEST = 2                # candidates of a node confirmed first
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19  # sizes of a block of an open region, on average
+TEXT_ROWS = 128         # rows whose texts are Python strings at once
 COLUMNS = 2048          # shingles of two blocks multiplied at once
 COMMON = 256            # sets that hold a shingle, from which its holders are compared in blocks, not joined
 
@@ -216,7 +217,7 @@ def _confirm(size: int, percent: int) -> Callable:
 
         for batch in batches:
             found = []
-            for a, b, node, text in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            for a, b, node, text in _text_rows(batch):
                 if (a, b) != pair:
                     if pair and linked():
                         found.append(pair)
@@ -229,6 +230,13 @@ def _confirm(size: int, percent: int) -> Callable:
     return run
 
 
+def _text_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch; only those of a short piece are Python values at a time."""
+    for first in range(0, batch.num_rows, TEXT_ROWS):
+        part = batch.slice(first, TEXT_ROWS)
+        yield from zip(*[column.to_pylist() for column in part.columns], strict=True)
+
+
 def _pair_rows(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*pairs, strict=True) if pairs else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -246,8 +254,7 @@ def _links_of_blocks(size: int, percent: int) -> Callable:
         pair, rows = None, {}
         for batch in batches:
             found = []
-            for region, one, two, side, node, component, text in \
-                    zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
+            for region, one, two, side, node, component, text in _text_rows(batch):
                 if (region, one, two) != pair:
                     found += _linked_rows(rows, percent)
                     pair, rows = (region, one, two), {}

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import components, forest
@@ -214,3 +215,10 @@ def test_shingles_of_open_regions_grow_with_the_rows(docs, monkeypatch):
         assert got == {i: i for i in range(n)}
         counts.append(made.get("forest-tokens", 0))
     assert counts[0] > 0 and counts[1] <= 6 * counts[0]
+
+
+def test_rows_of_a_batch_come_in_pieces():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([None if i % 7 == 0 else f"t{i}" for i in range(300)])],
+                                       names=["node", "text"])
+    assert list(forest._text_rows(batch)) == [(i, None if i % 7 == 0 else f"t{i}") for i in range(300)]
+    assert list(forest._text_rows(batch.slice(0, 0))) == []
