@@ -11,10 +11,10 @@
    still join two components. A link inside a component changes nothing and is not fetched.
 5. Regions that a window does not cover whole, or that a partition border cuts, and that still hold
    several components are settled on the full sets, so that every pair that shares LEAST_DEPTH values in
-   some tree is decided exactly. Regions that overlap are settled as one. A prefix filter comes first, whatever
-   the size of a region, so that the work follows the shingles of the open rows: two linked sets share one of the
-   rarest shingles of either. Rows that share a rare one are candidates; only rows that share nothing rarer than
-   what very many sets hold are compared in blocks.
+   some tree is decided exactly. Regions that overlap are settled as one. Regions of a few rows are compared
+   pair by pair. In others a prefix filter comes first: two linked sets share one of the rarest shingles of either.
+   Rows that share a rare one are candidates; only rows that share nothing rarer than what very many sets hold
+   are compared in blocks.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ DENSE = 16              # rows from which a region has a hub
 FILTER_WORDS = 1 << 17  # 64-bit words of the bit map of ids whose texts are needed: 1 MB
 BEST = 2                # candidates of a node confirmed first
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19  # sizes of a block of an open region, on average
+PAIR_ROWS = 64          # rows up to which a region is compared pair by pair at once
 TEXT_ROWS = 128         # rows whose texts are Python strings at once
 COLUMNS = 2048          # shingles of two blocks multiplied at once
 COMMON = 256            # sets that hold a shingle, from which its holders are compared in blocks, not joined
@@ -334,6 +335,13 @@ def _open_regions(members: DataFrame, found: DataFrame) -> DataFrame:
         .select(F.coalesce("whole", "region").alias("region"), "node", "component").distinct()
 
 
+def _large_regions(held: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``region`` of open regions that are not compared pair by pair at once."""
+    return held.join(nodes.select("node", "n"), "node").groupBy("region") \
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")) \
+        .filter((F.col("rows") > PAIR_ROWS) | (F.col("n") > BLOCK_SHINGLES)).select("region")
+
+
 def _token_rows(size: int) -> Callable:
     """The shingles of each text, one per row, with the number of them; and a row without a shingle for each text
     that has some. Columns: node, component, text."""
@@ -570,15 +578,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     found = settle(found, pairs.join(chosen, ["a", "b"], "left_anti"))
     held = stage(_open_regions(members, found), "forest-open")
-    if not held.isEmpty():
-        rare, common = _by_prefix(held.select("node", "component").distinct(), keyed, shingle, percent)
+    large = stage(_large_regions(held, nodes), "forest-large")
+    if not large.isEmpty():
+        rows = held.join(large, "region").select("node", "component").distinct()
+        rare, common = _by_prefix(rows, keyed, shingle, percent)
         rare, common = stage(rare, "forest-rare"), stage(common, "forest-common")
         chosen = _best(rare)
         found = settle(found, chosen)
         found = settle(found, rare.join(chosen, ["a", "b"], "left_anti"))
-        left = stage(held.join(common, "node"), "forest-common")
+        small = held.join(large, "region", "left_anti")
+        left = stage(held.join(large, "region", "left_semi").join(common, "node"), "forest-common")
         indexed = left.groupBy("region").agg(F.max("index").alias("index")).filter("index").select("region")
-        held = stage(_open_regions(left.join(indexed, "region", "left_semi").select("node", "region"), found), "forest-open")
+        held = small.unionByName(left.join(indexed, "region", "left_semi").drop("index"))
+        held = stage(_open_regions(held.select("node", "region"), found), "forest-open")
     if not held.isEmpty():
         found = _extended(found, _compared(held, keyed, nodes, shingle, percent))
     copied = nodes.filter("rows > 1").select("digest", "node")

@@ -197,7 +197,7 @@ def test_rounds_of_components_write_few_files(spark, monkeypatch):
 
 
 def test_shingles_of_open_regions_grow_with_the_rows(docs, monkeypatch):
-    """No size of a region switches the step that gives the shingles one by one on or off."""
+    """Regions of hundreds of rows and of thousands take the same steps, so shingles that are given one by one do not jump."""
     made, compact = {}, forest.stage_compact
 
     def counted(df, label):
